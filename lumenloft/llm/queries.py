@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, mixing, quality_rules, urls
+from . import flac, mixing, quality_model, quality_rules, secrets, urls
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op3_url_filter(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op5_quality_trees(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op6_secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mix_sources(table(spark, sf_dir, "documents"))
 
