@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, mixing, quality_model, quality_rules, secrets, urls
+from . import flac, html_crf, mixing, piece_table, quality_model, quality_rules, secrets, token_counts, urls
 from .common import table
 
 
+def op1_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.op1_piece_table(table(spark, sf_dir, "documents"))
+
+
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2_divergence_rules(table(spark, sf_dir, "documents"))
 
@@ -30,10 +34,18 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.op8_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.op9_flac_columns(table(spark, sf_dir, "documents"))
 
 
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op10_section_tokens(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
