@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, html_crf, mixing, piece_table, quality_model, quality_rules, secrets, token_counts, urls
+from . import flac, html_crf, jaccard_join, mixing, piece_table, quality_model, quality_rules, secrets, token_counts, urls
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.op3_url_filter(table(spark, sf_dir, "pages"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op4_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.op5_quality_trees(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
