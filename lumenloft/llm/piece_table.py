@@ -195,8 +195,8 @@ def encode(docs: DataFrame, path: str | None = None, **more) -> DataFrame:
     return encode_with(docs, make, "doc_id long, ids array<int>", path, **more)
 
 
-def digests(docs: DataFrame, path: str | None = None, **more) -> DataFrame:
-    """doc_id, number and digest of the ids, digest of the text that they decode to."""
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False, **more) -> DataFrame:
+    """doc_id, number and digest of the ids, digest of the text that they decode to; and the ids, if asked for."""
     model, numbers = model_bytes(path), [str(i) for i in range(1 << 16)]
 
     def make(doc_ids, null, lists):
@@ -204,9 +204,10 @@ def digests(docs: DataFrame, path: str | None = None, **more) -> DataFrame:
         text = [",".join(map(numbers.__getitem__, x)) if not x or max(x) < 1 << 16 else ",".join(map(str, x)) for x in lists]
         decoded = [sp.decode(x) for x in lists]
         sha = lambda rows: pa.array([hashlib.sha256(r.encode()).hexdigest() for r in rows], pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=null.astype(bool)), pa.array([len(x) for x in lists], pa.int64()), sha(text), sha(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids = [pa.array(lists, pa.list_(pa.int32()))] * with_ids
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=null.astype(bool)), pa.array([len(x) for x in lists], pa.int64()), sha(text), sha(decoded), *ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
-    return encode_with(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, **more)
+    return encode_with(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, path, **more)
 
 
 def op1_piece_table(docs: DataFrame) -> DataFrame:
