@@ -209,19 +209,22 @@ def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def heavy_clusters(classes: DataFrame, b: int) -> DataFrame:
     """(node, component) of classes (by k1) that meet in inverted lists."""
     df = materialize(frequencies(classes.filter(heavy_side(b))), "jaccard-df")
-    rows = classes.filter(heavy_side(b)).select(F.col("k1").alias("node"), "n", "na", F.posexplode("pre").alias("at", "key"))
-    rows = rows.join(df, "key")
+    heavy = classes.filter(heavy_side(b)).select(F.col("k1").alias("node"), "n", "na", "pre")
+    rows = heavy.select("node", "na", F.posexplode("pre").alias("at", "key"))
+    # the rows that are many carry a shingle, a class and, for shingles that aren't known, their place
+    rows = rows.select("key", "node", F.when(F.col("at") >= F.col("na"), F.col("at")).otherwise(-1).alias("at")).join(df, "key")
+    rows = rows.join(heavy.select("node", "n", "na"), "node")
     # known shingles in order of frequency, those of one class (not in rows) before them; then the others, in order of hash
     seen = W.partitionBy("node", "n")
-    known = F.col("at") < F.col("na")
+    known = F.col("at") < 0
     rows = rows.select("*", F.row_number().over(seen.orderBy((~known).cast("int"), "df", "key")).alias("turn"), F.sum(known.cast("int")).over(seen).alias("shared"))
     rank = F.when(known, F.col("na") - F.col("shared") + F.col("turn")).otherwise(F.col("at") + 1)
     short = F.col("n") - F.expr("(6 * n + 6) div 7") + 1
     long = F.col("n") - F.expr("(3 * n + 3) div 4") + 1
-    rows = rows.select("key", "node", "n", (rank <= short).alias("lead"), (rank <= long).alias("in")).filter("in")
     sizes = F.array(*[F.lit(int(x)) for x in BANDS])
-    of = F.size(F.filter(sizes, lambda x: x <= F.col("n")))
-    rows = rows.select("key", "node", "lead", of.alias("own")).select("key", "node", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"), "own", "lead")
+    own = F.size(F.filter(sizes, lambda x: x <= F.col("n")))
+    rows = materialize(rows.filter(rank <= long).select("key", "node", own.alias("own"), (rank <= short).alias("lead")), "jaccard-prefixes")
+    rows = rows.select("key", "node", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"), "own", "lead")
     rows = rows.select("key", "band", "node", (F.col("lead") & (F.col("band") == F.col("own"))).alias("lead"))
     heads = rows.groupBy("key", "band").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("head"), F.count(F.lit(1)).alias("c")).filter("head is not null and c > 1").drop("c")
     edges = rows.join(heads, ["key", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
