@@ -43,7 +43,7 @@ from .urls import bloom, might_contain
 
 WORDS, KNOWN = 5, 0.28
 SMALLEST = 14  # sizes up to here may be light; their sets travel whole
-MEMBERS, SHINGLES = 1024, 2_000_000  # of a block of a cluster
+MEMBERS, SHINGLES = 1024, 500_000  # of a block of a cluster
 BLOOM_BLOCKS = 1 << 15
 LIMIT = U(int(KNOWN * 2**64))
 BANDS = [1]
@@ -75,7 +75,7 @@ def set_rows(docs: DataFrame, wide: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for c in pieces(b, "text", 4 << 20):
+            for c in pieces(b, "text", 2 << 20):
                 sets = Words(c["text"]).sets(WORDS)
                 n = np.array([len(s) for s in sets], np.int64)
                 k1, k2 = keys(sets)
@@ -239,7 +239,8 @@ def heavy_side(b: int):
 def link_forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges of a spanning forest of the links inside a block of a cluster, by counting common shingles."""
     pdf = pdf.drop_duplicates(["doc_id", "text"])
-    sets = Words(pa.array(pdf["text"], pa.large_string())).sets(WORDS)
+    texts = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"])
+    sets = [x for part in pieces(texts, "text", 2 << 20) for x in Words(part["text"]).sets(WORDS)]
     n = np.array([len(s) for s in sets], np.int64)
     ids, order = pdf["doc_id"].to_numpy(), np.argsort(n, kind="stable")
     k = len(ids)

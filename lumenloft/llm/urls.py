@@ -43,10 +43,10 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     names = [f"w{i}" for i in range(8)]
     block, *words = key_bits(F.col("key"), blocks)
     rows = listed.select(block.alias("block"), *[w.alias(n) for w, n in zip(words, names, strict=True)])
+    rows = rows.unionByName(listed.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), *[F.lit(0).alias(n) for n in names]))
     rows = rows.groupBy("block").agg(*[F.bit_or(n).alias(n) for n in names])
-    filled = F.map_from_entries(F.collect_list(F.struct("block", F.array(*names))))
-    made = rows.agg(filled.alias("m"))
-    return made.select(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.col("m")[i], F.array(*[F.lit(0)] * 8)))).alias("bloom"))
+    made = rows.agg(F.sort_array(F.collect_list(F.struct("block", F.array(*names).alias("words")))).alias("all"))
+    return made.select(F.flatten("all.words").alias("bloom"))
 
 
 def might_contain(words: Column, key: Column, blocks: int) -> Column:
