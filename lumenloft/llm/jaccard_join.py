@@ -75,7 +75,7 @@ def set_rows(docs: DataFrame, wide: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for c in pieces(b, "text", 2 << 20):
+            for c in pieces(b, "text", 1 << 20):
                 sets = Words(c["text"]).sets(WORDS)
                 n = np.array([len(s) for s in sets], np.int64)
                 k1, k2 = keys(sets)
@@ -159,7 +159,7 @@ def frequencies(classes: DataFrame) -> DataFrame:
             flat = b["pre"].flatten().to_numpy(zero_copy_only=False).view(U)
             held.append(flat)
             size += len(flat)
-            if size >= 2_000_000:
+            if size >= 1_000_000:
                 yield from send()
                 held, size = [], 0
         if size:
@@ -240,7 +240,7 @@ def link_forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges of a spanning forest of the links inside a block of a cluster, by counting common shingles."""
     pdf = pdf.drop_duplicates(["doc_id", "text"])
     texts = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"])
-    sets = [x for part in pieces(texts, "text", 2 << 20) for x in Words(part["text"]).sets(WORDS)]
+    sets = [x for part in pieces(texts, "text", 1 << 20) for x in Words(part["text"]).sets(WORDS)]
     n = np.array([len(s) for s in sets], np.int64)
     ids, order = pdf["doc_id"].to_numpy(), np.argsort(n, kind="stable")
     k = len(ids)
