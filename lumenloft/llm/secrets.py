@@ -84,7 +84,8 @@ def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     b64, hexa = lower + lower.upper() + digits + "+/", "0123456789abcdef"
     word = lambda: "".join(draw("bcdfghlmnprstvw", 1) + draw("aeiou", 1) for _ in range(int(rng.integers(1, 5))))
-    words = lambda k: " ".join(word() for _ in range(k))
+    noise = lambda: pick([draw("áéíóúäöüßñçèê", size(1, 5)), draw(digits, size(1, 9)), draw("()[]{}#*$%&|<>", 2), word().upper(), "and", "the", draw(b64[:62], 12), f"{size(1, 255)}.{size(1, 255)}.7.9"])
+    words = lambda k: " ".join(word() if rng.random() < 0.7 else noise() for _ in range(k))
     size = lambda a, b: int(rng.integers(a, b))
     secrets = [
         lambda: draw(hexa, size(16, 32)), lambda: draw(hexa.upper(), pick([32, 40, 64])), lambda: draw(b64, size(20, 64)) + pick(["", "=", "=="]), lambda: "ghp_" + draw(b64[:62], 36), lambda: "sk-" + draw(b64[:62], size(24, 48)),
@@ -103,7 +104,7 @@ def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         label = int(rng.random() < 0.5)
         value = pick(secrets if label else others)()
         before = words(size(0, 5)) + " " + (pick(leads) if rng.random() < (0.6 if label else 0.25) else "")
-        text = before + value + pick(["", " ", ".", ",", '"', "\n", "@"]) + words(size(0, 4))
+        text = before + value + pick(["", " ", ".", ",", ", ", '"', "\n", "@", "/", ") "]) + words(size(0, 4))
         at = len(before)
         m = CANDIDATE.match(text, at)
         if m and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
@@ -190,7 +191,7 @@ class Net:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 5000, seed: int = 11, recall: float = RECALL) -> Net:
+def trained(n: int = 8000, seed: int = 11, recall: float = RECALL) -> Net:
     net = Net().fit(*findings(n, seed))
     net.calibrate(*findings(n // 4, seed + 1))
     x, y = findings(n // 4, seed + 2)
@@ -233,7 +234,7 @@ def find_secrets(docs: DataFrame, net: Net | None = None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for c in pieces(b, "text", 16 << 20):
+            for c in pieces(b, "text", 4 << 20):
                 found = scan(c["text"], net)
                 base = [[x for x in f if x[1] < 3] for f in found]
                 count = lambda k: pa.array([sum(x[1] == k for x in f) for f in found], pa.int64())  # noqa: B023, E731
@@ -257,7 +258,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", net: Net | None = None) -> D
 
     def run(batches):
         for b in batches:
-            for c in pieces(b, "text", 16 << 20):
+            for c in pieces(b, "text", 4 << 20):
                 texts = c["text"].to_pylist()
                 new = [clean(t, f) if f else t for t, f in zip(texts, scan(c["text"], net), strict=True)]
                 yield c.set_column(at, c.schema.field(at), pa.array(new, c.schema.field(at).type))
