@@ -155,9 +155,10 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Trees:
-    rows = sample(docs, labels, bound).orderBy("y", "x").toPandas()  # the order makes reruns agree
-    x = np.array(rows["x"].tolist()).reshape(-1, len(NAMES))
-    return grow(x, rows["y"].to_numpy())
+    rows = sample(docs, labels, bound).toPandas()
+    x, y = np.array(rows["x"].tolist()).reshape(-1, len(NAMES)), rows["y"].to_numpy()
+    order = np.lexsort((*x.T, y))  # sums in one order make reruns agree
+    return grow(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
