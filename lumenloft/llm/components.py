@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -18,12 +19,13 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if stars(e):
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{tag}-edges")
+        up = e.groupBy("u").agg(F.min("v").alias("m"))
+        # every larger end moves from its smaller end to the smallest neighbour of that
+        far = e.join(up.select(F.col("u").alias("v"), F.col("m").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+        # and what a node is tied to is tied to the smallest of it; a node has few edges to smaller ones
+        low = far.unionByName(up.select("u", F.col("m").alias("v"))).select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
+        pairs = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        e = materialize(low.select(pairs).select("e.u", "e.v").filter("u <> v").distinct(), f"{tag}-edges")
     else:
         raise RuntimeError("the components didn't settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
