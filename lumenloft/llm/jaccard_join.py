@@ -39,12 +39,10 @@ from pyspark.sql import Window as W
 from .common import materialize, pieces
 from .components import components
 from .textvec import U, Words, mix
-from .urls import bloom, might_contain
 
 WORDS, KNOWN = 5, 0.28
 SMALLEST = 14  # sizes up to here may be light; their sets travel whole
 MEMBERS, SHINGLES = 1024, 500_000  # of a block of a cluster
-BLOOM_BLOCKS = 1 << 15
 LIMIT = U(int(KNOWN * 2**64))
 BANDS = [1]
 while BANDS[-1] < 1 << 40:
@@ -71,7 +69,7 @@ def keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def set_rows(docs: DataFrame, wide: bool) -> DataFrame:
     """doc_id, n, k1, k2 and, if wide, na and pre: the first shingles in order of hash, `na` of them known."""
-    names = ["doc_id", "n", "k1", "k2"] + ["na", "pre"] * wide
+    names = ["doc_id", "n", "k1", "k2"] + ["na", "band", "pre"] * wide
 
     def run(batches):
         for b in batches:
@@ -85,11 +83,11 @@ def set_rows(docs: DataFrame, wide: bool) -> DataFrame:
                     take = np.where(n <= SMALLEST, n, np.maximum(na, n - -(-3 * n // 4) + 1))
                     cut = np.concatenate([[0], np.cumsum(take)])
                     flat = np.concatenate([*[s[:t] for s, t in zip(sets, take.tolist(), strict=True)], np.zeros(0, U)]).view(np.int64)
-                    columns += [pa.array(na), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))]
+                    columns += [pa.array(na), pa.array(np.searchsorted(BANDS, n, side="right").astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long" + ", na long, pre array<long>" * wide)
+    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long" + ", na long, band int, pre array<long>" * wide)
 
 
 def subset_plan(b: int) -> dict[int, list[tuple[int, int, int]]]:
@@ -138,7 +136,7 @@ def light_links(classes: DataFrame, b: int) -> DataFrame:
     low = lambda *sides: F.min(F.when(F.col("side").isin(*sides), F.col("rep")))
     heads = rows.groupBy("s1", "s2").agg(low(0).alias("h0"), low(1).alias("h1"), low(2).alias("h2"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     other = F.when(F.col("side") == 0, F.col("h1")).when(F.col("side") == 1, F.col("h0")).otherwise(F.col("h2"))
-    return rows.join(heads, ["s1", "s2"]).select(F.col("rep").alias("a"), other.alias("b")).filter("b is not null and a <> b").distinct()
+    return rows.join(heads, ["s1", "s2"]).select(F.col("rep").alias("a"), other.alias("b")).filter("b is not null and a <> b")
 
 
 def frequencies(classes: DataFrame) -> DataFrame:
@@ -209,11 +207,11 @@ def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def heavy_clusters(classes: DataFrame, b: int) -> DataFrame:
     """(node, component) of classes (by k1) that meet in inverted lists."""
     df = materialize(frequencies(classes.filter(heavy_side(b))), "jaccard-df")
-    heavy = classes.filter(heavy_side(b)).select(F.col("k1").alias("node"), "n", "na", "pre")
+    heavy = classes.filter(heavy_side(b)).select(F.col("k1").alias("node"), "n", "na", "band", "pre")
     rows = heavy.select("node", "na", F.posexplode("pre").alias("at", "key"))
     # the rows that are many carry a shingle, a class and, for shingles that aren't known, their place
     rows = rows.select("key", "node", F.when(F.col("at") >= F.col("na"), F.col("at")).otherwise(-1).alias("at")).join(df, "key")
-    rows = rows.join(heavy.select("node", "n", "na"), "node")
+    rows = rows.join(heavy.select("node", "n", "na", "band"), "node")
     # known shingles in order of frequency, those of one class (not in rows) before them; then the others, in order of hash
     seen = W.partitionBy("node", "n")
     known = F.col("at") < 0
@@ -221,13 +219,11 @@ def heavy_clusters(classes: DataFrame, b: int) -> DataFrame:
     rank = F.when(known, F.col("na") - F.col("shared") + F.col("turn")).otherwise(F.col("at") + 1)
     short = F.col("n") - F.expr("(6 * n + 6) div 7") + 1
     long = F.col("n") - F.expr("(3 * n + 3) div 4") + 1
-    sizes = F.array(*[F.lit(int(x)) for x in BANDS])
-    own = F.size(F.filter(sizes, lambda x: x <= F.col("n")))
-    rows = materialize(rows.filter(rank <= long).select("key", "node", own.alias("own"), (rank <= short).alias("lead")), "jaccard-prefixes")
+    rows = materialize(rows.filter(rank <= long).select("key", "node", F.col("band").alias("own"), (rank <= short).alias("lead")), "jaccard-prefixes")
     rows = rows.select("key", "node", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"), "own", "lead")
     rows = rows.select("key", "band", "node", (F.col("lead") & (F.col("band") == F.col("own"))).alias("lead"))
     heads = rows.groupBy("key", "band").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("head"), F.count(F.lit(1)).alias("c")).filter("head is not null and c > 1").drop("c")
-    edges = rows.join(heads, ["key", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    edges = rows.join(heads, ["key", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
     return components(edges, "jaccard-lists")
 
 
@@ -292,9 +288,6 @@ def heavy_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> Dat
     members = members.join(sizes.select("cluster", parts.alias("parts")), "cluster")
     members = materialize(members.select("rep", "cluster", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "jaccard-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    listed = members.select(F.col("rep").cast("string").alias("key")).distinct()
-    # a filter of fixed size keeps most of the other documents' texts out of the shuffle; the join is exact
-    texts = texts.select("*", bloom(listed, BLOOM_BLOCKS).scalar().alias("bloom")).filter(might_contain(F.col("bloom"), F.col("doc_id").cast("string"), BLOOM_BLOCKS)).drop("bloom")
     rows = texts.join(members, F.col("doc_id") == F.col("rep"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rows = rows.select("doc_id", "text", "cluster", "part", other).select("doc_id", "text", "cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
@@ -305,7 +298,7 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     rows = materialize(set_rows(docs, False), "jaccard-sets")
     whole = set_rows(docs.filter(F.col("doc_id").isNotNull()), True).filter("n > 0")
-    classes = whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("na").alias("na"), F.first("pre").alias("pre"))
+    classes = whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("na").alias("na"), F.first("band").alias("band"), F.first("pre").alias("pre"))
     classes = materialize(classes, "jaccard-classes")
     counts = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 2 * SMALLEST).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     b = choose_boundary(counts)
@@ -313,9 +306,12 @@ def link(docs: DataFrame) -> DataFrame:
     if b:
         edges = edges.unionByName(light_links(classes, b))
     # ids that repeat with different texts tie their classes together
-    tied = rows.filter("n > 0").groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("c")).filter("c > 1 and doc_id is not null").select("doc_id")
-    same = rows.filter("n > 0").join(tied, "doc_id").select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(edges.unionByName(same), "jaccard-links")
+    several = (F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2"))
+    tied = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(several.alias("several")).filter("several").select("doc_id")
+    if not tied.isEmpty():
+        same = rows.filter("n > 0").join(tied, "doc_id").select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+        edges = edges.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    found = components(edges, "jaccard-links")
     of = classes.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     linked = rows.join(of, ["k1", "k2"], "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
