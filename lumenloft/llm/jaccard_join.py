@@ -288,7 +288,8 @@ def heavy_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> Dat
     members = members.join(sizes.select("cluster", parts.alias("parts")), "cluster")
     members = materialize(members.select("rep", "cluster", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "jaccard-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(members, F.col("doc_id") == F.col("rep"))
+    # one plan at every size: where the members are few, Spark would broadcast them, and small runs would tell nothing
+    rows = texts.join(members.hint("merge"), F.col("doc_id") == F.col("rep"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     rows = rows.select("doc_id", "text", "cluster", "part", other).select("doc_id", "text", "cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     return rows.groupBy("cluster", "i", "j").applyInPandas(lambda pdf: link_forest(pdf[["doc_id", "text"]]), "a long, b long")
@@ -323,7 +324,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = materialize(link(docs), "jaccard-found")
     marks = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("component_id") != F.col("doc_id")).cast("int")).alias("out"), F.count(F.lit(1)).alias("times"))
     marks = materialize(marks.filter("out = 1 or times > 1").withColumnRenamed("doc_id", "marked"), "jaccard-marks")
-    rows = docs.join(marks, F.col("doc_id").cast("long") == F.col("marked"), "left")
+    rows = docs.join(marks.hint("merge"), F.col("doc_id").cast("long") == F.col("marked"), "left")
     once = rows.filter("marked is null").select(*docs.columns)
     if marks.filter("out = 0").isEmpty():
         return once
