@@ -73,11 +73,18 @@ def clear_session(files: DataFrame, deleted: DataFrame) -> DataFrame:
     return out.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == "ingest_session_id" else files[c] for c in files.columns])
 
 
-def evict(artifacts: DataFrame, limit_bytes: int, in_use: DataFrame | None = None) -> DataFrame:
-    """Artifacts to drop, oldest first, until the rest fits; those in use stay out of the list but count."""
-    whole = artifacts.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).scalar()
-    before = F.coalesce(F.sum("size_bytes").over(W.orderBy("updated_at", "cache_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = artifacts.select("cache_key", "size_bytes", "updated_at", before.alias("_b")).filter(whole - F.col("_b") > limit_bytes).drop("_b")
+def evict(artifacts: DataFrame, limit_bytes: int, in_use: DataFrame | None = None, prefix: int = 13) -> DataFrame:
+    """Artifacts to drop, oldest first, until the rest fits; those in use stay out of the list but count.
+
+    The running sum has two levels, so that no task sees all artifacts: sums of spans of time (the first `prefix` characters
+    of the time, an hour by default) are added up over the few spans, and each span's own running sum starts from there."""
+    a = artifacts.select("cache_key", "size_bytes", "updated_at", F.coalesce(F.substring("updated_at", 1, prefix), F.lit("")).alias("_span"))
+    spans = a.groupBy("_span").agg(F.sum("size_bytes").alias("_s"))
+    earlier = F.coalesce(F.sum("_s").over(W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("_span", earlier.alias("_e"), F.sum("_s").over(W.partitionBy()).alias("_t"))
+    own = F.coalesce(F.sum("size_bytes").over(W.partitionBy("_span").orderBy("updated_at", "cache_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = a.withColumn("_b", own).join(spans, "_span").filter(F.col("_t") - F.col("_e") - F.col("_b") > limit_bytes)
+    out = out.select("cache_key", "size_bytes", "updated_at")
     return out if in_use is None else out.join(in_use, "cache_key", "left_anti")
 
 
