@@ -26,8 +26,8 @@ COMMON = tuple(
     "le la de et les des que un une pour "
     "el los y en del las por con se para".split()
 )
-#: Character classes as regular expressions; white space and all else are the last two.
-CLASSES = (r"[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+", r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]+", r"[0-9]+", r"[.,;:!?'\x22()\x{BF}\x{A1}-]+", r"[#*$%&|<>]+")
+#: Character classes as regular expressions; white space and all else (small letters, mostly) are the last two.
+CLASSES = (r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]+", r"[0-9]+", r"[.,;:!?'\x22()\x{BF}\x{A1}-]+", r"[#*$%&|<>]+")
 BASE_WORDS, CHAR_LENGTH, WORD_LENGTH = 50, 200, 80
 #: A document is odd if both distances are over the first pair of limits, or one is over its limit of the second pair.
 BOTH, EITHER = (0.16, 0.15), (0.35, 0.6)
@@ -45,23 +45,22 @@ def repeat_words(words: Column) -> Column:
         same = lambda k, j: F.coalesce(F.get(s, j)["w"] == F.get(s, k)["w"], F.lit(False))
         hits = F.filter(F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.when(same(k, k - 1) | same(k, k + 1), F.get(s, k)["i"])), lambda i: i.isNotNull())
         state = lambda c, e: F.struct(c.cast("long").alias("c"), e.cast("int").alias("e"))
-        return F.aggregate(F.array_sort(hits), state(F.lit(0), F.lit(0)), lambda a, p: state(a["c"] + p + 3 - F.greatest(p, a["e"]), p + 3), lambda a: a["c"])
+        return F.aggregate(F.sort_array(hits), state(F.lit(0), F.lit(0)), lambda a, p: state(a["c"] + p + 3 - F.greatest(p, a["e"]), p + 3), lambda a: a["c"])
 
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, lambda w: let(F.array_sort(windows(w)), marked))).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, lambda w: let(F.sort_array(windows(w)), marked))).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, and the two histograms."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    rows = rows.select("*", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    rows = rows.select("*", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
     without = lambda r: F.length("text") - F.length(F.regexp_replace("text", r, ""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_extract(x, WORD, 0)) > 0)
-    listed = "|".join(COMMON)
-    common = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![^\x20\x09-\x0D])(?:{listed})(?=[\x20\x09-\x0D.,;:!?]|$)"), F.lit(0))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    common = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w.isin(*COMMON))
     rows = rows.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.length("text").cast("long").alias("n_chars"),
         let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"), repeat_words(F.col("words")).alias("n_repeat_words"),
@@ -73,7 +72,7 @@ def measures(docs: DataFrame) -> DataFrame:
     chars = F.concat("classes", F.array(white, F.greatest(F.lit(0).cast("long"), F.col("n_chars") - white - total(F.col("classes")))))
     words = F.concat("common", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - total(F.col("common")))))
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc_id", "lang", "n_words", "word_chars", F.col("classes")[4].alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chars.alias("chars"), words.alias("words"))
+    return rows.select("doc_id", "lang", "n_words", "word_chars", F.col("classes")[3].alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chars.alias("chars"), words.alias("words"))
 
 
 def distance(p: Column, q: Column) -> Column:
