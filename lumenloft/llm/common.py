@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_by_context.isDefined():
+        return set_by_context.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="lumenloft-")

@@ -19,9 +19,10 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if stars(e):
             break
-        up = e.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that both sides of the join are plain exchanges and the rows of a frequent node can be split
+        up = materialize(e.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-up")
         # every larger end moves from its smaller end to the smallest neighbour of that
-        far = e.join(up.select(F.col("u").alias("v"), F.col("m").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+        far = e.join(up.select(F.col("u").alias("v"), F.col("m").alias("w")).hint("merge"), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
         # and what a node is tied to is tied to the smallest of it; a node has few edges to smaller ones
         low = far.unionByName(up.select("u", F.col("m").alias("v"))).select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
         pairs = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
