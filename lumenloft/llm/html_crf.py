@@ -100,7 +100,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag not in INLINE:
+            if tag == "title":  # what isn't shown doesn't break a block
                 flush()
             at = end.end() if end else n
             continue

@@ -322,13 +322,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when one document of each component does, the one with the smallest id; of rows that
     repeat an id, one. Documents without words and null ids stay."""
     found = materialize(link(docs), "jaccard-found")
-    marks = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("component_id") != F.col("doc_id")).cast("int")).alias("out"), F.count(F.lit(1)).alias("times"))
-    marks = materialize(marks.filter("out = 1 or times > 1").withColumnRenamed("doc_id", "marked"), "jaccard-marks")
-    rows = docs.join(marks.hint("merge"), F.col("doc_id").cast("long") == F.col("marked"), "left")
-    once = rows.filter("marked is null").select(*docs.columns)
-    if marks.filter("out = 0").isEmpty():
+    out = F.min((F.col("component_id") != F.col("doc_id")).cast("int"))
+    marks = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__of")).agg(out.alias("__out"), F.count(F.lit(1)).alias("__times"))
+    marks = materialize(marks.filter("__out = 1 or __times > 1"), "jaccard-marks")
+    rows = docs.join(marks.hint("merge"), F.col("doc_id").cast("long") == F.col("__of"), "left")
+    once = rows.filter("__of is null").select(*docs.columns)
+    if marks.filter("__out = 0").isEmpty():
         return once
-    return once.unionByName(rows.filter("out = 0").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(rows.filter("__out = 0").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op4_jaccard_join(docs: DataFrame) -> DataFrame:

@@ -137,8 +137,8 @@ def take_copies(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs as often as the mix takes them. Rows that share an id share its copies: each gets the whole part of
     their mean, and one more by a draw from its text."""
     mixed = mix(plain(docs, "doc_id", "source", "text"), **options)
-    plan = mixed.groupBy(F.col("doc_id").alias("of")).agg((F.sum("copies") / F.count(F.lit(1))).alias("mean")).filter("mean > 0")
-    rows = docs.join(plan.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("of")))
-    more = uniform(F.col("doc_id"), F.col("text"), F.lit(19)) < F.col("mean") - F.floor("mean")
-    copies = (F.floor("mean") + more.cast("int")).cast("int")
-    return rows.withColumn("copies", copies).filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    plan = mixed.groupBy(F.col("doc_id").alias("__of")).agg((F.sum("copies") / F.count(F.lit(1))).alias("__mean")).filter("__mean > 0")
+    rows = docs.join(plan.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__of")))
+    more = uniform(F.col("doc_id"), F.col("text"), F.lit(19)) < F.col("__mean") - F.floor("__mean")
+    rows = rows.withColumn("__copies", (F.floor("__mean") + more.cast("int")).cast("int")).filter("__copies > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")

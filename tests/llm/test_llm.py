@@ -333,7 +333,9 @@ def test_mixing(spark, docs, texts, empty):
     deep = mixing.mix(docs, chunk=5, fan=2).groupBy("source").agg(F.sum("taken").alias("t")).collect()  # a tree of several levels
     for r in deep:
         assert abs(r.t - share[r.source]) <= max(size[i] for i in size if source[i] == r.source) + 1
-    copies = Counter(r.doc_id for r in mixing.take_copies(docs).collect())
+    taken_rows = mixing.take_copies(docs)
+    assert taken_rows.columns == docs.columns and jaccard_join.keep_one(docs).columns == docs.columns
+    copies = Counter(r.doc_id for r in taken_rows.collect())
     for r in rows:
         if r["doc_id"] != 10_008:  # the repeated row shares its copies
             assert copies[r["doc_id"]] * r["size"] == r["taken"]
