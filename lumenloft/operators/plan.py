@@ -2,14 +2,14 @@
 
 Names are taken in order of relative path inside a directory: the planned name, name-<sum8>, name-<sum8>-2 and so on,
 whichever isn't taken by a file on record or by an earlier file of the batch. A suffixed name may be another file's own
-name, so the order matters and each directory is planned by one group; the groups are directories, not sources, and
-carry only names."""
+name, so the order matters and a directory is planned by one task, row by row in that order; the unit is
+the directory, not the source, and its rows carry only names."""
 
 from __future__ import annotations
 
 import os
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +23,26 @@ def split_name(name: str) -> tuple[str, str]:
     return stem, ext
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken = dict(zip(pdf.loc[pdf.existing, "name"], pdf.loc[pdf.existing, "verified_checksum"], strict=True))
-    out = []
-    fresh = pdf[~pdf.existing].sort_values(["relative_path", "file"])
-    for d, file, name, checksum, short in zip(*[fresh[c] for c in ("directory", "file", "name", "checksum", "short")], strict=True):
-        stem, ext = split_name(name)
-        turn = 0
-        while True:
-            at = name if not turn else f"{stem}-{short}{ext}" if turn == 1 else f"{stem}-{short}-{turn}{ext}"
-            if at not in taken:
-                taken[at] = checksum
-                out.append((file, "new", f"{d}/{at}" if d else at, checksum))
-                break
-            if taken[at] is not None and taken[at] == checksum:
-                out.append((file, "reuse", f"{d}/{at}" if d else at, checksum))
-                break
-            turn += 1
-    return pd.DataFrame(out, columns=["file", "kind", "destination_path", "checksum"])
+def _plan(batches):
+    """Rows in order of directory, those on record first, then by path: one directory's taken names are held at a time."""
+    here, taken = None, {}
+    for b in batches:
+        out = []
+        for d, name, old, file, checksum, short, known in zip(*[b[c].to_pylist() for c in ("directory", "name", "existing", "file", "checksum", "short", "verified_checksum")], strict=True):
+            if d != here:
+                here, taken = d, {}
+            if old:
+                taken[name] = known
+                continue
+            stem, ext = split_name(name)
+            turn, at = 0, name
+            while at in taken and (taken[at] is None or taken[at] != checksum):
+                turn += 1
+                at = f"{stem}-{short}{ext}" if turn == 1 else f"{stem}-{short}-{turn}{ext}"
+            out.append((file, "reuse" if at in taken else "new", f"{d}/{at}" if d else at, checksum))
+            taken.setdefault(at, checksum)
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["file", "kind", "destination_path", "checksum"])
 
 
 def plan_destinations(files: DataFrame, existing: DataFrame, template: str = paths.DEFAULT_TEMPLATE, compat: str = "documented", unicode: bool = True) -> DataFrame:
@@ -59,7 +61,8 @@ def plan_destinations(files: DataFrame, existing: DataFrame, template: str = pat
     known = F.col("verified_checksum") if compat == "documented" else none
     old = existing.select(paths.dirname("destination_path").alias("directory"), paths.basename("destination_path").alias("name"), F.lit(True).alias("existing"), none.alias("file"), none.alias("relative_path"), none.alias("checksum"), none.alias("short"), known.alias("verified_checksum"))
     old = old.join(fresh.select("directory").distinct(), "directory", "left_semi")  # directories without new files aren't planned
-    planned = fresh.unionByName(old).groupBy("directory").applyInPandas(_plan, SCHEMA)
+    rows = fresh.unionByName(old).repartition("directory").sortWithinPartitions("directory", F.desc("existing"), "relative_path", "file")
+    planned = rows.mapInArrow(_plan, SCHEMA)
     return planned.unionByName(invalid)
 
 
