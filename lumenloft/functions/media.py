@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenloft.functions.core import col, js_round, non_empty
 
-#: Extensions by media type; the second pair is the smaller one that card counts use.
+#: Extensions by media type; the second pair is the smaller one of a listed entry's kind.
 PHOTO = ".3fr .arw .avif .cr2 .cr3 .dng .erf .fff .heic .heif .iiq .jpeg .jpg .jxl .kdc .mef .mos .mrw .nef .nrw .orf .pef .png .raf .raw .rw2 .rwl .sr2 .srf .srw .tif .tiff .webp .x3f".split()
 VIDEO = ".3gp .avi .insv .lrv .m2t .m2ts .m4v .mkv .mov .mp4 .mpeg .mpg .mts .r3d .webm".split()
 KIND_IMAGE = ".jpg .jpeg .png .heic .heif .tif .tiff .dng .raw .arw .cr2 .cr3 .nef .orf .pef .raf .rw2 .srw".split()

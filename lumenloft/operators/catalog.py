@@ -157,10 +157,11 @@ def recoverable_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def card_media(files: DataFrame) -> DataFrame:
-    """Media of a card by modification day and in total (a row with a null day), in one pass."""
-    kind = media.media_kind("extension")
+    """Media of a card by modification day and in total (a row with a null day), in one pass. Kinds are those of the
+    catalog's media types, so every extension that makes a photo or video there is counted as one."""
+    kind = media.media_type("extension")
     rows = files.select(dates.mtime_day("modified_at").alias("day"), kind.alias("kind"), "size_bytes")
-    out = rows.rollup("day").agg(F.grouping("day").alias("is_total"), F.count_if(F.col("kind") == "image").alias("photos"), F.count_if(F.col("kind") == "video").alias("videos"), F.count_if(F.col("kind") == "other").alias("other"), F.sum("size_bytes").alias("bytes"))
+    out = rows.rollup("day").agg(F.grouping("day").alias("is_total"), F.count_if(F.col("kind") == "photo").alias("photos"), F.count_if(F.col("kind") == "video").alias("videos"), F.count_if(~F.col("kind").isin("photo", "video")).alias("other"), F.sum("size_bytes").alias("bytes"))
     return out.orderBy("is_total", "day")
 
 

@@ -31,11 +31,12 @@ def classify(current: DataFrame, prior: DataFrame, compat: str = "documented") -
         raise ValueError("compat is documented or composed-app")
     c = current if compat == "documented" else current.withColumn("full_checksum", F.lit(None).cast("string"))
     p = prior.select("id", "source_id", "relative_path", "canonical_path_key", "size_bytes", "modified_at", "quick_fingerprint", "full_checksum", "copy_status", "rank")
-    path = _best(p, ["source_id", "canonical_path_key"], "by_path")
+    path = _best(p, ["source_id", "relative_path"], "by_path")
     exact = _best(p, ["source_id", "canonical_path_key", "relative_path", "size_bytes", "modified_at", "quick_fingerprint"], "by_exact")
-    # same size under another path: the best of all paths, and the best of the paths other than that one's
-    size = p.groupBy("source_id", "size_bytes").agg(F.count_distinct("canonical_path_key").alias("paths"), F.min("canonical_path_key").alias("only_path"), F.min(F.struct("rank", locale_order("id").alias("o"), "id", "canonical_path_key")).alias("first"))
-    other = p.join(size.select("source_id", "size_bytes", F.col("first.canonical_path_key").alias("fp")), ["source_id", "size_bytes"]).filter("canonical_path_key <> fp")
+    # same size under another path: the best of all paths, and the best of the paths other than that one's. Paths are
+    # compared as they are written: two spellings of one canonical key are two paths.
+    size = p.groupBy("source_id", "size_bytes").agg(F.min(F.struct("rank", locale_order("id").alias("o"), "id", "relative_path")).alias("first"))
+    other = p.join(size.select("source_id", "size_bytes", F.col("first.relative_path").alias("fp")), ["source_id", "size_bytes"]).filter("relative_path <> fp")
     other = _best(other, ["source_id", "size_bytes"], "next")
     sums = p.filter("full_checksum is not null")
     own = _best(sums, ["source_id", "full_checksum"], "by_sum")
@@ -43,10 +44,13 @@ def classify(current: DataFrame, prior: DataFrame, compat: str = "documented") -
     every = sums.groupBy("full_checksum").agg(F.min(F.struct("rank", locale_order("id").alias("o"), "id", "source_id")).alias("top"))
     rest = sums.join(every.select("full_checksum", F.col("top.source_id").alias("ts")), "full_checksum").filter("source_id <> ts")
     rest = _best(rest, ["full_checksum"], "second")
-    r = c.join(path, ["source_id", "canonical_path_key"], "left").join(exact, ["source_id", "canonical_path_key", "relative_path", "size_bytes", "modified_at", "quick_fingerprint"], "left")
+    # only files with a checksum take part in its joins: the others, most of a real batch, would all have the null key
+    summed = c.filter("full_checksum is not null").select("file", "source_id", "full_checksum")
+    summed = summed.join(own, ["source_id", "full_checksum"], "left").join(every, "full_checksum", "left").join(rest, "full_checksum", "left").select("file", "by_sum", "top", "second")
+    r = c.join(path, ["source_id", "relative_path"], "left").join(exact, ["source_id", "canonical_path_key", "relative_path", "size_bytes", "modified_at", "quick_fingerprint"], "left")
     r = r.join(size.select("source_id", "size_bytes", "first"), ["source_id", "size_bytes"], "left").join(other, ["source_id", "size_bytes"], "left")
-    r = r.join(own, ["source_id", "full_checksum"], "left").join(every, "full_checksum", "left").join(rest, "full_checksum", "left")
-    same_size = F.when(F.col("first.canonical_path_key") != F.col("canonical_path_key"), F.col("first.id")).otherwise(F.col("next.id"))
+    r = r.join(summed, "file", "left")
+    same_size = F.when(F.col("first.relative_path") != F.col("relative_path"), F.col("first.id")).otherwise(F.col("next.id"))
     cross = F.when(F.col("top.source_id") != F.col("source_id"), F.col("top.id")).otherwise(F.col("second.id"))
     known_sum = F.col("full_checksum").isNotNull()
 

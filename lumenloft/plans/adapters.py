@@ -16,7 +16,7 @@ VIEWS = {
     "sessions": f"""SELECT cast(o_orderkey as string) AS id, cast(o_custkey as string) AS source_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'copying' ELSE 'failed' END AS status, {_ORDER} AS started_at,
         CASE WHEN o_orderstatus <> 'O' THEN {_ORDER} END AS completed_at, CASE WHEN o_orderstatus = 'P' THEN 'COPY_FAILED' END AS error_code, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS error_message FROM {{orders}}""",
     "files": """SELECT cast(p_partkey as string) AS id, cast(p_partkey % 150 as string) AS source_id, cast(p_partkey % 500 as string) AS ingest_session_id, p_brand || '/' || replace(p_name, ' ', '_') || '_' || cast(p_partkey as string) AS relative_path,
-        p_brand || '/' || replace(p_name, ' ', '_') AS canonical_path_key, replace(p_name, ' ', '_') AS name, CASE p_size % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.mov' WHEN 2 THEN '.nef' ELSE '.txt' END AS extension, cast(floor(p_retailprice) as bigint) AS size_bytes,
+        p_brand || '/' || replace(p_name, ' ', '_') AS canonical_path_key, replace(p_name, ' ', '_') AS name, CASE p_size % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.mov' WHEN 2 THEN '.nef' WHEN 3 THEN '.txt' WHEN 4 THEN '.webp' ELSE '.insv' END AS extension, cast(floor(p_retailprice) as bigint) AS size_bytes,
         CASE WHEN p_size % 5 > 0 THEN '2021-03-' || lpad(cast(p_size % 28 + 1 as string), 2, '0') || 'T10:00:00.000Z' END AS modified_at, CASE p_size % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'new' END AS status,
         CASE WHEN p_size % 4 = 1 AND p_size % 3 = 0 THEN 'READ_FAILED' END AS error_code, CASE WHEN p_size % 4 = 1 THEN p_type END AS error_message,
         CASE p_size % 4 WHEN 0 THEN 'photo' WHEN 1 THEN 'video' WHEN 2 THEN 'photo' END AS media_type, CASE WHEN p_size % 3 = 0 THEN '2021-02-' || lpad(cast(p_size % 28 + 1 as string), 2, '0') END AS capture_day,
@@ -40,8 +40,8 @@ VIEWS = {
     "samples": """SELECT cast(user_id as string) AS session, cast(event_id as bigint) AS seq, cast(floor(value * 1000000) as bigint) AS bps, event_type, value, props FROM {events}""",
     "progress": """SELECT cast(user_id as string) AS session, cast(event_id as bigint) AS seq, cast(user_id as string) || ':' || cast(event_id % 7 as string) AS file, cast(floor(value * 100) as bigint) AS bytes,
         CASE event_id % 5 WHEN 0 THEN 'discovered' WHEN 1 THEN 'progress' WHEN 2 THEN 'completed' WHEN 3 THEN 'status' ELSE 'failed' END AS kind, CASE WHEN event_id % 5 = 3 THEN event_type END AS status FROM {events}""",
-    "contents": """SELECT cast(doc_id as string) AS file, source AS source_id, source || '/' || cast(doc_id % 300 as string) || '.jpg' AS relative_path, source || '/' || cast(doc_id % 300 as string) || '.jpg' AS canonical_path_key, cast(n_chars as bigint) AS size_bytes,
-        '2022-01-' || lpad(cast(doc_id % 28 + 1 as string), 2, '0') || 'T00:00:00Z' AS modified_at, lang, text, doc_id FROM {documents}""",
+    "contents": """SELECT cast(doc_id as string) AS file, source AS source_id, source || CASE WHEN doc_id % 5 = 0 THEN '/cafe\u0301' ELSE '/caf\u00e9' END || cast(doc_id % 31 as string) || '.jpg' AS relative_path, source || '/caf\u00e9' || cast(doc_id % 31 as string) || '.jpg' AS canonical_path_key,
+        cast(n_chars % 40 as bigint) AS size_bytes, '2022-01-0' || cast(doc_id % 3 + 1 as string) || 'T00:00:00Z' AS modified_at, lang, text, doc_id FROM {documents}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

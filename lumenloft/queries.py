@@ -156,7 +156,7 @@ def recoverable_sessions(v):
     return catalog.recoverable_sessions(v.sessions).select("id", "status", "started_at")
 
 
-CARD_SQL = """SELECT {day} AS day, {total} AS is_total, count(*) FILTER (WHERE extension IN ('.jpg', '.nef')) AS photos, count(*) FILTER (WHERE extension = '.mov') AS videos, count(*) FILTER (WHERE extension = '.txt') AS other, cast(sum(size_bytes) AS bigint) AS bytes FROM files"""
+CARD_SQL = """SELECT {day} AS day, {total} AS is_total, count(*) FILTER (WHERE extension IN ('.jpg', '.nef', '.webp')) AS photos, count(*) FILTER (WHERE extension IN ('.mov', '.insv')) AS videos, count(*) FILTER (WHERE extension = '.txt') AS other, cast(sum(size_bytes) AS bigint) AS bytes FROM files"""
 
 
 @query(CARD_SQL.format(day="substr(modified_at, 1, 10)", total="0") + " GROUP BY 1 UNION ALL " + CARD_SQL.format(day="null", total="1"))
@@ -301,9 +301,9 @@ def _classify_inputs(v, sums: bool):
 CLASS_SQL = """WITH p AS (SELECT 'f' || lpad(file, 8, '0') AS id, *, sha256(text) AS sum, CASE doc_id % 6 WHEN 2 THEN 'verified' WHEN 4 THEN 'started' ELSE 'none' END AS st, CASE doc_id % 6 WHEN 2 THEN 0 WHEN 4 THEN 1 ELSE 2 END AS rk FROM contents WHERE doc_id % 2 = 0),
     c AS (SELECT *, %s AS sum FROM contents WHERE doc_id %% 2 = 1),
     s1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id = c.source_id AND p.sum = c.sum GROUP BY 1),
-    e1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id = c.source_id AND p.canonical_path_key = c.canonical_path_key AND p.size_bytes = c.size_bytes AND p.modified_at = c.modified_at GROUP BY 1),
-    p1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id = c.source_id AND p.canonical_path_key = c.canonical_path_key GROUP BY 1),
-    z1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id = c.source_id AND p.size_bytes = c.size_bytes AND p.canonical_path_key <> c.canonical_path_key GROUP BY 1),
+    e1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id = c.source_id AND p.relative_path = c.relative_path AND p.canonical_path_key = c.canonical_path_key AND p.size_bytes = c.size_bytes AND p.modified_at = c.modified_at GROUP BY 1),
+    p1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id = c.source_id AND p.relative_path = c.relative_path GROUP BY 1),
+    z1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id = c.source_id AND p.size_bytes = c.size_bytes AND p.relative_path <> c.relative_path GROUP BY 1),
     x1 AS (SELECT c.file, min(cast(p.rk AS string) || p.id || p.st) AS b FROM c JOIN p ON p.source_id <> c.source_id AND p.sum = c.sum GROUP BY 1),
     r AS (SELECT c.file, c.sum, c.size_bytes, s1.b AS s, e1.b AS e, p1.b AS p, z1.b AS z, x1.b AS x FROM c LEFT JOIN s1 USING (file) LEFT JOIN e1 USING (file) LEFT JOIN p1 USING (file) LEFT JOIN z1 USING (file) LEFT JOIN x1 USING (file)),
     k AS (SELECT *, CASE WHEN sum IS NOT NULL AND s IS NOT NULL THEN CASE substr(s, 1, 1) WHEN '0' THEN 'verified-full-checksum-match' WHEN '2' THEN 'unverified-prior-record' ELSE 'incomplete-prior-copy' END
@@ -767,19 +767,31 @@ def sessions_of_source(v):
     return v.sessions.filter("source_id = '9'").orderBy(F.desc("started_at"), F.desc("id")).select("id", "started_at")
 
 
-# volumes: SQL has no recursive read of these trees; the tests compare them with literals
+# volumes: trees of disks built from rows, one for each supplier
 
+TREE_SQL = """SELECT s_suppkey, '{{"blockdevices":[{{"name":"sd' || cast(s_suppkey as string) || '","rm":"' || CASE s_suppkey % 3 WHEN 0 THEN '1' ELSE '0' END || '","tran":"' || CASE s_suppkey % 3 WHEN 1 THEN 'USB' ELSE 'sata' END || '","vendor":" V ","children":[{{"name":"a","label":"'
+    || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE ' ' END || '","fstype":"' || CASE WHEN s_suppkey % 11 = 0 THEN 'tmpfs' ELSE 'exfat' END || '","size":"' || cast(s_suppkey * 1000 as string) || '","mountpoints":["/media/c' || cast(s_suppkey as string) || '",null]}},{{"name":"b","uuid":"U'
+    || cast(s_suppkey as string) || '","mountpoint":"' || CASE s_suppkey % 7 WHEN 0 THEN '/var/lib/docker' WHEN 1 THEN '/usr//' WHEN 2 THEN '/proc/x' WHEN 3 THEN '/usrlocal' ELSE '/home' END || '"}}]}}]}}' AS lsblk FROM {supplier}"""
 
-@query()
+
+@query("""WITH s AS (SELECT *, s_suppkey % 3 = 0 AS rm, CASE WHEN s_suppkey % 3 = 1 THEN 'usb' ELSE 'sata' END AS tran FROM supplier WHERE s_suppkey % 3 <> 2 AND s_suppkey % 7 > 1),
+    v AS (SELECT s.*, '/media/c' || cast(s_suppkey AS string) AS mount_path, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS volume_label, NULL AS platform_volume_id, 'exfat' AS fs_type, s_suppkey * 1000 AS capacity_bytes FROM s WHERE s_suppkey % 11 <> 0
+      UNION ALL SELECT s.*, CASE WHEN s_suppkey % 7 = 3 THEN '/usrlocal' ELSE '/home' END, NULL, 'U' || cast(s_suppkey AS string), NULL, NULL FROM s WHERE s_suppkey % 7 <> 2)
+    SELECT cast(s_suppkey AS bigint) AS s_suppkey, mount_path, coalesce(volume_label, regexp_extract(mount_path, '[^/]*$')) AS display_name, volume_label, platform_volume_id, fs_type, cast(capacity_bytes AS bigint) AS capacity_bytes, 'V' AS device_vendor, CASE WHEN s_suppkey % 4 = 0 AND tran = 'mmc' THEN 'SD' END AS device_model, tran AS transport, rm AS removable_device FROM v""")
 def linux_volumes(v):
-    tree = '{"blockdevices":[{"name":"sdb","rm":"1","tran":"usb","vendor":"V ","model":"M","children":[{"name":"sdb1","uuid":"U","label":"CARD","fstype":"exfat","size":"64","mountpoints":["/media/card",null]}]},{"name":"sda","rm":"1","children":[{"name":"sda1","mountpoint":"/"}]}]}'
-    return volumes.sort_volumes(volumes.linux_volumes(v.table("region").select(F.col("r_name").alias("host"), F.lit(tree).alias("lsblk")))).drop("raw_facts")
+    out = volumes.linux_volumes(v.sql(TREE_SQL).withColumn("s_suppkey", F.col("s_suppkey").cast("long")))
+    return out.select("s_suppkey", "mount_path", "display_name", "volume_label", "platform_volume_id", "fs_type", "capacity_bytes", "device_vendor", "device_model", F.col("raw_facts")["transport"].alias("transport"), (F.col("raw_facts")["removableDevice"] == "true").alias("removable_device"))
 
 
-@query()
+WINDOWS_SQL = r"""SELECT s_suppkey, '{{"AccessPaths":["' || CASE WHEN s_suppkey % 2 = 0 THEN 'e' ELSE 'F' END || ':\\\\"],"Label":"' || CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '' END || '","FileSystem":"exFAT","Capacity":' || cast(s_suppkey * 64 as string) || ',"DriveType":"' || CASE s_suppkey % 4 WHEN 0 THEN 'Removable' ELSE 'Fixed' END
+    || '","SerialNumber":"S' || cast(s_suppkey as string) || '","BusType":"' || CASE s_suppkey % 4 WHEN 1 THEN 'SD' ELSE 'SATA' END || '"' || CASE s_suppkey % 5 WHEN 0 THEN ',"IsRemovable":false' WHEN 1 THEN ',"IsRemovable":true' ELSE '' END || CASE s_suppkey % 13 WHEN 0 THEN ',"IsSystem":true' ELSE '' END || '}}' AS volumes FROM {supplier}"""
+
+
+@query(r"""SELECT cast(s_suppkey AS bigint) AS s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'E:\' ELSE 'F:\' END AS mount_path, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 2 = 0 THEN 'E:' ELSE 'F:' END AS display_name, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS volume_label,
+    'serial:S' || cast(s_suppkey AS string) AS platform_volume_id, 'exFAT' AS fs_type, cast(s_suppkey * 64 AS bigint) AS capacity_bytes FROM supplier WHERE s_suppkey % 13 <> 0 AND s_suppkey % 5 <> 0 AND (s_suppkey % 5 = 1 OR s_suppkey % 4 < 2)""")
 def windows_volumes(v):
-    one = r'{"AccessPaths":["e:\\"],"Label":"CARD","FileSystem":"exFAT","Capacity":64,"DriveType":"Removable","SerialNumber":"S","BusType":"USB","IsRemovable":true,"IsBoot":false,"IsSystem":false}'
-    return volumes.windows_volumes(v.table("region").select(F.col("r_name").alias("host"), F.lit(one).alias("volumes"))).drop("raw_facts")
+    out = volumes.windows_volumes(v.sql(WINDOWS_SQL).withColumn("s_suppkey", F.col("s_suppkey").cast("long")))
+    return out.select("s_suppkey", "mount_path", "display_name", "volume_label", "platform_volume_id", "fs_type", "capacity_bytes")
 
 
 @query("SELECT r_name AS mount_path, 's' || cast(r_regionkey AS string) AS source_id FROM region WHERE r_regionkey % 2 = 0")

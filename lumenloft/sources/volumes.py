@@ -17,9 +17,11 @@ from lumenloft.functions.core import boolean_fact, safe_capacity
 #: File systems without media, buses of removable media, and mount points of the system.
 PSEUDO = ("proc", "sysfs", "devtmpfs", "devfs", "tmpfs", "cgroup", "cgroup2", "overlay", "squashfs", "tracefs", "debugfs")
 BUSES = ("usb", "mmc", "sd")
-SYSTEM = ("/", "/boot", "/boot/efi", "/efi", "/home", "/usr", "/var", "[SWAP]")
+SYSTEM = ("/", "/boot", "/boot/efi", "/usr", "/var")
+#: Attributes that the kernel shows of an SD card, and the facts that they become.
+SD_FACTS = {"oemid": "sdOemId", "manfid": "sdManufacturerId", "serial": "sdSerial", "date": "sdManufactureDate", "prv": "sdProductRevision"}
 DEPTH = 6
-_FIELDS = ("name", "rm", "hotplug", "tran", "uuid", "label", "fstype", "size", "vendor", "model", "mountpoint")
+_FIELDS = ("name", "rm", "hotplug", "tran", "uuid", "label", "fstype", "size", "vendor", "model", "mountpoint", "path", "type")
 
 
 def _node(depth: int) -> str:
@@ -31,30 +33,64 @@ def _blank(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def linux_volumes(outputs: DataFrame, column: str = "lsblk", system=SYSTEM) -> DataFrame:
+def is_system_mount(mount: Column, system=SYSTEM) -> Column:
+    """A mount point of the system or below one; nothing is below the root in this sense."""
+    m = F.regexp_replace(mount, "/+$", "")
+    hit = m.isin("", *[s for s in system if s != "/"]) if "/" in system else m.isin(*system)
+    for s in system:
+        if s != "/":
+            hit |= m.startswith(s + "/")
+    return hit
+
+
+def sd_facts(spark: SparkSession, disks: list[str], root: str = "/sys/class/block") -> DataFrame:
+    """disk, name and the attributes of SD_FACTS of this host's SD cards, null where the kernel doesn't show them."""
+    rows = []
+    for disk in disks:
+        row = [disk]
+        for field in ("name", *SD_FACTS):
+            try:
+                with open(os.path.join(root, disk, "device", field)) as f:
+                    row.append(f.read().strip() or None)
+            except OSError:
+                row.append(None)
+        rows.append(tuple(row))
+    return spark.createDataFrame(rows, "disk string, name string, " + ", ".join(f"{f} string" for f in SD_FACTS))
+
+
+def linux_volumes(outputs: DataFrame, column: str = "lsblk", system=SYSTEM, sd: DataFrame | None = None) -> DataFrame:
     """From `lsblk --json --bytes`. Signals of a disk hold for its partitions; a disk any part of which is mounted as part
-    of the system is left out whole."""
+    of the system is left out whole. `sd` (the keys of outputs, disk, name and SD_FACTS) adds what the kernel tells of SD
+    cards, for disks on the mmc bus; its name stands in for a missing model."""
     keys = [c for c in outputs.columns if c != column]
     top = outputs.select(*keys, F.monotonically_increasing_id().alias("_host"), F.posexplode(F.from_json(F.col(column), f"struct<blockdevices:array<{_node(DEPTH)}>>")["blockdevices"]).alias("_disk", "d"))
     rows = []
-    level = top.select(*keys, "_host", "_disk", "d", F.lit(False).alias("removable"), F.lit(False).alias("hotplug"), *[F.lit(None).cast("string").alias(c) for c in ("transport", "vendor", "model")])
+    level = top.select(*keys, "_host", "_disk", "d", F.lit(False).alias("removable"), F.lit(False).alias("hotplug"), *[F.lit(None).cast("string").alias(c) for c in ("transport", "vendor", "model")], F.col("d.name").alias("disk"))
     for i in range(DEPTH + 1):
         own = level.select(
             *keys, "_host", "_disk", "d", (F.col("removable") | F.coalesce(boolean_fact("d.rm"), F.lit(False))).alias("removable"), (F.col("hotplug") | F.coalesce(boolean_fact("d.hotplug"), F.lit(False))).alias("hotplug"),
-            F.coalesce(F.lower(_blank(F.col("d.tran"))), "transport").alias("transport"), F.coalesce("vendor", _blank(F.col("d.vendor"))).alias("vendor"), F.coalesce("model", _blank(F.col("d.model"))).alias("model"),
+            F.coalesce(F.lower(_blank(F.col("d.tran"))), "transport").alias("transport"), F.coalesce("vendor", _blank(F.col("d.vendor"))).alias("vendor"), F.coalesce("model", _blank(F.col("d.model"))).alias("model"), "disk",
         )
         mounts = F.array_distinct(F.filter(F.concat(F.coalesce("d.mountpoints", F.array().cast("array<string>")), F.array("d.mountpoint")), lambda m: m.isNotNull() & (m != "")))
-        rows.append(own.select(*keys, "_host", "_disk", mounts.alias("mounts"), "removable", "hotplug", "transport", "vendor", "model", *[_blank(F.col(f"d.{f}")).alias(f) for f in ("label", "uuid", "fstype", "size")]))
+        rows.append(own.select(*keys, "_host", "_disk", mounts.alias("mounts"), "removable", "hotplug", "transport", "vendor", "model", "disk", *[_blank(F.col(f"d.{f}")).alias(f) for f in ("label", "uuid", "fstype", "size", "path", "type")]))
         if i < DEPTH:
-            level = own.select(*keys, "_host", "_disk", F.explode("d.children").alias("d"), "removable", "hotplug", "transport", "vendor", "model")
+            level = own.select(*keys, "_host", "_disk", F.explode("d.children").alias("d"), "removable", "hotplug", "transport", "vendor", "model", "disk")
     every = rows[0]
     for r in rows[1:]:
         every = every.unionByName(r)
-    ours = F.exists("mounts", lambda m: m.isin(*system))
+    ours = F.exists("mounts", lambda m: is_system_mount(m, system))
     every = every.join(every.filter(ours).select("_host", "_disk").distinct(), ["_host", "_disk"], "left_anti")
     found = every.filter(F.col("removable") | F.col("hotplug") | F.col("transport").isin(*BUSES)).select("*", F.explode("mounts").alias("mount_path"))
     found = found.filter(F.col("mount_path").startswith("/") & (F.col("mount_path") != "/") & ~F.col("mount_path").rlike("^/(?:proc|sys|dev)/") & ~F.coalesce(F.lower("fstype").isin(*PSEUDO), F.lit(False)))
-    facts = F.map_filter(F.create_map(F.lit("removable"), F.col("removable").cast("string"), F.lit("hotplug"), F.col("hotplug").cast("string"), F.lit("transport"), F.col("transport")), lambda k, v: v.isNotNull())
+    told = {"removableDevice": F.col("removable").cast("string"), "hotplug": F.col("hotplug").cast("string"), "transport": F.col("transport"), "devicePath": F.col("path"), "deviceType": F.col("type")}
+    if sd is not None:
+        seen = sd.select(*keys, F.col("disk").alias("_sd"), F.col("name").alias("_name"), *SD_FACTS)
+        at = (found["transport"] == "mmc") & (found["disk"] == F.col("_sd"))
+        for k in keys:
+            at &= found[k].eqNullSafe(seen[k])
+        found = found.join(seen, at, "left").select(*[found[c] for c in found.columns if c != "model"], F.coalesce(found["model"], _blank(F.col("_name"))).alias("model"), *SD_FACTS)
+        told |= {fact: _blank(F.col(field)) for field, fact in SD_FACTS.items()}
+    facts = F.map_filter(F.create_map(*[x for k, v in told.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     return found.select(
         *keys, F.lit("removable-volume").alias("source_type"), "mount_path", F.coalesce("label", F.element_at(F.split("mount_path", "/"), -1)).alias("display_name"), F.col("label").alias("volume_label"), F.col("uuid").alias("platform_volume_id"), F.col("fstype").alias("fs_type"),
         safe_capacity("size").alias("capacity_bytes"), F.col("vendor").alias("device_vendor"), F.col("model").alias("device_model"), F.lit(True).alias("removable"), facts.alias("raw_facts"),

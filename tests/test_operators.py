@@ -36,6 +36,9 @@ SUMMED = (*NOW[:7], "c")
         (NOW, [("p", "s", "a", "a", 2, "t", "q", None, "verified")], ("ambiguous", "same-path-changed-facts", True, "p", None)),
         (NOW, [("p", "s", "b", "b", 1, "t", "q", None, "verified")], ("ambiguous", "same-size-different-path", True, "p", None)),
         (NOW, [("p", "x", "a", "a", 1, "t", "q", None, "verified")], ("new", "no-prior-match", False, None, None)),
+        # one canonical key, spelled in two ways: another path of the same size
+        (("f", "s", "caf\u00e9", "caf\u00e9", 1, "t", "q", None), [("p", "s", "cafe\u0301", "caf\u00e9", 1, "t", "q", None, "verified")], ("ambiguous", "same-size-different-path", True, "p", None)),
+        (("f", "s", "caf\u00e9", "caf\u00e9", 2, "t", "q", None), [("p", "s", "cafe\u0301", "caf\u00e9", 1, "t", "q", None, "verified")], ("new", "no-prior-match", False, None, None)),
         (SUMMED, [("p", "s", "b", "b", 9, "u", "r", "c", "verified")], ("known", "verified-full-checksum-match", False, "p", None)),
         (SUMMED, [("p", "s", "b", "b", 9, "u", "r", "c", "started")], ("recoverable", "incomplete-prior-copy", False, "p", None)),
         (SUMMED, [("p", "s", "b", "b", 9, "u", "r", "c", None)], ("new", "unverified-prior-record", False, "p", None)),
@@ -174,7 +177,7 @@ def test_small_sinks(spark, tmp_path):
     assert records.read_settings(json.dumps(old))["thumbnail"]["cacheLimitBytes"] == 5
 
 
-def test_volumes(spark):
+def test_volumes(spark, tmp_path):
     disks = [
         {"name": "sda", "rm": True, "children": [{"name": "sda1", "mountpoint": "/boot"}, {"name": "sda2", "mountpoint": "/media/no"}]},
         {"name": "mmcblk0", "tran": "mmc", "vendor": " V ", "children": [{"name": "p1", "uuid": "U", "size": "64", "fstype": "exfat", "mountpoints": ["/media/CARD", "/proc/x"]}, {"name": "p2", "fstype": "tmpfs", "mountpoint": "/media/tmp"}]},
@@ -182,6 +185,20 @@ def test_volumes(spark):
     ]
     out = volumes.linux_volumes(spark.createDataFrame([("h", json.dumps({"blockdevices": disks}))], "host string, lsblk string")).collect()
     assert [(r.mount_path, r.display_name, r.platform_volume_id, r.capacity_bytes, r.device_vendor) for r in out] == [("/media/CARD", "CARD", "U", 64, "V")]
+    # the system's mount points hold for what is below them; a home folder is none of them
+    one = lambda mount: json.dumps({"blockdevices": [{"name": "sdx", "rm": "1", "children": [{"name": "sdx1", "mountpoint": mount}]}]})
+    mounts = ["/var/lib/docker", "/boot/", "/usr/share", "/", "//", "/home", "/usrlocal", "/srv/var"]
+    out = volumes.linux_volumes(spark.createDataFrame([(m, one(m)) for m in mounts], "host string, lsblk string")).collect()
+    assert sorted(r.host for r in out) == ["/home", "/srv/var", "/usrlocal"]
+    kernel = tmp_path / "mmcblk0" / "device"
+    kernel.mkdir(parents=True)
+    for field, value in {"name": "SC64G\n", "oemid": "0x5344\n", "serial": " \n"}.items():
+        (kernel / field).write_text(value)
+    card = json.dumps({"blockdevices": [{"name": "mmcblk0", "tran": "MMC", "children": [{"name": "p1", "path": "/dev/p1", "type": "part", "mountpoint": "/media/CARD"}]}, {"name": "sdb", "tran": "usb", "model": "M", "mountpoint": "/media/b"}]})
+    sd = volumes.sd_facts(spark, ["mmcblk0", "none"], str(tmp_path)).withColumn("host", F.lit("h"))
+    out = {r.mount_path: r for r in volumes.linux_volumes(spark.createDataFrame([("h", card)], "host string, lsblk string"), sd=sd).collect()}
+    assert out["/media/CARD"].device_model == "SC64G" and out["/media/b"].device_model == "M"
+    assert out["/media/CARD"].raw_facts == {"removableDevice": "false", "hotplug": "false", "transport": "mmc", "devicePath": "/dev/p1", "deviceType": "part", "sdOemId": "0x5344"}
     import plistlib
 
     info = lambda **k: plistlib.dumps(k)
