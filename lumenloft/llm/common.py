@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -20,31 +21,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_by_context.isDefined():
         return set_by_context.get()
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="lumenloft-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def materialize(df: DataFrame, tag: str, instead_of: Sequence[DataFrame] = ()) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives the loss of executors.
 
-    The files go when the JVM ends."""
+    The files go when the JVM ends, or once a table that was made from them is written `instead_of` them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    for old in instead_of:
+        forget(old)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that materialize wrote; nothing may read it any more."""
+    if path := getattr(df, "_written_at", None):
+        system, where = _file_system(df.sparkSession, path)
+        system.delete(where, True)
+        df._written_at = None
+
+
+def replayable(df: DataFrame) -> bool:
+    """Whether two passes over df see the same rows in the same order: columns and filters of files, no more."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    steps = [line for line in plan.toString().splitlines() if line.strip()]
+    return plan.deterministic() and all(re.match(r"[\s:+-]*(?:Project|Filter|Relation|RelationV2)\b", line) for line in steps)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
         # and what a node is tied to is tied to the smallest of it; a node has few edges to smaller ones
         low = far.unionByName(up.select("u", F.col("m").alias("v"))).select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
         pairs = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        e = materialize(low.select(pairs).select("e.u", "e.v").filter("u <> v").distinct(), f"{tag}-edges")
+        e = materialize(low.select(pairs).select("e.u", "e.v").filter("u <> v").distinct(), f"{tag}-edges", instead_of=[e, up])
     else:
         raise RuntimeError("the components didn't settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

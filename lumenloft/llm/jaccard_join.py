@@ -8,49 +8,66 @@ common; two sets that share one have at least o shingles in common, so they link
 
 Heavy with anything: inverted lists. Each set goes through its shingles from rare to frequent and enters the lists of its
 first m - ceil(0.75 m) + 1; a list matters where one of its sets is among the first n - ceil(6 n / 7) + 1 of a set no
-larger than the other (a shorter prefix suffices for the smaller side). Frequencies are counted over all classes for the
-shingles whose hash is below KNOWN of its range, which is the same choice in every set; these come first, the others
-after them by hash, so there's one order for all. Lists are cut by bands of size, as sets of more than 4/3 of another's
-size can't link. Sets that meet in lists are clusters; a cluster's texts come together once and every pair inside it is
-verified by counting common shingles, in blocks of bounded size where it is large. Each step yields links as a spanning
-forest rather than as pairs, which is all that components need.
-
-A third of all rows may be one text: it is one class, pre-aggregated. A shingle in a third of all classes is counted
-by partial sums and joined from its single row, so its partition can be split.
+larger than the other (a shorter prefix suffices for the smaller side). Lists are cut by bands of size, as sets of more
+than 4/3 of another's size can't link.
+
+Frequencies are those of all shingles. Batches of texts send their distinct shingles, once each with a count, to buckets
+of the range of hashes; a bucket adds up and tells each batch which of its shingles others have too, and how often. The
+order needs no more than a number that is the same wherever a shingle is seen: the shingles travel as the leading bits of
+their hashes, as many as make chance collisions rare for the corpus at hand, and a collision only makes a shingle look
+less rare. What stands in one text alone is in no list, so only the shared shingles travel back. A frequent shingle, one
+in a third of all texts, costs one entry for each batch.
+
+Candidates are verified as pairs. In the first round each list asks its sets against one of them, the head; what links
+there is a component. The sets of a list that are in other components than its head are then compared with the list's
+other sets, in blocks, by parity bitmaps: the bits in which the bitmaps of two sets differ never outnumber the shingles in
+which the sets differ, so a pair too far apart is dropped without a loss. Of what is left only the closest pairs that
+would join two components are verified, by their sets; the number of them that a set may ask for in a round grows until
+nothing is held back and nothing new is found. So the copies of one text cost a pair each and not a pair for every two of
+them, and no pairs of a group are written out. What stays quadratic is the comparison of bitmaps, where a list has many
+sets that don't link with its head.
+
+A third of all rows may be one text: batches see it once each, and it is one class. A shingle in a third of all classes
+is counted by partial sums, its list's head is found by partial minima and joined from its single row, so that its
+partition can be split, and the list is compared in blocks of BLOCK by BLOCK.
 
 Null texts count as empty; without words a set is empty, size 0, linked with nothing: such a document is its own
 component. Texts of 1 to 4 words have one shingle, the whole sequence. doc_id names a document: rows that repeat an id are
 one document, even with different texts, and a link of one of them is a link of that id. Null ids link with nothing.
-Ties are links (similarity of exactly 0.75). Sets are compared by 64-bit hashes of shingles, classes by 128 bits. Extra
-columns aren't read; an empty table gives an empty result."""
+Ties are links (similarity of exactly 0.75). Very long texts are whole: a batch holds at least one text, so memory follows
+the longest. Sets are compared by 64-bit hashes of shingles, classes by 128 bits. Extra columns aren't read; an empty
+table gives an empty result."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import materialize, pieces
+from .common import forget, materialize, pieces, replayable
 from .components import components
 from .textvec import U, Words, mix
 
-WORDS, KNOWN = 5, 0.28
+WORDS = 5
 SMALLEST = 14  # sizes up to here may be light; their sets travel whole
-MEMBERS, SHINGLES = 1024, 500_000  # of a block of a cluster
-LIMIT = U(int(KNOWN * 2**64))
+BATCH, BUCKET = 1_500_000, 2_000_000  # shingles of a batch of texts and of a bucket
+BLOCK, FIRST, MORE = 256, 1, 8  # sets of a list that are compared at once; closest pairs that a set may ask for, and how that grows
+#: What a row costs: a shingle that is counted and told, an entry of a list, a subset of a light set, a shingle verified.
+COUNTED, ENTRY, SUBSET, VERIFIED = 1.0, 6.0, 2.0, 1.0
 BANDS = [1]
 while BANDS[-1] < 1 << 40:
     BANDS.append(4 * BANDS[-1] // 3 + 1)
 BANDS = np.array(BANDS)
 
 
-def need(n: int, m: int) -> int:
+def need(n, m):
     """Shingles that sets of sizes n and m must share: 100 common >= 75 (n + m - common)."""
     return -(-3 * (n + m) // 7)
 
@@ -67,27 +84,22 @@ def keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def set_rows(docs: DataFrame, wide: bool) -> DataFrame:
-    """doc_id, n, k1, k2 and, if wide, na and pre: the first shingles in order of hash, `na` of them known."""
-    names = ["doc_id", "n", "k1", "k2"] + ["na", "band", "pre"] * wide
+def set_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, n, k1, k2 and, where the set may be light, the set."""
+    names = ["doc_id", "n", "k1", "k2", "small"]
 
     def run(batches):
         for b in batches:
             for c in pieces(b, "text", 1 << 20):
                 sets = Words(c["text"]).sets(WORDS)
-                n = np.array([len(s) for s in sets], np.int64)
+                small = pa.array([s.view(np.int64) if len(s) <= SMALLEST else None for s in sets], pa.list_(pa.int64()))
                 k1, k2 = keys(sets)
-                columns = [c["doc_id"], pa.array(n), pa.array(k1), pa.array(k2)]
-                if wide:
-                    na = np.array([int(np.searchsorted(s, LIMIT)) for s in sets], np.int64)
-                    take = np.where(n <= SMALLEST, n, np.maximum(na, n - -(-3 * n // 4) + 1))
-                    cut = np.concatenate([[0], np.cumsum(take)])
-                    flat = np.concatenate([*[s[:t] for s, t in zip(sets, take.tolist(), strict=True)], np.zeros(0, U)]).view(np.int64)
-                    columns += [pa.array(na), pa.array(np.searchsorted(BANDS, n, side="right").astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays([c["doc_id"], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(k1), pa.array(k2), small], names)
+
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, small array<long>")
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long" + ", na long, band int, pre array<long>" * wide)
+
+# light
 
 
 def subset_plan(b: int) -> dict[int, list[tuple[int, int, int]]]:
@@ -103,14 +115,20 @@ def subset_plan(b: int) -> dict[int, list[tuple[int, int, int]]]:
     return plan
 
 
+def in_lists(n, b: int):
+    """Heavy sets, and light ones that are large enough to link with one."""
+    return (n > b) | (4 * n >= 3 * (b + 1))
+
+
 def choose_boundary(counts: dict[int, int]) -> int:
-    """The b at which rows to enumerate and to enter in lists are fewest. A list entry is shuffled and sorted three times."""
+    """The b at which all small sets together cost least: a light set the subsets that it enumerates; one in the lists its
+    shingles, counted and, where it has a candidate, verified, and its entries."""
 
     def cost(b: int) -> float:
         plan, total = subset_plan(b), 0.0
         for n, c in counts.items():
-            total += c * sum(math.comb(n, o) for _, o, _ in plan.get(n, []))
-            total += 3 * c * max(KNOWN * n, n - -(-3 * n // 4) + 1) if n > b or 4 * n >= 3 * (b + 1) else 0
+            total += c * SUBSET * sum(math.comb(n, o) for _, o, _ in plan.get(n, []))
+            total += c * ((COUNTED + VERIFIED) * n + ENTRY * (n - -(-3 * n // 4) + 1)) if in_lists(n, b) else 0
         return total
 
     return min(range(SMALLEST + 1), key=lambda b: (cost(b), b))
@@ -123,188 +141,311 @@ def light_links(classes: DataFrame, b: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for rep, pre in zip(batch["rep"].to_pylist(), batch["pre"].to_pylist(), strict=True):
-                whole = np.array(pre, np.int64).view(U)
-                for other, o, side in plan[len(pre)]:
-                    small, big = sorted((len(pre), other))
-                    some = np.array(list(combinations(range(len(pre)), o)))
+            for rep, small in zip(batch["rep"].to_pylist(), batch["small"].to_pylist(), strict=True):
+                whole = np.array(small, np.int64).view(U)
+                for other, o, side in plan[len(small)]:
+                    low, high = sorted((len(small), other))
+                    some = np.array(list(combinations(range(len(small)), o)))
                     a, c = keys([*whole[some]])
-                    out += [(x, y ^ (small << 8 | big), side, rep) for x, y in zip(a.tolist(), c.tolist(), strict=True)]
+                    out += [(x, y ^ (low << 8 | high), side, rep) for x, y in zip(a.tolist(), c.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["s1", "s2", "side", "rep"])
 
-    rows = classes.filter(F.col("n").between(1, b)).select("rep", "pre").mapInArrow(run, "s1 long, s2 long, side int, rep long")
+    rows = classes.filter(F.col("n").between(1, b)).select("rep", "small").mapInArrow(run, "s1 long, s2 long, side int, rep long")
     low = lambda *sides: F.min(F.when(F.col("side").isin(*sides), F.col("rep")))
     heads = rows.groupBy("s1", "s2").agg(low(0).alias("h0"), low(1).alias("h1"), low(2).alias("h2"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     other = F.when(F.col("side") == 0, F.col("h1")).when(F.col("side") == 1, F.col("h0")).otherwise(F.col("h2"))
     return rows.join(heads, ["s1", "s2"]).select(F.col("rep").alias("a"), other.alias("b")).filter("b is not null and a <> b")
 
 
-def frequencies(classes: DataFrame) -> DataFrame:
-    """key, df: in how many classes a shingle is, where more than one. Each task sends sorted keys with counts, packed."""
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# frequencies and prefixes
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers, compressed byte plane by byte plane."""
+    head = np.array([[len(a), a.itemsize] for a in arrays], np.int64).tobytes()
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + body)
+
+
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    raw, out = zstandard.ZstdDecompressor().decompress(data), []
+    at = 16 * n
+    for size, width in np.frombuffer(raw, np.int64, 2 * n).reshape(n, 2).tolist():
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(np.dtype(f"u{width}")).ravel())
+        at += size * width
+    return out
+
+
+def gaps(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which wrap around where the next is smaller; np.cumsum undoes it."""
+    return np.diff(a, prepend=a.dtype.type(0)) if len(a) else a
+
+
+def text_batches(batches, ask: bool, boundary: int, bits: int, buckets: int):
+    """The distinct shingles of a batch of texts for the buckets (ask), or its sets as places in that list. A batch is
+    named by a hash of its sets, so both passes name it alike; batches of equal sets get equal answers."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    size = 0
+
+    def finish():
+        k = np.array(list(held), np.int64).reshape(-1, 2)
+        name = int.from_bytes(hashlib.blake2b(k.tobytes(), digest_size=8).digest(), "little", signed=True)
+        sizes = np.array([len(s) for s in held.values()], np.uint32)
+        key, at, count = np.unique(np.concatenate(list(held.values())) >> U(64 - bits), return_inverse=True, return_counts=True)
+        if ask:
+            bucket = (key >> U(bits - buckets)).astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            stop = [*begin[1:].tolist(), len(key)]
+            data = [pack(gaps(key[s:e]), count[s:e].astype(np.uint32)) for s, e in zip(begin.tolist(), stop, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array([name] * len(data), pa.int64()), pa.array(begin, pa.int64()), pa.array(data, pa.binary())], ["bucket", "batch", "first", "data"])
+        data = pack(k[:, 0].astype(U), k[:, 1].astype(U), sizes, gaps(at.astype(np.uint32)))  # sets are sorted, so their places are
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([1], pa.int32()), pa.array([data], pa.binary())], ["batch", "kind", "data"])
+
+    for b in batches:
+        for c in pieces(b, "text", 1 << 20):
+            sets = Words(c["text"]).sets(WORDS)
+            for k1, k2, s in zip(*[k.tolist() for k in keys(sets)], sets, strict=True):
+                if len(s) and in_lists(len(s), boundary) and (k1, k2) not in held:
+                    held[k1, k2] = s
+                    size += len(s)
+            if size >= BATCH:
+                yield finish()
+                held, size = {}, 0
+    if held:
+        yield finish()
+
+
+def count_buckets(batches):
+    """Rows of a bucket come together. Adds up how often each shingle is asked for, and tells the batches of those asked for
+    more than once: their places, the shingles and the numbers."""
+
+    def told(asked):
+        parts = [unpack(data, 2) for _, _, data in asked]
+        key = [np.cumsum(p[0], dtype=U) for p in parts]
+        every, at = np.unique(np.concatenate(key), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([p[1] for p in parts]).astype(float)).astype(np.uint32)
+        rows, start = [], 0
+        for (batch, first, _), k in zip(asked, key, strict=True):
+            df = total[at[start : start + len(k)]]
+            start += len(k)
+            many = np.flatnonzero(df > 1)
+            if len(many):
+                rows.append((batch, 0, pack(gaps((first + many).astype(np.uint32)), gaps(k[many]), df[many])))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "kind", "data"])
+
+    here, asked = None, []
+    for b in batches:
+        for bucket, batch, first, data in zip(*[b[c].to_pylist() for c in ("bucket", "batch", "first", "data")], strict=True):
+            if bucket != here and asked:
+                yield told(asked)
+                asked = []
+            here = bucket
+            asked.append((batch, first, data))
+    if asked:
+        yield told(asked)
+
+
+def prefixes(batches):
+    """A batch's answers come before its sets. key, k1, k2, n, band, lead: the shared shingles among each set's first."""
+    here, answers = None, []
+    for b in batches:
+        for batch, kind, data in zip(b["batch"].to_pylist(), b["kind"].to_pylist(), b["data"].to_pylist(), strict=True):
+            if batch != here:
+                here, answers = batch, []
+            if kind == 0:
+                answers.append(unpack(data, 3))
+                continue
+            if not answers:
+                continue
+            k1, k2, sizes, at = unpack(data, 4)
+            at = np.cumsum(at, dtype=np.uint32).astype(np.int64)
+            place = np.concatenate([np.cumsum(a[0], dtype=np.uint32) for a in answers]).astype(np.int64)
+            df, key = np.zeros(int(at.max()) + 1, np.int64), np.zeros(int(at.max()) + 1, U)
+            df[place], key[place] = np.concatenate([a[2] for a in answers]), np.concatenate([np.cumsum(a[1], dtype=U) for a in answers])
+            n = sizes.astype(np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            shared = np.flatnonzero(df[at] > 0)
+            order = shared[np.lexsort((at[shared], df[at[shared]], owner[shared]))]
+            own = owner[order]
+            many = np.bincount(own, minlength=len(n))
+            rank = np.arange(len(order)) - (np.cumsum(many) - many)[own] + (n - many)[own]  # what no other has comes first
+            keep = rank < (n - -(-3 * n // 4) + 1)[own]
+            own, rank, order = own[keep], rank[keep], order[keep]
+            columns = [key[at[order]].view(np.int64), k1[own].view(np.int64), k2[own].view(np.int64), n[own], np.searchsorted(BANDS, n, side="right").astype(np.int32)[own], rank < (n - -(-6 * n // 7) + 1)[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "k1", "k2", "n", "band", "lead"])
+
+
+def list_entries(docs: DataFrame, total: int, b: int) -> DataFrame:
+    """key, k1, k2, n, band, lead of the sets that the lists hold."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(n, -(-total // BUCKET)).bit_length()  # 2 ** buckets of them
+    bits = min(64, max(32, total.bit_length() + 8, buckets))
+    asked = docs.mapInArrow(lambda it: text_batches(it, True, b, bits, buckets), "bucket long, batch long, first long, data binary")
+    told = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count_buckets, "batch long, kind int, data binary")
+    held = docs.mapInArrow(lambda it: text_batches(it, False, b, bits, buckets), "batch long, kind int, data binary")
+    both = told.unionByName(held).repartition(n, "batch").sortWithinPartitions("batch", "kind")
+    return both.mapInArrow(prefixes, "key long, k1 long, k2 long, n long, band int, lead boolean")
+
+
+def inverted_lists(docs: DataFrame, classes: DataFrame, total: int, b: int) -> DataFrame:
+    """key, band, node (a class by its document), k1, k2, n, lead: the entries of lists with a leading set and another one."""
+    rows = materialize(list_entries(docs, total, b), "jaccard-prefixes")
+    rows = rows.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("at"), "k1", "k2", "n", (F.col("lead") & (F.col("at") == F.col("band"))).alias("lead")).withColumnRenamed("at", "band")
+    one = F.struct("k1", "k2")
+    full = rows.groupBy("key", "band").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.max("lead").alias("led")).filter("led and lo <> hi").select("key", "band")
+    rows = rows.join(full, ["key", "band"]).distinct().join(classes.select("k1", "k2", F.col("rep").alias("node")), ["k1", "k2"])
+    return materialize(rows.select("key", "band", "node", "k1", "k2", "n", "lead"), "jaccard-lists")
+
+
+# verification
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity, for each place, of the shingles that fall on it; at least two places for a shingle, up to 2 ** 16."""
+    size = 1 << min(16, max(8, int(2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def set_members(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """node, data, bits: the sets that stand in lists, and their bitmaps."""
+
+    def run(batches):
+        seen: tuple = (None, set())
+        for b in batches:
+            for c in pieces(b, "text", 1 << 20):
+                sets, out = Words(c["text"]).sets(WORDS), []
+                for node, w1, w2, k1, k2, s in zip(*[c[x].to_pylist() for x in ("node", "k1", "k2")], *[k.tolist() for k in keys(sets)], sets, strict=True):
+                    if node != seen[0]:  # rows of a node come together, and may repeat
+                        seen = (node, set())
+                    if (w1, w2) == (k1, k2) and k1 not in seen[1]:
+                        seen[1].add(k1)
+                        out.append((node, s.tobytes(), bitmap(s)))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["node", "data", "bits"])
+
+    wanted = lists.select("node", "k1", "k2").distinct()
+    # a merge join at every size: where few sets are wanted Spark would send them to all executors, but their number grows
+    rows = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "k1", "k2", "text")
+    return materialize(rows.mapInArrow(run, "node long, data binary, bits binary"), "jaccard-members")
 
-    def ask(batches):
-        held, size = [], 0
 
-        def send():
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            part = (mix(key) % U(n)).astype(np.int64)
-            for k in np.unique(part).tolist():
-                mine = part == k
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack_keys(key[mine], count[mine])], pa.binary())], ["bucket", "data"])
+def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
 
-        for b in batches:
-            flat = b["pre"].flatten().to_numpy(zero_copy_only=False).view(U)
-            held.append(flat)
-            size += len(flat)
-            if size >= 1_000_000:
-                yield from send()
-                held, size = [], 0
-        if size:
-            yield from send()
-
-    def add(batches):
-        # keys of a bucket from all tasks; merged whenever enough is held, so that memory follows the distinct keys
-        got: dict[int, list] = {}
-        for b in batches:
-            for k, data in zip(b["bucket"].to_pylist(), b["data"].to_pylist(), strict=True):
-                parts = got.setdefault(k, [])
-                parts.append(unpack_keys(data))
-                if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(1_000_000, len(parts[0][0])):
-                    got[k] = [merge(parts)]
-        for parts in got.values():
-            key, count = merge(parts)
-            many = count > 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(count[many])], ["key", "df"])
-
-    asked = classes.select("pre").mapInArrow(ask, "bucket int, data binary").repartition(n, "bucket")
-    return asked.mapInArrow(add, "key long, df long")
-
-
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return key, np.bincount(at, weights=np.concatenate([p[1] for p in parts]).astype(float)).astype(np.int64)
-
-
-def pack_keys(key: np.ndarray, count: np.ndarray) -> bytes:
-    import zstandard
-
-    gaps = np.diff(key, prepend=U(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(key)], np.int64).tobytes() + gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + count.astype(np.uint32).tobytes())
-
-
-def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(U).ravel()
-    return np.cumsum(gaps, dtype=U), np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64)
-
-
-def heavy_clusters(classes: DataFrame, b: int) -> DataFrame:
-    """(node, component) of classes (by k1) that meet in inverted lists."""
-    df = materialize(frequencies(classes.filter(heavy_side(b))), "jaccard-df")
-    heavy = classes.filter(heavy_side(b)).select(F.col("k1").alias("node"), "n", "na", "band", "pre")
-    rows = heavy.select("node", "na", F.posexplode("pre").alias("at", "key"))
-    # the rows that are many carry a shingle, a class and, for shingles that aren't known, their place
-    rows = rows.select("key", "node", F.when(F.col("at") >= F.col("na"), F.col("at")).otherwise(-1).alias("at")).join(df, "key")
-    rows = rows.join(heavy.select("node", "n", "na", "band"), "node")
-    # known shingles in order of frequency, those of one class (not in rows) before them; then the others, in order of hash
-    seen = W.partitionBy("node", "n")
-    known = F.col("at") < 0
-    rows = rows.select("*", F.row_number().over(seen.orderBy((~known).cast("int"), "df", "key")).alias("turn"), F.sum(known.cast("int")).over(seen).alias("shared"))
-    rank = F.when(known, F.col("na") - F.col("shared") + F.col("turn")).otherwise(F.col("at") + 1)
-    short = F.col("n") - F.expr("(6 * n + 6) div 7") + 1
-    long = F.col("n") - F.expr("(3 * n + 3) div 4") + 1
-    rows = materialize(rows.filter(rank <= long).select("key", "node", F.col("band").alias("own"), (rank <= short).alias("lead")), "jaccard-prefixes")
-    rows = rows.select("key", "node", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"), "own", "lead")
-    rows = rows.select("key", "band", "node", (F.col("lead") & (F.col("band") == F.col("own"))).alias("lead"))
-    heads = rows.groupBy("key", "band").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("head"), F.count(F.lit(1)).alias("c")).filter("head is not null and c > 1").drop("c")
-    edges = rows.join(heads, ["key", "band"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    return components(edges, "jaccard-lists")
-
-
-def heavy_side(b: int):
-    """Heavy sets, and light ones that are large enough to link with one."""
-    return (F.col("n") > b) | (4 * F.col("n") >= 3 * (b + 1))
-
-
-def link_forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of a spanning forest of the links inside a block of a cluster, by counting common shingles."""
-    pdf = pdf.drop_duplicates(["doc_id", "text"])
-    texts = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"])
-    sets = [x for part in pieces(texts, "text", 1 << 20) for x in Words(part["text"]).sets(WORDS)]
-    n = np.array([len(s) for s in sets], np.int64)
-    ids, order = pdf["doc_id"].to_numpy(), np.argsort(n, kind="stable")
-    k = len(ids)
-    flat = np.concatenate([sets[i] for i in order.tolist()]) if k else np.zeros(0, U)
-    owner = np.repeat(np.arange(k), n[order])
-    by = np.argsort(flat, kind="stable")  # within a shingle by size
-    turn = np.empty(len(flat), np.int64)
-    turn[by] = np.arange(len(flat))
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[by][1:] != flat[by][:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
-    posting = owner[by]
-    begin = first[turn]  # where the shingle's list starts, for each place of flat
-    at = np.concatenate([[0], np.cumsum(n[order])])
-    parent = np.arange(k)
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    size = n[order]
-    for x in range(k):
-        s, e = begin[at[x] : at[x + 1]], turn[at[x] : at[x + 1]]
-        c = e - s  # sets before x with the shingle
-        total = int(c.sum())
-        if not total:
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*[batch[c] for c in ("a", "b", "x", "y")], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                if len(np.intersect1d(x, y, assume_unique=True)) >= need(len(x), len(y)):
+                    out.append((a.as_py(), b.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+
+    side = lambda node, data: members.select(F.col("node").alias(node), F.col("data").alias(data)).hint("merge")
+    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a long, b long").distinct()
+
+
+def head_pairs(lists: DataFrame) -> DataFrame:
+    """Each set of a list with the list's head, where their sizes allow a link."""
+    heads = lists.filter("lead").groupBy("key", "band").agg(F.min(F.struct("node", "n")).alias("head"))
+    rows = lists.join(heads, ["key", "band"]).filter((F.col("node") != F.col("head.node")) & (4 * F.least("n", "head.n") >= 3 * F.greatest("n", "head.n")))
+    return rows.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+
+
+def fold(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of `size` bytes as rows of 64-bit words; a longer one is folded onto itself, which keeps the parity."""
+    out = np.zeros((len(bits), size), np.uint8)
+    for i, x in enumerate(bits):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
+    return out.view(U)
+
+
+def closest(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
+    """One block of a list: for each asking set and each other component, up to `budget` sets of it that may link, the
+    closest first; and whether there were more."""
+    asks, others = pdf[pdf["asks"]].reset_index(drop=True), pdf[~pdf["asks"]].reset_index(drop=True)
+    out: list[tuple[int, int, bool]] = []
+    if len(asks) and len(others):
+        size = min(map(len, pdf["bits"]))
+        left, right = fold(asks["bits"].tolist(), size), fold(others["bits"].tolist(), size)
+        m, node, comp, led = (others[c].to_numpy() for c in ("n", "node", "component", "lead"))
+        for i, (x, n, own, lead) in enumerate(zip(*[asks[c].tolist() for c in ("node", "n", "component", "lead")], strict=True)):
+            apart = np.bitwise_count(right ^ left[i]).sum(axis=1)
+            may = (comp != own) & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (lead & (n <= m) | led & (m <= n)) & (apart <= n + m - 2 * need(n, m))
+            at = np.flatnonzero(may)
+            taken: dict[int, int] = {}
+            for j in at[np.lexsort((node[at], apart[at] / (n + m[at])))].tolist():
+                c = int(comp[j])
+                taken[c] = taken.get(c, 0) + 1
+                if taken[c] <= budget:
+                    y = int(node[j])
+                    out.append((min(x, y), max(x, y), False))
+            if max(taken.values(), default=0) > budget:
+                out.append((x, x, True))
+    return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
+
+
+def across(lists: DataFrame, members: DataFrame, joined: DataFrame, budget: int) -> DataFrame:
+    """a, b, more: pairs of sets in one list, in different components, that may link."""
+    rows = lists.join(joined, "node", "left").select("key", "band", "node", "n", "lead", F.coalesce("component", "node").alias("component"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", "lead", F.lit(seed)))
+    by = rows.groupBy("key", "band").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"), mark(0).alias("m0"), mark(1).alias("m1"), F.min(F.when(F.col("lead"), F.struct("node", "component"))).alias("head"),
+    )
+    # lists of two are done, and lists of the same sets are one
+    by = by.filter("lo <> hi and k > 2").groupBy("k", "m0", "m1").agg(F.min(F.struct("key", "band", F.col("head.component").alias("main"))).alias("l")).select("k", "l.*")
+    rows = rows.join(by, ["key", "band"]).withColumn("asks", F.col("component") != F.col("main"))
+    asking = rows.groupBy("key", "band").agg(F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(asking, ["key", "band"]).withColumn("of", F.ceil(F.col("k") / BLOCK).cast("int")).join(members.select("node", "bits").hint("merge"), "node")
+    own = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "band", "node", "n", "lead", "component", "bits"]
+    asks = rows.filter("asks").select(*columns, F.lit(True).alias("asks"), own(0, "parts").alias("i"), every("of").alias("j"))
+    others = rows.select(*columns, F.lit(False).alias("asks"), own(1, "of").alias("j"), every("parts").alias("i"))
+    return asks.unionByName(others).groupBy("key", "band", "i", "j").applyInPandas(lambda pdf: closest(pdf, budget), "a long, b long, more boolean")
+
+
+def heavy_links(docs: DataFrame, classes: DataFrame, total: int, b: int) -> DataFrame:
+    """Edges (a, b) between classes that join all that the lists' links join."""
+    lists = inverted_lists(docs, classes, total, b)
+    members = set_members(docs, lists)
+    tested = materialize(head_pairs(lists), "jaccard-tested")
+    links = materialize(verify(tested, members), "jaccard-links")
+    budget = FIRST
+    while True:
+        joined = materialize(components(links, "jaccard-joined").select("node", "component"), "jaccard-joined")
+        found = materialize(across(lists, members, joined, budget).distinct(), "jaccard-found")
+        new = materialize(found.filter("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-new")
+        held_back = not found.filter("more").isEmpty()
+        if new.isEmpty():
+            if not held_back:
+                break
+            budget *= MORE
             continue
-        where = np.repeat(s - (np.cumsum(c) - c), c) + np.arange(total)
-        common = np.bincount(posting[where], minlength=x)
-        y = np.flatnonzero(100 * common >= 75 * (size[x] + size[: len(common)] - common))
-        for r in {root(v) for v in y.tolist()}:
-            parent[r] = root(x)
-    top: dict[int, int] = {}
-    names = ids[order]
-    for x in range(k):
-        r = root(x)
-        top[r] = min(top.get(r, names[x]), names[x])
-    out = [(int(names[x]), int(top[root(x)])) for x in range(k)]
-    return pd.DataFrame([o for o in out if o[0] != o[1]], columns=["a", "b"]).astype("int64")
-
-
-def heavy_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges (a, b): the links inside clusters."""
-    members = classes.select("k1", "rep", "n").join(clusters, F.col("k1") == F.col("node")).select("rep", "n", F.col("component").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).filter("k > 1")
-    parts = F.ceil(F.greatest(F.col("k") / MEMBERS, F.col("total") / SHINGLES)).cast("int")
-    members = members.join(sizes.select("cluster", parts.alias("parts")), "cluster")
-    members = materialize(members.select("rep", "cluster", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "jaccard-members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # one plan at every size: where the members are few, Spark would broadcast them, and small runs would tell nothing
-    rows = texts.join(members.hint("merge"), F.col("doc_id") == F.col("rep"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("doc_id", "text", "cluster", "part", other).select("doc_id", "text", "cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return rows.groupBy("cluster", "i", "j").applyInPandas(lambda pdf: link_forest(pdf[["doc_id", "text"]]), "a long, b long")
+        more = materialize(verify(new, members), "jaccard-more")
+        links = materialize(links.unionByName(more), "jaccard-links", instead_of=[links, more])
+        tested = materialize(tested.unionByName(new), "jaccard-tested", instead_of=[tested, new, found, joined])
+        budget *= MORE
+    for old in (lists, members, tested):
+        forget(old)
+    return links
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    rows = materialize(set_rows(docs, False), "jaccard-sets")
-    whole = set_rows(docs.filter(F.col("doc_id").isNotNull()), True).filter("n > 0")
-    classes = whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("na").alias("na"), F.first("band").alias("band"), F.first("pre").alias("pre"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not replayable(docs):
+        docs = materialize(docs, "jaccard-docs")
+    rows = materialize(set_rows(docs), "jaccard-sets")
+    named = docs.filter("doc_id is not null")
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"))
     classes = materialize(classes, "jaccard-classes")
+    total = int(rows.agg(F.sum("n")).first()[0] or 0)
     counts = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 2 * SMALLEST).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     b = choose_boundary(counts)
-    edges = heavy_links(docs, classes, heavy_clusters(classes, b))
-    if b:
+    edges = heavy_links(named, classes, total, b)
+    if any(subset_plan(b).values()):
         edges = edges.unionByName(light_links(classes, b))
     # ids that repeat with different texts tie their classes together
     several = (F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2"))
@@ -314,22 +455,25 @@ def link(docs: DataFrame) -> DataFrame:
         edges = edges.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(edges, "jaccard-links")
     of = classes.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    linked = rows.join(of, ["k1", "k2"], "left")
+    linked = rows.drop("small").join(of, ["k1", "k2"], "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each component does, the one with the smallest id; of rows that
-    repeat an id, one. Documents without words and null ids stay."""
+    """The rows of docs that stay when one document of each component does, the one with the smallest id. Rows that repeat
+    an id are that document: of those with one text one stays, the first in order of the row written as JSON; those with
+    other texts stay too. Documents without words and null ids stay."""
     found = materialize(link(docs), "jaccard-found")
     out = F.min((F.col("component_id") != F.col("doc_id")).cast("int"))
     marks = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__of")).agg(out.alias("__out"), F.count(F.lit(1)).alias("__times"))
-    marks = materialize(marks.filter("__out = 1 or __times > 1"), "jaccard-marks")
+    marks = materialize(marks.filter("__out = 1 or __times > 1"), "jaccard-marks", instead_of=[found])
     rows = docs.join(marks.hint("merge"), F.col("doc_id").cast("long") == F.col("__of"), "left")
     once = rows.filter("__of is null").select(*docs.columns)
     if marks.filter("__out = 0").isEmpty():
         return once
-    return once.unionByName(rows.filter("__out = 0").select(*docs.columns).dropDuplicates(["doc_id"]))
+    whole = F.struct(*docs.columns)
+    again = rows.filter("__out = 0").groupBy("__of", F.sha2(F.col("text").cast("string"), 256).alias("__text")).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return once.unionByName(again.select("__row.*"))
 
 
 def op4_jaccard_join(docs: DataFrame) -> DataFrame:

@@ -195,11 +195,79 @@ def test_jaccard_join_groups(spark, monkeypatch):
     assert len({c for _, _, c in want}) < len(rows) - 50
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert by_id(jaccard_join.link(df), "n_shingles", "component_id") == want
-    monkeypatch.setattr(jaccard_join, "MEMBERS", 7)  # clusters in many blocks
-    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda counts: 9)  # light sets by their subsets
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)  # lists in many blocks
+    monkeypatch.setattr(jaccard_join, "BATCH", 500)  # and many batches
+    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda counts: 0)  # all by lists
     assert by_id(jaccard_join.link(df), "n_shingles", "component_id") == want
 
 
+def counted_pairs(monkeypatch):
+    counts, verify = [], jaccard_join.verify
+
+    def counting(pairs, members):
+        counts.append(pairs.count())
+        return verify(pairs, members)
+
+    monkeypatch.setattr(jaccard_join, "verify", counting)
+    return counts
+
+
+def test_chain_that_misses_the_head(spark, monkeypatch):
+    """Sets that share rare shingles with the head of their lists, but link with others only."""
+    rnd, rows = random.Random(5), []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for k in range(30):  # a slow drift away from the base, so that far members link with their neighbours
+            base[rnd.randrange(80)] = f"g{g}x{k}"
+            rows.append((len(rows) + 1, " ".join(base)))
+    rnd.shuffle(rows)
+    rows = [(i + 1, t) for i, (_, t) in enumerate(rows)]
+    counts = counted_pairs(monkeypatch)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    assert by_id(jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id") == brute_components(rows)
+    assert len(counts) > 1
+
+
+def test_boilerplate_makes_no_pairs(spark, monkeypatch):
+    notice = " ".join(f"notice{i}" for i in range(60))
+    rows = [(d, notice + " " + " ".join(f"d{d}w{i}" for i in range(60))) for d in range(1, 1501)]
+    counts = counted_pairs(monkeypatch)
+    got = by_id(jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == sorted(((d, 116, d) for d, _ in rows), key=str) and sum(counts) <= len(rows)
+
+
+def test_copies_cost_a_pair_each(spark, monkeypatch):
+    rnd, rows = random.Random(3), []
+    base = [f"w{i}" for i in range(150)]
+    for d in range(1, 801):
+        t = list(base)
+        for _ in range(2):
+            t[rnd.randrange(150)] = f"x{d}y{rnd.randrange(99)}"
+        rows.append((d, " ".join(t)))
+    counts = counted_pairs(monkeypatch)
+    got = by_id(jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    assert {c for _, c in got} == {1} and sum(counts) <= 40 * len(rows)
+
+
+def test_boundary_is_chosen_where_subsets_pay(spark, monkeypatch):
+    """Short texts, some of them copies with a word more or less: the cost model makes them light, unpatched."""
+    rnd, rows = random.Random(9), []
+    for _ in range(400):
+        t = [f"v{rnd.randrange(500)}" for _ in range(rnd.randrange(3, 12))]
+        rows += [(len(rows) + 1, " ".join(t)), (len(rows) + 2, " ".join(t[: rnd.choice([len(t) - 1, len(t)])]))]
+    rows += [(len(rows) + 1, " ".join(f"long{i}" for i in range(300)))]
+    links, found = jaccard_join.light_links, []
+
+    def seen(classes, b):
+        out = links(classes, b)
+        found.append((b, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "light_links", seen)
+    assert by_id(jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id") == brute_components(rows)
+    assert found and found[0][0] >= 3 and any(jaccard_join.subset_plan(found[0][0]).values()) and found[0][1] > 20
+
+
 def test_light_and_heavy_tie(spark):
     w = [f"t{i}" for i in range(40)]
     rows = [(5, " ".join(w[:11])), (3, " ".join(w[:12])), (9, " ".join([*w[:10], "q"])), (8, None), (7, ""), (2, "A b C"), (1, "a B c"), (4, " ".join(w[:10]))]
@@ -209,6 +277,15 @@ def test_light_and_heavy_tie(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comps.values()))
 
 
+def test_keep_one_loses_no_text(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long, "b"), (1, long, "a"), (1, "another text of the same id here", "c"), (2, long + " more", "d"), (3, "a text that stands alone in this table", "e"), (None, long, "f"), (None, long, "f"), (4, None, "g"), (4, None, "g"), (4, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted([(1, long, "a"), (1, "another text of the same id here", "c"), (3, rows[4][1], "e"), (None, long, "f"), (None, long, "f"), (4, None, "g"), (4, "", "g")], key=str)
+    for parts in (1, 5):
+        assert sorted(map(tuple, jaccard_join.keep_one(df.repartition(parts)).collect()), key=str) == want
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)]
