@@ -5,8 +5,8 @@ whose path starts with that prefix. Each URL gives its canonical keys: every suf
 prefix of its path of a length that the list has. Keys that the filter can't rule out are joined exactly with the list,
 which removes false positives; of the entries that fit, the longest wins.
 
-The filter has a fixed number of blocks of 256 bits, a parameter, so what is broadcast doesn't grow with the list; a
-longer list only lets more keys through to the join. Everything is DataFrame functions.
+The filter has a block of 256 bits for every 16 keys of the list, but at most MOST_BLOCKS (2 MB), so what every task holds
+is bounded; beyond a million keys more of them pass to the join. Everything is DataFrame functions.
 
 Null URLs and URLs without :// have an empty host and path and no rule, hence the default verdict. An empty list leaves
 every URL at the default. Entries of one host and path must agree; of entries that don't, block wins. Repeated rows keep
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: host, path prefix, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+MOST_BLOCKS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,11 +62,17 @@ def rule_list(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES
     return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, lengths: Sequence[int], id_column: str = "page_id", default: str = "allow", blocks: int = 4096) -> DataFrame:
+def blocks_for(listed: DataFrame) -> int:
+    """Blocks of a filter for a list: one for every 16 keys, a power of two from 64 to MOST_BLOCKS."""
+    return min(MOST_BLOCKS, 1 << max(6, (listed.count() // 16).bit_length()))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, lengths: Sequence[int], id_column: str = "page_id", default: str = "allow", blocks: int | None = None) -> DataFrame:
     """id, host, path, rule, verdict. `lengths`: the lengths of the list's path prefixes, of which lists of any size have few.
 
-    Rows without a possible hit don't shuffle. Those with one are joined by key and brought together again by a row
-    number, since the id may repeat."""
+    Rows without a possible hit don't shuffle. The others are joined by key and brought together again by id, host and
+    path."""
+    blocks = blocks or blocks_for(listed)
     clean = listed.groupBy(F.concat("host", "path").alias("key")).agg(F.min_by("verdict", F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("listed_verdict"))
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(f"`{id_column}`").alias(id_column), F.col("url").cast("string").alias("url")).select(id_column, host.alias("host"), path.alias("path"))
@@ -76,13 +83,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame, lengths: Sequence[int], id_
     rows = rows.withColumn("keys", F.array_distinct(F.filter(keys, lambda k: k.isNotNull())))
     rows = rows.select("*", bloom(clean, blocks).scalar().alias("bloom"))
     rows = rows.select(id_column, "host", "path", F.filter("keys", lambda k: might_contain(F.col("bloom"), k, blocks)).alias("keys"))
-    # a null key for each row counts the rows of one id, host and path
-    keyed = rows.select(id_column, "host", "path", F.explode(F.concat("keys", F.array(F.lit(None).cast("string")))).alias("key"))
-    # the list has one row for each key, so a frequent key multiplies nothing, and its partition can be split
+    free = rows.filter(F.size("keys") == 0).select(id_column, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    # a row's first key counts it; the list has one row for each key, so a frequent key multiplies nothing
+    keyed = rows.filter(F.size("keys") > 0).select(id_column, "host", "path", F.posexplode("keys").alias("at", "key"))
     joined = keyed.join(clean, "key", "left")
     hit = F.when(F.col("listed_verdict").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("listed_verdict").alias("verdict")))
-    best = joined.groupBy(id_column, "host", "path").agg(F.max(hit).alias("best"), F.sum(F.col("key").isNull().cast("int")).alias("times"))
-    return best.select(id_column, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_")).drop("_")
+    best = joined.groupBy(id_column, "host", "path").agg(F.max(hit).alias("best"), F.count_if(F.col("at") == 0).alias("times"))
+    judged = best.select(id_column, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_")).drop("_")
+    return free.unionByName(judged)
 
 
 def op3_url_filter(pages: DataFrame) -> DataFrame:

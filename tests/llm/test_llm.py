@@ -126,6 +126,19 @@ def test_url_filter(spark):
     assert urls.op3_url_filter(pages.filter("false")).isEmpty()
 
 
+def test_url_filter_hot_and_null_keys(spark):
+    """A third of all rows on one entry, a third without any, null ids and repeated rows."""
+    rows = [(i if i % 5 else None, ["http://shop.net/a", "http://free.org/en/", "http://x.org/fr/1"][i % 3]) for i in range(600)] + [(None, None)] * 5
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted(map(tuple, urls.op3_url_filter(pages).select("page_id", "rule", "verdict").collect()), key=str)
+    said = {"http://shop.net/a": ("net/", "block"), "http://x.org/fr/1": ("org/fr/", "allow")}
+    assert got == sorted(((i, *said.get(u, (None, "allow"))) for i, u in rows), key=str)
+    many = spark.range(40_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
+    assert urls.blocks_for(many) == 4096 and urls.blocks_for(many.filter("false")) == 64
+    p = spark.createDataFrame([(1, "http://a.h39999.com/"), (2, "http://h40000.com/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.filter_urls(p, many, [1]).collect()} == {1: "block", 2: "allow"}
+
+
 def test_bloom_passes_listed(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
     some = keys.filter("hash(key) % 2 = 0")
