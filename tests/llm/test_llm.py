@@ -426,9 +426,41 @@ def test_mixing(spark, docs, texts, empty):
     taken_rows = mixing.take_copies(docs)
     assert taken_rows.columns == docs.columns and jaccard_join.keep_one(docs).columns == docs.columns
     copies = Counter(r.doc_id for r in taken_rows.collect())
+    want = Counter()
     for r in rows:
-        if r["doc_id"] != 10_008:  # the repeated row shares its copies
-            assert copies[r["doc_id"]] * r["size"] == r["taken"]
+        want[r["doc_id"]] += r["copies"]
+    assert copies == Counter({i: n for i, n in want.items() if n})
+
+
+def test_mixing_hot_ids(spark, monkeypatch):
+    """A third of all rows without an id, a third one row repeated: no group grows, and sources meet their targets."""
+    rows = [(None, f"s{i % 2}", "word " * (1 + i % 9), i) for i in range(400)] + [(7, "s0", "a b c", 1)] * 400 + [(i + 10, "s1", "x y", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, extra int")
+    monkeypatch.setattr(mixing, "LOT", 64)
+    biggest, pair = spark.sparkContext.accumulator(0), mixing.pair
+
+    def watched(frame, fan):
+        biggest.add(max(0, len(frame) - 100))
+        return pair(frame, fan)
+
+    monkeypatch.setattr(mixing, "pair", watched)
+    out = mixing.mix(df, chunk=32).collect()
+    assert len(out) == len(rows) and biggest.value == 0
+    targets, taken = {r.source: r.target for r in out}, Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 9 for s, t in targets.items())
+    got = mixing.take_copies(df, chunk=32)
+    by = Counter((r.doc_id, r.source, r.text) for r in got.collect())
+    want = Counter()
+    for r in out:
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert sum(by.values()) == sum(want.values()) and by[7, "s0", "a b c"] == want[7, "s0", 3]
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.take_copies(df.repartition(7), chunk=32).collect()))
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), (F.col("id") % 1000).cast("string")).alias("source"), F.lit("a b").alias("text"))
+    ranks = mixing.ranked(many.select("source").distinct().repartition(4))
+    names = sorted({f"host{i}" for i in range(1000)})
+    assert {r.source: r["rank"] for r in ranks.collect()} == {n: i for i, n in enumerate(names)}
 
 
 def test_pivotal_is_fair():
@@ -438,7 +470,7 @@ def test_pivotal_is_fair():
     for seed in range(800):
         rng = np.random.default_rng(seed)
         mass = np.array([0.2, 0.5, 0.7, 0.3, 0.9, 0.4])
-        rows = pd.DataFrame({"doc_id": range(6), "size": [10] * 6, "draw": rng.random(6), "mass": np.round(mass * 10 * mixing.ONE).astype(int), "copies": 0, "done": False, "up": 0})
+        rows = pd.DataFrame({"doc_id": range(6), "size": [10] * 6, "draw": rng.random(6), "mass": np.round(mass * 10 * mixing.ONE).astype(int), "copies": 0, "done": False, "up": 0, "mark": 0, "turn": 0})
         out = mixing.pair(rows, 2)
         assert out.copies.sum() == 3 and out.done.all() or out.copies.sum() in (2, 3)
         hits[out.doc_id.to_numpy()] += out.copies.to_numpy()
@@ -596,6 +628,7 @@ def test_pipeline(spark):
             d["text"] = d["text"][:s] + "[SECRET]" + d["text"][e:]
     mixed = mixing.mix(spark.createDataFrame([(d["doc_id"], d["source"], d["text"]) for d in docs], "doc_id long, source string, text string"))
     copies = {r.doc_id: r.copies for r in mixed.collect()}
+    assert len(copies) == len(docs)
     sp = piece_table.processor(piece_table.model_bytes())
     want = sorted((d["doc_id"], sha(",".join(map(str, sp.encode(d["text"]))))) for d in docs for _ in range(copies[d["doc_id"]]))
     got = corpus_pipeline.run(spark, DIR)
