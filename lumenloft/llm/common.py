@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import io
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +68,23 @@ def forget(df: DataFrame) -> None:
         df._written_at = None
 
 
+def fitted(spark: SparkSession, name: str, of: object, fit: Callable[[], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The arrays of a fitted model, kept in the shared folder under a digest of the code and the parameters (`of`) that
+    made them, so that each is fitted once for a cluster."""
+    digest = hashlib.blake2b(inspect.getsource(inspect.getmodule(fit)).encode() + repr(of).encode(), digest_size=12).hexdigest()
+    path = f"{shared_dir(spark)}/models/{name}-{digest}"
+    system, where = _file_system(spark, path)
+    if not system.exists(where):
+        data = io.BytesIO()
+        np.savez(data, **fit())
+        new = f"{path}-{uuid.uuid4().hex}"
+        spark.createDataFrame([(data.getvalue(),)], "data binary").coalesce(1).write.parquet(new)
+        if not system.rename(_file_system(spark, new)[1], where):  # another session was first
+            system.delete(_file_system(spark, new)[1], True)
+    with np.load(io.BytesIO(bytes(spark.read.parquet(path).first()["data"]))) as found:
+        return {k: found[k] for k in found.files}
+
+
 def replayable(df: DataFrame) -> bool:
     """Whether two passes over df see the same rows in the same order: columns and filters of files, no more."""
     plan = df._jdf.queryExecution().optimizedPlan()
