@@ -163,10 +163,10 @@ def blocks(page: str, known=None) -> list[Block]:
 
 
 def features(page_blocks: list[Block]) -> list[list[str]]:
-    out, n = [], len(page_blocks)
-    for i, b in enumerate(page_blocks):
+    out = []
+    for b in page_blocks:
         words = b.text.count(" ") + 1
-        f = ["bias", "len" + str(min(6, words.bit_length())), "link" + str(int(4 * b.linked / max(1, len(b.text)))), "end" if b.text[-1] in ".!?:\"'”»" else "open", "place" + str(int(4 * i / n))]
+        f = ["bias", "len" + str(min(6, words.bit_length())), "link" + str(int(4 * b.linked / max(1, len(b.text)))), "end" if b.text[-1] in ".!?:\"'”»" else "open"]
         f += ["in:" + t for t in b.tags]
         if b.leaf:
             f.append("leaf:" + b.leaf)
@@ -408,8 +408,9 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
 
         wrap = flip(0.3)
         parts.append(f"<div{inside()}>" if wrap else "")
+        often = pick(0.6, 0.6, 0.1)
         for k in rng.permutation(["hidden", "header", "nav", "notice", "ad", "form"]):
-            if flip(0.6):
+            if flip(often):
                 chrome(k)
         title = line(3, 12)
         opened, closed = pick(
@@ -420,7 +421,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
         if flip(0.8):
             put(title, 1, *pick(("<h1>", "</h1>"), ('<h1 class="title">', "</h1>"), ("<header><h1>", "</h1></header>") if flip(0.3) else ("<h1>", "</h1>")))
         if flip(0.9):
-            for _ in range(int(rng.integers(1, 12))):
+            for _ in range(int(rng.integers(1, pick(3, 12)))):
                 kind = rng.random()
                 if kind < 0.55:
                     body("text")
@@ -433,7 +434,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
         else:  # an article without paragraphs
             for _ in range(int(rng.integers(1, 4))):
                 body(pick("table", "pre", "terms", "list", "figure"))
-        if flip(0.15):
+        if flip(0.25):
             chrome("comments")
         parts.append(closed if flip(0.95) else "")
         for k in rng.permutation(["aside", "comments", "ad", "footer", "notice", "nav"]):
@@ -448,7 +449,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 500, seed: int = 17) -> Chain:
+def trained(n: int = 600, seed: int = 17) -> Chain:
     pages = [(features(blocks(text)), labels) for text, labels in labelled_pages(n, seed)]
     return Chain().fit(pages, rounds=8)
 
