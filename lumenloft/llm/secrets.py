@@ -1,16 +1,19 @@
-"""Secret scans: three fixed patterns, and a character convolutional network over every other candidate.
-
-The patterns' spans always stay. Candidates of the network are all runs of 16 or more characters of
-[A-Za-z0-9+/_=.-] with a letter and a digit that touch no such span. A candidate is seen with 24 characters before it and
-16 behind it; one longer than 40 characters is seen in steps of 40 and its largest score counts. The network has an
-embedding-free first layer (a filter weight for each character class and place), a second layer, the maximum and the
-mean over places, and a logistic output, all in numpy. It is trained on labelled findings that `findings()` draws from a
-seeded generator, calibrated by Platt's method on a held-out part, and its threshold is the largest at which recall on
-another held-out part is at least RECALL.
+"""Secret scans: three fixed patterns, and a character convolutional network over every candidate.
+
+The patterns' spans always stay. Candidates of the network are all runs of 8 or more characters of [A-Za-z0-9+/_=.-],
+but for those that can't be told from prose: words in small or capital letters, joined by hyphens, dots or slashes or
+not, and numbers, unless they stand behind a colon or an equals sign. Candidates inside the patterns' spans are scored as well; what is found there
+is in the list already. A candidate is seen in steps of 40 characters, each with the 24 characters before it and the 16
+behind it, whatever these are, and the mean of the steps' outputs counts. The network has an embedding-free first layer (a
+filter weight for each character class and place), a second layer, the maximum and the mean over places, and a logistic
+output, all in numpy. It is trained on labelled findings that `findings()` draws from a seeded generator (on all their
+steps; the rest are names, hashes, identifiers, embedded data and other long runs), calibrated by Platt's method on a
+held-out part, and its threshold is the largest at which recall on another held-out part is at least RECALL.
 
 Null texts count as empty; texts without findings give zero counts, an empty span list and the digest of the empty
-string. Spans are in code points, end exclusive; ties in start go by the order of KINDS. Repeated rows and other columns
-change nothing; an empty table gives an empty result. Each text is scanned whole, in time linear in its length."""
+string. Spans are in code points, end exclusive; ties in start go by the order of KINDS; a score equal to the threshold is
+a finding. Repeated rows and other columns change nothing, ids may be null; an empty table gives an empty result. Each text
+is scanned whole, in time linear in its length; memory follows the longest text."""
 
 from __future__ import annotations
 
@@ -21,18 +24,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import fitted, pieces
 
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
+PROSE = re.compile(r"(?:[A-Z]{0,2}[a-z]*|[A-Z]+)(?:[-./=]+(?:[A-Z]{0,2}[a-z]*|[A-Z]+))*|[0-9+/_=.-]*")
+GIVEN = re.compile(r"""[:=]\s?["'`(]?\Z""")
 #: What a text must hold for each scan to find anything; RE2 looks at whole columns.
-HINTS = (r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}", "[0-9]")
-BEFORE, CORE, BEHIND, RECALL = 24, 40, 16, 0.97
+HINTS = (r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}", "[A-Za-z0-9+/_=.-]{8}")
+BEFORE, CORE, BEHIND, RECALL = 24, 40, 16, 0.95
 WIDTH = BEFORE + CORE + BEHIND
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-:;,'\"@ \n"
@@ -53,64 +58,82 @@ def base_spans(text: str, scans=(True, True, True)) -> list[tuple[int, int, int]
     return sorted(out)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def candidates(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(a < e and s < b for a, _, b in taken):
-            out.append((s, e))
+        if not PROSE.fullmatch(m[0]) or GIVEN.search(text, max(0, m.start() - 3), m.start()):
+            out.append(m.span())
     return out
 
 
-def view(text: str, start: int, end: int) -> list[np.ndarray]:
-    """The coded windows of a candidate: context before, up to 40 of its characters, context behind it."""
-    head = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
-    tail = text[end : end + BEHIND].ljust(BEHIND, "\0")
-    out = []
-    for s in range(start, end, CORE):
-        raw = np.frombuffer((head + text[s : min(end, s + CORE)].ljust(CORE, "\0") + tail).encode("utf-32-le"), np.uint32)
-        out.append(np.where(raw == 0, NONE, CODE[np.minimum(raw, 127)] if raw.max() < 128 else np.where(raw < 128, CODE[np.minimum(raw, 127)], OTHER)).astype(np.int64))
-    return out
+def views(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The coded steps of candidates, a row each: context before, up to 40 of its characters, context behind; and the
+    candidate of each."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.full(len(raw) + 1, NONE, np.uint8)  # the last place stands for what is outside the text
+    code[:-1] = np.where(raw < 128, CODE[np.minimum(raw, 127)], OTHER)
+    steps = [(i, s, e) for i, (a, e) in enumerate(spans) for s in range(a, e, CORE)]
+    of, start, end = (np.array(x, np.int64) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 3
+    at = start[:, None] + np.arange(-BEFORE, CORE)
+    at[:, BEFORE:][at[:, BEFORE:] >= end[:, None]] = len(raw)
+    behind = np.minimum(end, start + CORE)[:, None] + np.arange(BEHIND)
+    at = np.concatenate([at, behind], axis=1)
+    return code[np.where((at < 0) | (at > len(raw)), len(raw), at)], of
 
 
 # training
 
 
-def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled findings: windows and 1 for a secret, 0 for none."""
+def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled findings: the steps of all, the finding of each, and for each finding 1 for a secret, 0 for none."""
     rng = np.random.default_rng(seed)
     pick = lambda a: a[int(rng.integers(len(a)))]
     draw = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
-    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    b64, hexa = lower + lower.upper() + digits + "+/", "0123456789abcdef"
-    word = lambda: "".join(draw("bcdfghlmnprstvw", 1) + draw("aeiou", 1) for _ in range(int(rng.integers(1, 5))))
-    noise = lambda: pick([draw("áéíóúäöüßñçèê", size(1, 5)), draw(digits, size(1, 9)), draw("()[]{}#*$%&|<>", 2), word().upper(), "and", "the", draw(b64[:62], 12), f"{size(1, 255)}.{size(1, 255)}.7.9"])
-    words = lambda k: " ".join(word() if rng.random() < 0.7 else noise() for _ in range(k))
     size = lambda a, b: int(rng.integers(a, b))
-    secrets = [
-        lambda: draw(hexa, size(16, 32)), lambda: draw(hexa.upper(), pick([32, 40, 64])), lambda: draw(b64, size(20, 64)) + pick(["", "=", "=="]), lambda: "ghp_" + draw(b64[:62], 36), lambda: "sk-" + draw(b64[:62], size(24, 48)),
-        lambda: "eyJ" + draw(b64[:62], 24) + "." + draw(b64[:62], 32) + "." + draw(b64[:62] + "_-", 30), lambda: "xoxb-" + draw(digits, 12) + "-" + draw(b64[:62], 24), lambda: "AIza" + draw(b64[:62] + "_-", 35), lambda: "sk_live_" + draw(b64[:62], 24),
-        lambda: "glpat-" + draw(b64[:62], 20), lambda: draw(b64[:62], size(18, 40)),
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    upper, alnum, hexa = lower.upper(), lower + lower.upper() + digits, "0123456789abcdef"
+    b64 = alnum + "+/"
+    word = lambda: "".join(draw("bcdfghlmnprstvw", 1) + draw("aeiou", 1) + pick(["", "", draw("nrstl", 1)]) for _ in range(size(1, 5)))
+    noise = lambda: pick([draw("áéíóúäöüßñçèê", size(1, 5)), draw(digits, size(1, 9)), draw("()[]{}#*$%&|<>", 2), word().upper(), "and", "the", draw(alnum, 12), f"{size(1, 255)}.{size(1, 255)}.7.9"])
+    words = lambda k: " ".join(word() if rng.random() < 0.8 else noise() for _ in range(k))
+    name = lambda: word().capitalize() + word().capitalize() + pick(["", word().capitalize(), str(size(1, 99))])
+    short = lambda: pick([word() + draw(digits, size(1, 5)), word() + pick("-_.") + word() + draw(digits, size(1, 4)), draw(alnum, size(8, 16)), word().capitalize() + draw(digits, size(2, 5)), word() + word(), draw(lower + digits, size(8, 16)), draw(upper + digits, size(8, 16))])
+    long_secrets = [
+        lambda: draw(hexa, size(16, 32)), lambda: draw(hexa.upper(), pick([32, 40, 64])), lambda: draw(b64, size(20, 64)) + pick(["", "=", "=="]), lambda: draw(alnum, size(18, 48)), lambda: draw(alnum + "_-", size(20, 60)), lambda: draw(upper + digits, size(20, 40)), lambda: draw(lower + digits, size(18, 44)),
+        lambda: draw(lower, size(2, 5)) + pick("_-") + draw(alnum, size(20, 44)), lambda: draw(lower, size(2, 4)) + "_" + draw(lower, 4) + "_" + draw(alnum, size(20, 36)), lambda: draw(lower, 4) + "-" + draw(digits, size(10, 13)) + "-" + draw(alnum, size(16, 32)), lambda: draw(upper, 2) + draw(lower, 2) + draw(alnum + "_-", 35),
+        lambda: "eyJ" + draw(alnum, size(15, 40)) + ".eyJ" + draw(alnum, size(20, 90)) + "." + draw(alnum + "_-", size(27, 43)), lambda: draw(upper, 2) + "." + draw(alnum + "_-", 22) + "." + draw(alnum + "_-", 43), lambda: draw(b64, 64), lambda: draw(b64, size(70, 200)) + pick(["", "=", "=="]),
     ]
+    leads = ["password is ", "passcode: ", "pwd=", "pass: ", "pw: ", "PWD: ", "credential ", "credentials: admin ", "auth = ", "key: ", "access key ", "private key = ", "Bearer ", "Basic ", "Authorization: ", "client: '", "sig=", "pin code: ", f"//{word()}:", "login with ", "AccountKey=", "signing key "]
+    loose = ["", "", "", "see ", "id ", "the ", "at ", "in ", "value: ", "name = ", "ref: ", "file: "]
     others = [
-        lambda: f"mail{size(0, 10)}.example.com", lambda: f"www.{word()}.com/{word()}/{size(1, 9999)}.html", lambda: f"{word()}-{word()}-{word()}-{size(1, 99)}", lambda: f"{word()}_{word()}_{word()}_v{size(1, 20)}.{size(0, 9)}",
-        lambda: f"{size(1990, 2030)}-{size(10, 12)}-{size(10, 28)}T{size(10, 23)}-utc", lambda: f"/usr/lib/{word()}{size(2, 9)}/{word()}.so.{size(1, 9)}", lambda: f"{word()}.{word()}@".rstrip("@") + f"{size(10, 99)}.{word()}.example", lambda: word() + word() + word() + word() + str(size(0, 99)),
-        lambda: f"{word()}.{word()}.py-{size(1, 400)}", lambda: (word() + word() + word()).upper() + str(size(1, 9)) + word(), lambda: "1" * size(10, 30) + "a" * size(6, 10), lambda: f"ISBN-{size(100, 999)}-{size(1000, 9999)}-{size(1000, 9999)}",
-        lambda: f"v{size(1, 9)}.{size(0, 20)}.{size(0, 20)}-beta.{word()}{word()}", lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}{size(1, 99)}",
+        lambda: f"mail{size(0, 10)}.example.com", lambda: f"{word()}{pick('._-')}{size(1, 99)}@mail{size(0, 9)}.{word()}.com", lambda: f"www.{word()}.com/{word()}/{size(1, 9999)}.html", lambda: f"{word()}-{word()}-{word()}-{size(1, 99)}", lambda: f"{word()}_{word()}_{word()}_v{size(1, 20)}.{size(0, 9)}", lambda: f"{word()}_{word()}_{word()}",
+        lambda: f"{size(1990, 2030)}-{size(10, 12)}-{size(10, 28)}T{size(10, 23)}-utc", lambda: f"/usr/lib/{word()}{size(2, 9)}/{word()}.so.{size(1, 9)}", lambda: word() + word() + word() + word() + str(size(0, 99)), lambda: f"{word()}.{word()}.py-{size(1, 400)}", lambda: word().upper() + "_" + word().upper() + pick(["", "_" + word().upper()]),
+        lambda: (word() + word() + word()).upper(), lambda: (word() + word()).upper() + str(size(1, 9)) + word(), lambda: pick("0123456789aAxXzZ-_=.") * size(9, 90), lambda: f"ISBN-{size(100, 999)}-{size(1000, 9999)}-{size(1000, 9999)}", lambda: f"v{size(1, 9)}.{size(0, 20)}.{size(0, 20)}-beta.{word()}{word()}",
+        lambda: name() + name(), lambda: word() + name() + name(), lambda: f"get{name()}By{name()}", lambda: f"{name()}.{word()}{name()}", lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: word().upper() + str(size(1, 99)) + "-" + word(), lambda: f"{word()}/{word()}{size(1, 99)}/{word()}-{size(1, 999)}.jpg", lambda: f"{size(1, 99999)}x{size(1, 9999)}px",
+        lambda: f"{word().capitalize()}{size(1900, 2030)}-{word()}", lambda: (word() + " ").strip() * size(2, 6) + str(size(1, 9)), lambda: short(), lambda: short(), lambda: f"{draw(upper, 2)}{draw(digits, size(8, 14))}", lambda: draw(digits, size(4, 9)) + "-" + draw(digits, size(4, 9)) + draw(lower, 1),
     ]
-    leads = ["key: ", "auth = ", 'Bearer ', "credential ", "", "client: '", "", ""]
-    xs, ys = [], []
+    blobs = [("data:image/png;base64,", lambda: "iVBORw0KGgo" + draw(b64, size(100, 700)) + pick(["", "=", "=="])), ("data:font/woff2;base64,", lambda: "d09GMgAB" + draw(b64, size(100, 700))), ('integrity="', lambda: pick(["sha256-", "sha384-", "sha512-"]) + draw(b64, size(43, 86)) + "="), ("sha256:", lambda: draw(hexa.upper(), 64)), ("commit ", lambda: draw(hexa, size(8, 20))), ("checksum ", lambda: draw(hexa + "ABCDEF", size(16, 64)))]
+    xs, of, ys = [], [], []
     while len(ys) < n:
         label = int(rng.random() < 0.5)
-        value = pick(secrets if label else others)()
-        before = words(size(0, 5)) + " " + (pick(leads) if rng.random() < (0.6 if label else 0.25) else "")
-        text = before + value + pick(["", " ", ".", ",", ", ", '"', "\n", "@", "/", ") "]) + words(size(0, 4))
-        at = len(before)
-        m = CANDIDATE.match(text, at)
-        if m and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-            xs.append(view(text, at, m.end())[0])
+        lead = ""
+        if label:
+            weak = rng.random() < 0.35  # short values are secrets by their context only
+            value, lead = (short(), pick(leads)) if weak else (pick(long_secrets)(), pick(leads) if rng.random() < 0.5 else pick(loose))
+        elif rng.random() < 0.2:
+            lead, blob = pick(blobs)
+            value = blob()
+        else:
+            value, lead = pick(others)(), pick(loose)
+        before = words(size(0, 6)) + pick([" ", " ", "\n", ". ", ", "]) + lead
+        text = before + value + pick(["", " ", ".", ",", ", ", '"', "\n", "@", ") ", "'", ";"]) + words(size(0, 5))
+        found = [(s, e) for s, e in candidates(text) if s <= len(before) < e]
+        if found:
+            x, _ = views(text, found)
+            xs.append(x)
+            of += [len(ys)] * len(x)
             ys.append(label)
-    return np.array(xs), np.array(ys, float)
+    return np.concatenate(xs).astype(np.int64), np.array(of), np.array(ys, float)
 
 
 class Net:
@@ -172,9 +195,14 @@ class Net:
                     self.w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def calibrate(self, x, y):
+    def outputs(self, x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """The mean output of each candidate's steps."""
+        z = np.concatenate([self.forward(x[i : i + 512].astype(np.int64))[-1] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+        return np.bincount(of, weights=z, minlength=n) / np.maximum(np.bincount(of, minlength=n), 1)
+
+    def calibrate(self, x, of, y):
         """Platt: a logistic fit of the labels on the network's output, by Newton steps."""
-        z, s, b = self.forward(x)[-1].astype(float), 1.0, 0.0
+        z, s, b = self.outputs(x, of, len(y)), 1.0, 0.0
         soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(s * z + b, -30, 30)))
@@ -185,41 +213,61 @@ class Net:
             s, b = s - step[0], b - step[1]
         self.scale, self.shift = float(s), float(b)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        out = [1 / (1 + np.exp(-np.clip(self.scale * self.forward(x[i : i + 512])[-1] + self.shift, -30, 30))) for i in range(0, len(x), 512)]
-        return np.concatenate(out) if out else np.zeros(0)
+    def score(self, x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.outputs(x, of, n) + self.shift, -30, 30)))
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = 8000, seed: int = 11, recall: float = RECALL) -> Net:
-    net = Net().fit(*findings(n, seed))
+def trained(n: int = 9000, seed: int = 11, recall: float = RECALL) -> Net:
+    x, of, y = findings(n, seed)
+    net = Net().fit(x, y[of], rounds=5)
     net.calibrate(*findings(n // 4, seed + 1))
-    x, y = findings(n // 4, seed + 2)
-    scores = np.sort(net.score(x)[y > 0])
+    x, of, y = findings(n // 4, seed + 2)
+    scores = np.sort(net.score(x, of, len(y))[y > 0])
     net.limit = float(scores[int((1 - recall) * len(scores))])
     return net
 
 
+@lru_cache(maxsize=2)
+def ready(spark: SparkSession) -> Net:
+    """The trained network, from the shared folder where it was trained before."""
+
+    def fit():
+        n = trained()
+        return n.w | {"scale": np.array(n.scale), "shift": np.array(n.shift), "limit": np.array(n.limit)}
+
+    kept, net = fitted(spark, "secrets", trained.__wrapped__.__defaults__, fit), Net()
+    net.w = {k: kept[k] for k in net.w}
+    net.scale, net.shift, net.limit = (float(kept[k]) for k in ("scale", "shift", "limit"))
+    return net
+
+
 def scan(column: pa.Array, net: Net) -> list[list[tuple[int, int, int]]]:
     """All spans (start, kind number, end) of each text."""
     column = pc.fill_null(column, "")
     hints = [pc.match_substring_regex(column, pattern=h).to_numpy(zero_copy_only=False) for h in HINTS]
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(column))]
-    seen, owners = [], []
+    seen, steps, owners = [], [], []
+
+    def judge():
+        x, of = np.concatenate(seen), np.concatenate(steps)
+        for (i, s, e), p in zip(owners, net.score(x, of, len(owners)), strict=True):
+            if p >= net.limit and not any(a <= s and e <= b for a, k, b in spans[i] if k < 3):
+                spans[i].append((s, 3, e))
+        seen.clear(), steps.clear(), owners.clear()
+
     for i in np.flatnonzero(np.logical_or.reduce(hints)).tolist():
         text = column[i].as_py()
         spans[i] = base_spans(text, [h[i] for h in hints[:3]])
-        if hints[3][i]:
-            for s, e in candidates(text, spans[i]):
-                for v in view(text, s, e):
-                    seen.append(v)
-                    owners.append((i, s, e))
-    best: dict[tuple[int, int, int], float] = {}
-    for o, p in zip(owners, net.score(np.array(seen).reshape(-1, WIDTH)), strict=True):
-        best[o] = max(best.get(o, 0.0), float(p))
-    for (i, s, e), p in best.items():
-        if p >= net.limit:
-            spans[i].append((s, 3, e))
+        if hints[3][i] and (found := candidates(text)):
+            x, of = views(text, found)
+            seen.append(x)
+            steps.append(of + len(owners))
+            owners += [(i, s, e) for s, e in found]
+            if sum(map(len, seen)) > 50_000:
+                judge()
+    if owners:
+        judge()
     return [sorted(x) for x in spans]
 
 
@@ -229,7 +277,7 @@ def listed(spans) -> str:
 
 def find_secrets(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """doc_id, counts by kind, the digest of the patterns' spans, and all spans as text."""
-    net = net or trained()
+    net = net or ready(docs.sparkSession)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_net"]
 
     def run(batches):
@@ -246,7 +294,7 @@ def find_secrets(docs: DataFrame, net: Net | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", net: Net | None = None) -> DataFrame:
     """docs with every span replaced by `mark`; overlapping spans become one. A null text stays null."""
-    net, at = net or trained(), docs.columns.index("text")
+    net, at = net or ready(docs.sparkSession), docs.columns.index("text")
 
     def clean(text, spans):
         out, done = [], 0
