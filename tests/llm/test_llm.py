@@ -426,7 +426,8 @@ def test_secret_context_of_long_runs():
     assert x.shape == (3, secrets.WIDTH) and of.tolist() == [0, 0, 0]
     coded = lambda t: [secrets.CODE[ord(c)] for c in t]
     assert x[1].tolist() == coded(text[21:45]) + coded(text[45:85]) + coded(text[85:101]) and x[2][-16:].tolist() == coded(" tail") + [secrets.NONE] * 11
-    long = "intro " + "Zx9+" * 2_000_000 + " password=hunter2hunter2 end"
+    assert secrets.candidates("=" * 5000 + "-" * 5000 + "a9") == [(0, 10_002)]
+    long = "intro " + "Zx9+" * 500_000 + " password=hunter2hunter2 end"
     assert [k for _, k, _ in secrets.scan(pa.array([long, None]), secrets.trained())[0]][-1:] == [0]
 
 
