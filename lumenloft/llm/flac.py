@@ -1,15 +1,18 @@
 """FLAC media columns: 8-bit mono streams written and read with numpy.
 
-The writer takes blocks of 576 samples, tries constant, verbatim and fixed predictors of order 0 to 2 with Rice-coded
-residuals, and keeps the shortest. A seek table with a point for each frame gives every frame's sample and byte offset,
-so frames decode side by side: the reader steps through the Rice codes of thousands of frames at once, undoes the
-predictor, and checks each frame's CRC-8 and CRC-16 and each stream's MD5. Frames that the vectorised reader doesn't
-know (several Rice partitions, escape codes, other block sizes) go through a bit-by-bit reader; both take linear
-predictors.
+The writer takes blocks of 576 samples, tries constant, verbatim, fixed predictors of order 0 to 2 and a quantised linear
+predictor with Rice-coded residuals, and keeps the shortest. A seek table with a point for each frame gives every frame's
+sample and byte offset, so frames decode side by side: the reader steps through the Rice codes of thousands of frames at
+once, undoes the predictor, and checks each frame's CRC-8 and CRC-16 and each stream's MD5. Frames that the vectorised
+reader doesn't know (several Rice partitions, escape codes, other block sizes) go through a bit-by-bit reader.
 
-Null texts count as empty; an empty text is stored as one block of bytes 255. Ties between coders go to the lower
-order. Repeated rows and other columns change nothing; an empty table gives an empty result. Memory is bounded by a
-batch of documents and a few MB for each chunk of frames."""
+The media column is written to the shared folder and read back from there; payloads, digests and features come from the
+PCM blocks that the reader makes of the stored bytes. Text hardly shrinks as sound, so the column is about as large as the
+texts: it is written, read and deleted in LOTS parts, and the scratch space is that of one part.
+
+Null texts count as empty; an empty text is stored as one block of bytes 255. Ids may be null. Ties between coders go to
+the lower order, the linear predictor last. Repeated rows and other columns change nothing; an empty table gives an empty
+result. Memory is bounded by a batch of documents, the longest text, and a few MB for each chunk of frames."""
 
 from __future__ import annotations
 
@@ -22,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import materialize, pieces
 
-BLOCK, RATE, CHUNK = 576, 8000, 4096
+BLOCK, RATE, CHUNK, LOTS = 576, 8000, 4096, 4
+ORDER, WIDE = 4, 8  # of the linear predictor that the writer makes: coefficients, and their bits
+LINEAR = 31 + ORDER  # the code of such a subframe
 FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 
 
@@ -92,23 +97,70 @@ def _header(n: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
-def _plan(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For frames x (n, 576) of int16: kind (-2 constant, -1 verbatim, else the order), Rice parameter, bits of the subframe."""
+def _rice(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The better of two Rice parameters about the mean, and the bits of the residuals with it."""
+    z = zigzag(r)
+    first = np.clip(np.floor(np.log2(np.maximum(z.mean(axis=1), 1e-9) * 0.6931)), 0, 8).astype(np.int64)
+    best, par = None, first
+    for k in (first, np.minimum(first + 1, 8)):
+        size = (z >> k[:, None].astype(np.uint16)).sum(axis=1, dtype=np.int64) + (k + 1) * z.shape[1]
+        if best is None:
+            best = size
+        else:
+            par, best = np.where(size < best, k, par), np.minimum(size, best)
+    return par, best
+
+
+def predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients (n, ORDER) and shifts, from the autocorrelation by Levinson's recursion."""
+    f = x.astype(np.float64)
+    r = np.stack([(f[:, k:] * f[:, : BLOCK - k]).sum(axis=1) for k in range(ORDER + 1)], axis=1)
+    a, error = np.zeros((len(x), ORDER)), r[:, 0] + 1e-9
+    for i in range(ORDER):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = (1 << (WIDE - 1)) - 1
+    shift = np.clip(np.floor(np.log2(most / np.maximum(np.abs(a).max(axis=1), 1e-6))), 0, 14).astype(np.int64)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -most - 1, most).astype(np.int64), shift
+
+
+def residuals(x: np.ndarray, coef: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    y = x.astype(np.int32)
+    told = sum(coef[:, j : j + 1].astype(np.int32) * y[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER))
+    return y[:, ORDER:] - (told >> shift[:, None].astype(np.int32))
+
+
+def _plan(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For frames x (n, 576) of int16: kind (-2 constant, -1 verbatim, 0 to 2 fixed, LINEAR), Rice parameter, bits of the
+    subframe, coefficients and shift."""
     n = len(x)
     kind, par, bits = np.full(n, -1), np.zeros(n, np.int64), np.full(n, 8 + 8 * BLOCK)
     r = x
     for order in range(3):
-        z = zigzag(r)
-        mean = z.mean(axis=1)
-        first = np.clip(np.floor(np.log2(np.maximum(mean, 1e-9) * 0.6931)), 0, 8).astype(np.int64)
-        for k in (first, np.minimum(first + 1, 8)):
-            size = 8 + 8 * order + 10 + (z >> k[:, None].astype(np.uint16)).sum(axis=1, dtype=np.int64) + (k + 1) * z.shape[1]
-            better = size < bits
-            kind[better], par[better], bits[better] = order, k[better], size[better]
+        k, size = _rice(r)
+        size = size + 8 + 8 * order + 10
+        better = size < bits
+        kind[better], par[better], bits[better] = order, k[better], size[better]
         r = np.diff(r, axis=1)
+    coef, shift = predictors(x)
+    r = residuals(x, coef, shift)
+    fits = np.abs(r).max(axis=1) < 1 << 14
+    k, size = _rice(np.clip(r, -(1 << 14), 1 << 14).astype(np.int16))
+    size = size + 8 + 8 * ORDER + 9 + WIDE * ORDER + 10
+    better = fits & (size < bits)
+    kind[better], par[better], bits[better] = LINEAR, k[better], size[better]
     same = (x == x[:, :1]).all(axis=1)
     kind[same], bits[same] = -2, 16
-    return kind, par, bits
+    return kind, par, bits, coef, shift
+
+
+def put(buf: np.ndarray, bit: np.ndarray, value: np.ndarray, width: int) -> None:
+    """Write fields of up to 16 bits, one for each frame."""
+    v = (value & ((1 << width) - 1)) << (24 - (bit & 7) - width)
+    for i in range(3):
+        buf[(bit >> 3) + i] |= (v >> (16 - 8 * i) & 255).astype(np.uint8)
 
 
 def zigzag(r: np.ndarray) -> np.ndarray:
@@ -122,7 +174,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     counts = np.array([len(p) // BLOCK for p in payloads])
     raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     x = raw.astype(np.int16) - np.int16(128)
-    kinds, pars, bits = (np.concatenate(a) for a in zip(*[_plan(x[i : i + CHUNK]) for i in range(0, len(x), CHUNK)], strict=True))
+    kinds, pars, bits, coefs, shifts = (np.concatenate(a) for a in zip(*[_plan(x[i : i + CHUNK]) for i in range(0, len(x), CHUNK)], strict=True))
     number = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
     heads = [frame_header(int(i)) for i in number]
     head = np.array([len(h) for h in heads])
@@ -141,21 +193,31 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
             buf[at[i] : at[i] + head[i]] = np.frombuffer(heads[i], np.uint8)
         sub = at[s:e] + head[s:e]
         kind, k, y = kinds[s:e], pars[s:e], x[s:e]
-        buf[sub] = np.select([kind == -2, kind == -1], [0, 2], 16 + 2 * kind)
+        buf[sub] = np.select([kind == -2, kind == -1, kind == LINEAR], [0, 2, 2 * LINEAR], 16 + 2 * kind)
         if len(c := np.flatnonzero(kind == -2)):
             buf[sub[c] + 1] = y[c, 0].astype(np.int8).view(np.uint8)
         for i in np.flatnonzero(kind == -1):
             buf[sub[i] + 1 : sub[i] + 1 + BLOCK] = y[i].astype(np.int8).view(np.uint8)
-        for order in range(3):
-            c = np.flatnonzero(kind == order)
+        for code in (0, 1, 2, LINEAR):
+            c = np.flatnonzero(kind == code)
             if not len(c):
                 continue
+            order = ORDER if code == LINEAR else code
             for w in range(order):
                 buf[sub[c] + 1 + w] = y[c, w].astype(np.int8).view(np.uint8)
-            z, kk = zigzag(np.diff(y[c], n=order, axis=1)), k[c][:, None]
             start = 8 * (sub[c] + 1 + order)
-            buf[(start >> 3)] |= (k[c] >> 2).astype(np.uint8)  # 2 bits method, 4 bits partition order, 4 bits parameter
-            buf[(start >> 3) + 1] |= ((k[c] & 3) << 6).astype(np.uint8)
+            if code == LINEAR:
+                q, shift = coefs[s:e][c], shifts[s:e][c]
+                r = residuals(y[c], q, shift).astype(np.int16)
+                put(buf, start, np.full(len(c), WIDE - 1), 4)
+                put(buf, start + 4, shift, 5)
+                for j in range(ORDER):
+                    put(buf, start + 9 + WIDE * j, q[:, j], WIDE)
+                start = start + 9 + WIDE * ORDER
+            else:
+                r = np.diff(y[c], n=order, axis=1)
+            z, kk = zigzag(r), k[c][:, None]
+            put(buf, start + 6, k[c], 4)  # behind 2 bits of the method and 4 of the partition order, all 0
             stop = np.cumsum((z >> kk.astype(np.uint16)) + kk + 1, axis=1) + (start + 10)[:, None]
             one = stop - (kk + 1)
             v = ((1 << kk) | (z & ((1 << kk) - 1))) << (23 - (one & 7) - kk)  # 24 bits hold 7 + 9
@@ -348,10 +410,13 @@ def _frames(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
                 x[f] = part
                 x[f[:, None], np.arange(order)] = keep
         else:
-            y = x[f].astype(np.int64)
+            y, by = np.ascontiguousarray(x[f].T).astype(np.int64), np.ascontiguousarray(coef.T)
             for i in range(order, BLOCK):
-                y[:, i] += sum(coef[:, j] * y[:, i - 1 - j] for j in range(order)) >> shift
-            x[f] = y
+                told = by[0] * y[i - 1]
+                for j in range(1, order):
+                    told += by[j] * y[i - 1 - j]
+                y[i] += told >> shift
+            x[f] = y.T
         known[f] = good
         end = (bit + 7) >> 3
         known[f] &= end + 2 == stop[f]
@@ -426,22 +491,26 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def blocks_of(streams: list[bytes]):
+    """For each stream the sample offsets of its PCM blocks, and the blocks (rows of 576 signed bytes)."""
+    for y in decode_many(streams):
+        yield np.arange(0, len(y), BLOCK), y.astype(np.int8).reshape(-1, BLOCK)
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, sample_offset, pcm: the decoded blocks of a media column, for reading at an offset."""
 
     def run(batches):
         for b in batches:
             for c in pieces(b, "media", 4 << 20):
-                for i, y in zip(c["doc_id"].to_pylist(), decode_many(c["media"].to_pylist()), strict=True):
-                    raw = y.astype(np.int8).tobytes()
-                    blocks = [raw[j : j + BLOCK] for j in range(0, len(raw), BLOCK)]
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(blocks), pa.int64()), pa.array(range(0, len(raw), BLOCK), pa.int64()), pa.array(blocks, pa.binary())], ["doc_id", "sample_offset", "pcm"])
+                for i, (at, rows) in zip(c["doc_id"].to_pylist(), blocks_of(c["media"].to_pylist()), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "sample_offset", "pcm"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What the stored bytes give when read back."""
+    """What the PCM blocks of a stored media column give."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
@@ -449,10 +518,10 @@ def digest(media: DataFrame) -> DataFrame:
             for c in pieces(b, "media", 4 << 20):
                 streams = c["media"].to_pylist()
                 rows = []
-                for s, y in zip(streams, decode_many(streams), strict=True):
-                    payload = (y + np.int16(128)).astype(np.uint8).tobytes()
-                    wide = y.astype(np.int64)
-                    feature = f"blocks={len(y) // BLOCK};sum={wide.sum()};energy={(wide * wide).sum()};crossings={np.count_nonzero((y[1:] < 0) != (y[:-1] < 0))};peak={np.abs(wide).max(initial=0)}"
+                for s, (at, pcm) in zip(streams, blocks_of(streams), strict=True):
+                    payload = (pcm.view(np.uint8) ^ np.uint8(128)).tobytes()  # a sample is its byte less 128
+                    wide, flat = pcm.astype(np.int64), pcm.ravel()
+                    feature = f"blocks={len(at)};sum={wide.sum()};energy={(wide * wide).sum()};crossings={np.count_nonzero((flat[1:] < 0) != (flat[:-1] < 0))};peak={np.abs(wide).max(initial=0)}"
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([c["doc_id"], c["n_bytes"], *[pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for v in cols]], names)
@@ -460,5 +529,16 @@ def digest(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def stored_digests(docs: DataFrame, lots: int = LOTS) -> DataFrame:
+    """digest of the media column of docs, stored and read back a lot at a time."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for lot in range(lots):
+        media = materialize(store(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(lots)) == lot)), "flac-media")
+        told = materialize(digest(media), "flac-digests", instead_of=[media])
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def op9_flac_columns(docs: DataFrame) -> DataFrame:
-    return digest(store(docs))
+    return stored_digests(docs)
