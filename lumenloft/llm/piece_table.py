@@ -9,11 +9,12 @@ each distinct chunk once and answers each block; and the block's documents, kept
 chunks, are put together from the answers. So a frequent chunk travels once for each block, not for each use, and both
 sides stream: a bucket's cache and a block's list have fixed bounds (a cache that is full starts anew).
 
-Both passes over the documents must see the same rows in the same order, which holds for files; the operator writes
-anything else to the shared folder first if `stable` is false.
+Both passes over the documents must see the same rows in the same order, which holds for files; anything else is written
+to the shared folder first, unless the caller says that it is `stable`.
 
-Null texts count as empty; an empty text has no ids. Repeated rows each get their result. Texts of any length are whole.
-Other columns aren't read; an empty table gives an empty result."""
+Null texts count as empty; an empty text has no ids; null ids stay null. Repeated rows each get their result. Texts of any
+length are whole, one in a block where it is long. Ties in the library's merges are the library's own, as each chunk is
+segmented by it. Other columns aren't read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
+from .common import materialize, pieces, replayable
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -172,13 +173,13 @@ def together(batches, model: bytes, make):
             yield make(np.frombuffer(tail, np.int64).tolist(), null, [ids[s:e].tolist() for s, e in zip(cuts, cuts[1:], strict=False)])
 
 
-def encode_with(docs: DataFrame, make, schema: str, path: str | None = None, buckets: int | None = None, stable: bool = True) -> DataFrame:
+def encode_with(docs: DataFrame, make, schema: str, path: str | None = None, buckets: int | None = None, stable: bool | None = None) -> DataFrame:
     spark, model = docs.sparkSession, model_bytes(path)
     if not separable(model):
         raise ValueError("pieces of this model may cross whitespace markers; chunks can't be encoded alone")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows if stable else materialize(rows, "pieces-docs")
+    rows = rows if (replayable(rows) if stable is None else stable) else materialize(rows, "pieces-docs")
     asked = rows.mapInArrow(lambda it: blocks(it, True, n), "block long, bucket int, data binary").repartition(n, "bucket")
     told = asked.mapInArrow(lambda it: answers(it, model), "block long, kind int, data binary")
     held = rows.mapInArrow(lambda it: blocks(it, False, n), "block long, kind int, data binary")

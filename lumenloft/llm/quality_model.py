@@ -9,8 +9,10 @@ Training rows are a bounded sample, `bound`: the labelled rows outside the held-
 their ids. The score never sees labels, language, source or id.
 
 Null texts count as empty; empty texts get the score of their (zero) statistics. Without labels, or with one kind only,
-the score is the smoothed share of label 1. Null labels aren't used; a document labelled twice counts twice. Repeated
-rows get one score. Other columns aren't read; an empty table gives an empty result."""
+the score is the smoothed share of label 1. Null labels aren't used; a document with both labels counts with
+each, equal labels count once, and of rows that repeat a labelled id one is trained on. Repeated rows get one score, ties
+at the threshold are 1, null ids are scored and not held out. A very long text is taken whole, alone in its batch. Other
+columns aren't read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -139,19 +141,20 @@ def fold(column):
 
 
 def sample(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
-    """Statistics and label of the training rows, at most about `bound` of them."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y")).filter(F.col("y").isNotNull() & (fold("id") != 0))
+    """Statistics and label of the training rows, at most `bound` of them however often ids repeat in either table."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y")).filter(F.col("y").isNotNull() & (fold("id") != 0)).distinct()
     rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(rows), "id").select("text", "y")  # `rows` has at most `bound` rows of two numbers
+    texts = texts.join(F.broadcast(rows), "id").select("id", "text", "y")  # `rows` has at most `bound` rows of two numbers
 
     def run(batches):
         for b in batches:
             for c in pieces(b, "text", 1 << 20):
                 x = statistics(c["text"])
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), c["y"]], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([c["id"], pa.array(list(x), pa.list_(pa.float64())), c["y"]], ["id", "x", "y"])
 
-    return texts.mapInArrow(run, "x array<double>, y double")
+    # rows that repeat an id give one row, with the least statistics, counted by each task before they meet
+    return texts.mapInArrow(run, "id long, x array<double>, y double").groupBy("id", "y").agg(F.min("x").alias("x"))
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Trees:

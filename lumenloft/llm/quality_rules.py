@@ -10,7 +10,8 @@ and read twice.
 
 Null texts count as empty; empty texts have no words and fail the base rules. A null language is a language of its own.
 A language none of whose documents passes the base rules has no reference, and its documents are judged by the base rules
-alone. Repeated rows are judged alike. An empty table gives an empty result. Other columns aren't read."""
+alone. A distance equal to its limit isn't over it. Repeated rows are judged alike, null ids like others. A very long text
+is counted whole, in one row. An empty table gives an empty result. Other columns aren't read."""
 
 from __future__ import annotations
 

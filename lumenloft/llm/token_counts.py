@@ -10,8 +10,8 @@ search, and a token that crosses a boundary is allocated by a named rule:
   split     in shares of its bytes to each
 
 Sections of a text are its lines with their line breaks; empty ones at the end aren't sections. Null texts count as empty
-and have no sections. Empty fields take no tokens. Repeated rows and other columns change nothing; an empty table gives
-an empty result."""
+and have no sections; null ids stay null. Empty fields take no tokens. Texts of any length are encoded whole. Repeated
+rows and other columns change nothing; an empty table gives an empty result."""
 
 from __future__ import annotations
 
