@@ -40,7 +40,8 @@ def let(value: Column, use) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside windows of three that occur twice or more, each word once."""
+    """Words inside windows of three that occur twice or more, each word once. The windows are sorted only where two of
+    them have one hash, which most texts rule out."""
 
     def marked(s: Column) -> Column:
         same = lambda k, j: F.coalesce(F.get(s, j)["w"] == F.get(s, k)["w"], F.lit(False))
@@ -51,7 +52,14 @@ def repeat_words(words: Column) -> Column:
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, lambda w: let(F.sort_array(windows(w)), marked))).cast("long")
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def counted(w: Column) -> Column:
+        alike = let(hashes(w), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+        return F.when(alike, let(F.sort_array(windows(w)), marked)).otherwise(F.lit(0).cast("long"))
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, counted)).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -112,8 +120,47 @@ def judge(docs: DataFrame, both: tuple[float, float] = BOTH, either: tuple[float
     rows = materialize(measures(docs), "quality-measures")
     plainer = apart(references(rows.filter("not base_failed")), first).filter("kept")
     judged = apart(references(plainer), 1.0)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op2_divergence_rules(docs: DataFrame) -> DataFrame:
     return judge(docs)
+
+
+def _oracle() -> str:
+    """The same in SQL, over rows in place of arrays: a row for each word, each line, and each class of a histogram."""
+    listed = ", ".join(f"'{w}'" for w in COMMON)
+    count = lambda r: f"len(text) - len(regexp_replace(text, '{r.rstrip('+').replace(chr(39), chr(39) * 2)}', '', 'g'))"
+
+    def apart(k: int, rows: str, scale: float) -> str:
+        """References from `rows`, each document's distances from them, and whether it is odd."""
+        far = lambda kind, length, most: f"coalesce({length} AND {kind}_distance > {most} * {scale}, false)"
+        long, wordy = f"word_chars >= {CHAR_LENGTH}", f"n_words >= {WORD_LENGTH}"
+        return f"""r{k} AS (SELECT h.lang, h.kind, h.i, sum(h.v) AS v FROM h JOIN {rows} x USING (rid) GROUP BY ALL), t{k} AS (SELECT lang, kind, sum(v) AS t FROM r{k} GROUP BY ALL),
+    j{k} AS (SELECT h.rid, h.kind, sum(CASE WHEN h.v > 0 THEN 0.5 * (h.v / s.s) * log2((h.v / s.s) / ((h.v / s.s + r.v / t.t) / 2)) ELSE 0 END + CASE WHEN r.v > 0 THEN 0.5 * (r.v / t.t) * log2((r.v / t.t) / ((h.v / s.s + r.v / t.t) / 2)) ELSE 0 END) AS d
+      FROM h JOIN s USING (rid, kind) JOIN r{k} r ON r.kind = h.kind AND r.i = h.i AND r.lang IS NOT DISTINCT FROM h.lang JOIN t{k} t ON t.kind = h.kind AND t.lang IS NOT DISTINCT FROM h.lang WHERE s.s > 0 AND t.t > 0 GROUP BY ALL),
+    a{k} AS (SELECT b.*, (SELECT sqrt(least(1.0, greatest(0.0, d))) FROM j{k} j WHERE j.rid = b.rid AND j.kind = 'c') AS char_distance, (SELECT sqrt(least(1.0, greatest(0.0, d))) FROM j{k} j WHERE j.rid = b.rid AND j.kind = 'w') AS word_distance FROM b),
+    k{k} AS (SELECT *, NOT base_failed AND NOT (({far('char', long, BOTH[0])} AND {far('word', wordy, BOTH[1])}) OR {far('char', long, EITHER[0])} OR {far('word', wordy, EITHER[1])}) AS kept FROM a{k})"""
+
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT rid, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '{WORD}') AS l FROM d)),
+    g AS (SELECT rid, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+    p AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
+    q AS (SELECT rid, count(DISTINCT i + k) AS n FROM p, (VALUES (0), (1), (2)) x(k) GROUP BY 1),
+    l AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{WORD}') GROUP BY 1),
+    n AS (SELECT rid, count(*) AS n, sum(len(w)) AS c FROM w GROUP BY 1),
+    b AS (SELECT d.*, coalesce(n.n, 0) AS n_words, coalesce(n.c, 0) AS word_chars, {count(CLASSES[3])} AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(q.n, 0) AS n_repeat_words, coalesce(n.n, 0) < {BASE_WORDS} OR 100 * coalesce(q.n, 0) > 50 * coalesce(n.n, 0) AS base_failed
+      FROM d LEFT JOIN n USING (rid) LEFT JOIN l USING (rid) LEFT JOIN q USING (rid)),
+    c AS (SELECT rid, lang, [{', '.join(count(r) for r in CLASSES)}] AS c, len(text) - word_chars AS white, len(text) AS n FROM b),
+    o AS (SELECT rid, lower(w) AS w, count(*) AS n FROM w WHERE lower(w) IN ({listed}) GROUP BY ALL),
+    m AS (SELECT * FROM (SELECT unnest([{listed}]) AS w, generate_subscripts([{listed}], 1) AS i)),
+    h AS (SELECT rid, lang, 'c' AS kind, unnest(list_concat(c, [white, greatest(0, n - white - list_sum(c))])) AS v, unnest(range(1, {len(CLASSES) + 3})) AS i FROM c
+      UNION ALL SELECT b.rid, b.lang, 'w', coalesce(o.n, 0), m.i FROM b CROSS JOIN m LEFT JOIN o ON o.rid = b.rid AND o.w = m.w
+      UNION ALL SELECT b.rid, b.lang, 'w', greatest(0, b.n_words - coalesce((SELECT sum(n) FROM o WHERE o.rid = b.rid), 0)), {len(COMMON) + 1} FROM b),
+    s AS (SELECT rid, kind, sum(v) AS s FROM h GROUP BY ALL), f AS (SELECT rid FROM b WHERE NOT base_failed),
+    {apart(1, 'f', 1.5)}, z AS (SELECT rid FROM k1 WHERE kept),
+    {apart(2, 'z', 1.0)}
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM k2"""
+
+
+ORACLE = _oracle()

@@ -58,4 +58,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {"op3_url_filter": urls.ORACLE}
+SQL: dict[str, str] = {"op2_divergence_rules": quality_rules.ORACLE, "op3_url_filter": urls.ORACLE}

@@ -104,6 +104,17 @@ def test_divergence_value(spark):
     assert abs(got[0] - np.sqrt((kl(a) + kl(b)) / 2)) < 1e-12 and got[1] == 0 and got[2] is None
 
 
+def test_quality_rules_by_sql(spark, docs):
+    """Distances and verdicts against SQL, on a whole table and on odd rows."""
+    for df in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), docs):
+        con = duckdb.connect()
+        con.register("documents", pa.Table.from_pylist([{"doc_id": r.doc_id, "lang": r.lang, "text": r.text} for r in df.select("doc_id", "lang", "text").collect()], schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])))
+        cur = con.execute(quality_rules.ORACLE)
+        names = [d[0] for d in cur.description]
+        show = lambda r: repr([round(r[n], 5) if isinstance(r[n], float) else r[n] for n in names])  # noqa: B023, E731
+        assert sorted(show(dict(zip(names, r, strict=True))) for r in cur.fetchall()) == sorted(show(r) for r in quality_rules.op2_divergence_rules(df).collect())
+
+
 def test_quality_rules_keep_good(spark):
     rows = quality_rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("not base_failed")
     by = {(r.quality, r.kept): r["count"] for r in rows.groupBy("quality", "kept").count().collect()}
