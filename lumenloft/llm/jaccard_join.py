@@ -18,14 +18,15 @@ their hashes, as many as make chance collisions rare for the corpus at hand, and
 less rare. What stands in one text alone is in no list, so only the shared shingles travel back. A frequent shingle, one
 in a third of all texts, costs one entry for each batch.
 
-Candidates are verified as pairs. In the first round each list asks its sets against one of them, the head; what links
-there is a component. The sets of a list that are in other components than its head are then compared with the list's
-other sets, in blocks, by parity bitmaps: the bits in which the bitmaps of two sets differ never outnumber the shingles in
-which the sets differ, so a pair too far apart is dropped without a loss. Of what is left only the closest pairs that
-would join two components are verified, by their sets; the number of them that a set may ask for in a round grows until
-nothing is held back and nothing new is found. So the copies of one text cost a pair each and not a pair for every two of
-them, and no pairs of a group are written out. What stays quadratic is the comparison of bitmaps, where a list has many
-sets that don't link with its head.
+Candidates are verified as pairs, once their parity bitmaps allow a link: the bits in which the bitmaps of two sets differ
+never outnumber the shingles in which the sets differ, so a pair too far apart is dropped without a loss. In the first
+round each list asks its sets against one of them, the head; what links there is a component. The sets of a list that are
+in other components than its head are then compared with the list's other sets, in blocks, by bitmaps. Of the pairs that
+may link a block names those of a spanning forest of its components, the closest first; these are verified by their sets,
+and what fails is left out of the next round's forest. A round looks again at the lists that named a pair in the last one
+and may name more pairs for two components than that did, until no list names any. So the copies of one text cost a pair
+each and not a pair for every two of them, and no pairs of a group are written out. What stays quadratic is the comparison
+of bitmaps, where a list has many sets that don't link with its head.
 
 A third of all rows may be one text: batches see it once each, and it is one class. A shingle in a third of all classes
 is counted by partial sums, its list's head is found by partial minima and joined from its single row, so that its
@@ -45,7 +46,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -58,7 +58,7 @@ from .textvec import U, Words, mix
 WORDS = 5
 SMALLEST = 14  # sizes up to here may be light; their sets travel whole
 BATCH, BUCKET = 1_500_000, 2_000_000  # shingles of a batch of texts and of a bucket
-BLOCK, FIRST, MORE = 256, 1, 8  # sets of a list that are compared at once; closest pairs that a set may ask for, and how that grows
+BLOCK, MORE = 256, 8  # sets of a list that are compared at once; how the pairs named for two components grow by round
 #: What a row costs: a shingle that is counted and told, an entry of a list, a subset of a light set, a shingle verified.
 COUNTED, ENTRY, SUBSET, VERIFIED = 1.0, 6.0, 2.0, 1.0
 BANDS = [1]
@@ -302,13 +302,14 @@ def inverted_lists(docs: DataFrame, classes: DataFrame, total: int, b: int) -> D
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """The parity, for each place, of the shingles that fall on it; at least two places for a shingle, up to 2 ** 16."""
-    size = 1 << min(16, max(8, int(2 * len(s) - 1).bit_length()))
+    """The parity, for each place, of the shingles that fall on it; at least 16 places for a shingle, up to 2 ** 18, so that
+    few of the shingles in which two sets differ fall on one place."""
+    size = 1 << min(18, max(8, int(16 * len(s) - 1).bit_length()))
     return np.packbits(np.bincount((s & U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
 def set_members(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """node, data, bits: the sets that stand in lists, and their bitmaps."""
+    """node, n, data, bits: the sets that stand in lists, and their bitmaps."""
 
     def run(batches):
         seen: tuple = (None, set())
@@ -320,14 +321,14 @@ def set_members(docs: DataFrame, lists: DataFrame) -> DataFrame:
                         seen = (node, set())
                     if (w1, w2) == (k1, k2) and k1 not in seen[1]:
                         seen[1].add(k1)
-                        out.append((node, s.tobytes(), bitmap(s)))
-                cols = list(zip(*out, strict=True)) if out else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["node", "data", "bits"])
+                        out.append((node, len(s), s.tobytes(), bitmap(s)))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "data", "bits"])
 
     wanted = lists.select("node", "k1", "k2").distinct()
     # a merge join at every size: where few sets are wanted Spark would send them to all executors, but their number grows
     rows = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "k1", "k2", "text")
-    return materialize(rows.mapInArrow(run, "node long, data binary, bits binary"), "jaccard-members")
+    return materialize(rows.mapInArrow(run, "node long, n long, data binary, bits binary"), "jaccard-members")
 
 
 def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -357,37 +358,111 @@ def fold(bits: list[bytes], size: int) -> np.ndarray:
     """Bitmaps of `size` bytes as rows of 64-bit words; a longer one is folded onto itself, which keeps the parity."""
     out = np.zeros((len(bits), size), np.uint8)
     for i, x in enumerate(bits):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
+        out[i] = np.frombuffer(x, np.uint8) if len(x) == size else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
     return out.view(U)
 
 
-def closest(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """One block of a list: for each asking set and each other component, up to `budget` sets of it that may link, the
-    closest first; and whether there were more."""
-    asks, others = pdf[pdf["asks"]].reset_index(drop=True), pdf[~pdf["asks"]].reset_index(drop=True)
-    out: list[tuple[int, int, bool]] = []
-    if len(asks) and len(others):
-        size = min(map(len, pdf["bits"]))
-        left, right = fold(asks["bits"].tolist(), size), fold(others["bits"].tolist(), size)
-        m, node, comp, led = (others[c].to_numpy() for c in ("n", "node", "component", "lead"))
-        for i, (x, n, own, lead) in enumerate(zip(*[asks[c].tolist() for c in ("node", "n", "component", "lead")], strict=True)):
-            apart = np.bitwise_count(right ^ left[i]).sum(axis=1)
-            may = (comp != own) & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (lead & (n <= m) | led & (m <= n)) & (apart <= n + m - 2 * need(n, m))
-            at = np.flatnonzero(may)
-            taken: dict[int, int] = {}
-            for j in at[np.lexsort((node[at], apart[at] / (n + m[at])))].tolist():
-                c = int(comp[j])
-                taken[c] = taken.get(c, 0) + 1
-                if taken[c] <= budget:
-                    y = int(node[j])
-                    out.append((min(x, y), max(x, y), False))
-            if max(taken.values(), default=0) > budget:
-                out.append((x, x, True))
-    return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
-
-
-def across(lists: DataFrame, members: DataFrame, joined: DataFrame, budget: int) -> DataFrame:
-    """a, b, more: pairs of sets in one list, in different components, that may link."""
+def apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+
+
+def may_link(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*[batch[c].to_pylist() for c in ("x", "y", "n", "m")], strict=True):
+                left, right = fold([x, y], min(len(x), len(y)))
+                keep.append(bool(apart(left, right) <= n + m - 2 * need(n, m)))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    side = lambda node, bits, n: members.select(F.col("node").alias(node), F.col("bits").alias(bits), F.col("n").alias(n)).hint("merge")
+    return pairs.select("a", "b").join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").mapInArrow(run, "a long, b long").distinct()
+
+
+def forest(asks: dict, others: dict, budget: int) -> list[tuple[int, int]]:
+    """Pairs of one block that may link: a spanning forest of its components, up to `budget` pairs for each edge of it, the
+    closest first."""
+    size = min(min(map(len, asks["bits"])), min(map(len, others["bits"])))
+    left, right = fold(asks["bits"], size), fold(others["bits"], size)
+    m, node, comp, led = (np.array(others[c]) for c in ("n", "node", "component", "lead"))
+    found = []
+    for i, (n, own, lead, failed) in enumerate(zip(asks["n"], asks["component"], asks["lead"], asks["failed"], strict=True)):
+        may = (comp != own) & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (lead & (n <= m) | led & (m <= n))
+        if not may.any():
+            continue
+        d = apart(right, left[i])
+        may &= d <= n + m - 2 * need(n, m)
+        if failed:
+            may &= ~np.isin(node, failed)
+        at = np.flatnonzero(may)
+        if len(at):
+            found.append(np.stack([d[at] / (n + m[at]), np.full(len(at), i), at]))
+    if not found:
+        return []
+    score, i, j = np.concatenate(found, axis=1)
+    i, j = i.astype(int), j.astype(int)
+    order = np.lexsort((node[j], np.array(asks["node"])[i], score))
+    root: dict[int, int] = {}
+    edges: dict[tuple[int, int], int] = {}
+    out = []
+
+    def top(c):
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = asks["component"][x], others["component"][y]
+        edge = (min(a, b), max(a, b))
+        if edge not in edges:
+            ta, tb = top(a), top(b)
+            if ta == tb:
+                continue
+            root[ta], edges[edge] = tb, 0
+        if edges[edge] < budget:
+            edges[edge] += 1
+            out.append((min(asks["node"][x], others["node"][y]), max(asks["node"][x], others["node"][y])))
+    return out
+
+
+def block_pairs(batches, budget: int):
+    """Rows of a block come together: key, band, a, b of each block's forest."""
+    names = ("node", "n", "lead", "component", "bits", "failed")
+    here, sides = None, ({c: [] for c in names}, {c: [] for c in names})
+    made: list[tuple[int, int, int, int]] = []
+
+    def close():
+        asks, others = sides
+        if asks["node"] and others["node"]:
+            made.extend((here[0], here[1], a, b) for a, b in forest(asks, others, budget))
+        for side in sides:
+            for c in names:
+                side[c] = []
+
+    def rows():
+        out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*made, strict=True) if made else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "band", "a", "b"])
+        made.clear()
+        return out
+
+    for batch in batches:
+        for block, ask, *row in zip(zip(*[batch[c].to_pylist() for c in ("key", "band", "i", "j")], strict=True), batch["asks"].to_pylist(), *[batch[c].to_pylist() for c in names], strict=True):
+            if block != here:
+                close()
+                here = block
+            side = sides[0 if ask else 1]
+            for c, x in zip(names, row, strict=True):
+                side[c].append(x)
+        yield rows()
+    close()
+    yield rows()
+
+
+def across(lists: DataFrame, members: DataFrame, joined: DataFrame, failed: DataFrame, budget: int) -> DataFrame:
+    """key, band, a, b: pairs of sets in one list, in different components, that may link and didn't fail yet."""
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lists.join(joined, "node", "left").select("key", "band", "node", "n", "lead", F.coalesce("component", "node").alias("component"))
     mark = lambda seed: F.bit_xor(F.xxhash64("node", "lead", F.lit(seed)))
     by = rows.groupBy("key", "band").agg(
@@ -398,36 +473,37 @@ def across(lists: DataFrame, members: DataFrame, joined: DataFrame, budget: int)
     rows = rows.join(by, ["key", "band"]).withColumn("asks", F.col("component") != F.col("main"))
     asking = rows.groupBy("key", "band").agg(F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("parts"))
     rows = rows.join(asking, ["key", "band"]).withColumn("of", F.ceil(F.col("k") / BLOCK).cast("int")).join(members.select("node", "bits").hint("merge"), "node")
+    partners = failed.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("p")), F.struct(F.col("b").alias("node"), F.col("a").alias("p")))).alias("e"))
+    rows = rows.join(partners.groupBy("e.node").agg(F.collect_list("e.p").alias("failed")), "node", "left")
     own = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["key", "band", "node", "n", "lead", "component", "bits"]
-    asks = rows.filter("asks").select(*columns, F.lit(True).alias("asks"), own(0, "parts").alias("i"), every("of").alias("j"))
-    others = rows.select(*columns, F.lit(False).alias("asks"), own(1, "of").alias("j"), every("parts").alias("i"))
-    return asks.unionByName(others).groupBy("key", "band", "i", "j").applyInPandas(lambda pdf: closest(pdf, budget), "a long, b long, more boolean")
+    asks = rows.filter("asks").select(*columns, "failed", F.lit(True).alias("asks"), own(0, "parts").alias("i"), every("of").alias("j"))
+    others = rows.select(*columns, F.lit(None).cast("array<long>").alias("failed"), F.lit(False).alias("asks"), own(1, "of").alias("j"), every("parts").alias("i"))
+    blocks = asks.unionByName(others).repartition(n, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    return blocks.mapInArrow(lambda it: block_pairs(it, budget), "key long, band int, a long, b long")
 
 
 def heavy_links(docs: DataFrame, classes: DataFrame, total: int, b: int) -> DataFrame:
     """Edges (a, b) between classes that join all that the lists' links join."""
     lists = inverted_lists(docs, classes, total, b)
     members = set_members(docs, lists)
-    tested = materialize(head_pairs(lists), "jaccard-tested")
-    links = materialize(verify(tested, members), "jaccard-links")
-    budget = FIRST
+    pairs = materialize(may_link(head_pairs(lists), members), "jaccard-pairs")
+    links = materialize(verify(pairs, members), "jaccard-links")
+    failed = materialize(pairs.join(links, ["a", "b"], "left_anti"), "jaccard-failed", instead_of=[pairs])
+    budget, active = 1, lists
     while True:
         joined = materialize(components(links, "jaccard-joined").select("node", "component"), "jaccard-joined")
-        found = materialize(across(lists, members, joined, budget).distinct(), "jaccard-found")
-        new = materialize(found.filter("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-new")
-        held_back = not found.filter("more").isEmpty()
-        if new.isEmpty():
-            if not held_back:
-                break
-            budget *= MORE
-            continue
+        found = materialize(across(active, members, joined, failed, budget), "jaccard-found", instead_of=[active] if active is not lists else [])
+        if found.isEmpty():
+            break
+        new = found.select("a", "b").distinct()
         more = materialize(verify(new, members), "jaccard-more")
+        failed = materialize(failed.unionByName(new.join(more, ["a", "b"], "left_anti")), "jaccard-failed", instead_of=[failed])
         links = materialize(links.unionByName(more), "jaccard-links", instead_of=[links, more])
-        tested = materialize(tested.unionByName(new), "jaccard-tested", instead_of=[tested, new, found, joined])
+        active = materialize(lists.join(found.select("key", "band").distinct(), ["key", "band"]), "jaccard-active", instead_of=[found, joined])
         budget *= MORE
-    for old in (lists, members, tested):
+    for old in (lists, members, failed, joined, found):
         forget(old)
     return links
 
