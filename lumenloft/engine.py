@@ -21,6 +21,7 @@ from lumenloft.operators.core import range_of
 from lumenloft.sinks import writers
 from lumenloft.sources import listing, records, volumes
 from lumenloft.store import Store
+from lumenloft.streaming.feeds import SessionLock
 
 
 def now() -> str:
@@ -29,7 +30,7 @@ def now() -> str:
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = now):
-        self.spark, self.store, self.clock = spark, Store(spark, root), clock
+        self.spark, self.store, self.clock, self.lock = spark, Store(spark, root), clock, SessionLock()
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -139,8 +140,7 @@ class Engine:
         """What an ingest would do, without doing it."""
         who, rows, errors = self._prepare(root, list(days), strong_id, source_id, read_tags, self.clock())
         counts = classify.review(rows.select("file", "decision"), rows, errors).first()
-        by_day = rows.groupBy(dates.mtime_day("modified_at").alias("day")).count().orderBy("day").collect()
-        return {**who, **counts.asDict(), "by_day": {r["day"]: r["count"] for r in by_day}}
+        return {**who, **counts.asDict(), "by_day": [r.asDict() for r in classify.review_days(rows).collect()]}
 
     # ingest
 
@@ -231,13 +231,80 @@ class Engine:
         disk = listing.hash_files(self.spark, root, wanted).select(F.col("relative_path").alias("path"), "size_bytes", F.col("sha256").alias("checksum"))
         return recover.recovery_actions(inputs, disk)
 
+    def recover(self, session: str, source_root: str | None = None) -> dict:
+        """Finish an interrupted session: what is on disk and right is kept or taken as verified, what is wrong is moved aside,
+        and what is missing is copied again from `source_root`. Without it such a session stays as it is (`paused`).
+        Every decision goes to the audit log beside the catalog. One recovery of a session runs at a time."""
+        with self.lock(session):
+            context = self.table("session_recovery_context").filter(F.col("session_id") == session).first()
+            if context is None:
+                raise KeyError(session)
+            root, work, at = context["destination_root"], f"{self.store.root}/_work/{session}-{uuid.uuid4().hex}", self.clock()
+            self.recovery_plan(session).write.parquet(f"{work}/actions")
+            actions = self.spark.read.parquet(f"{work}/actions")
+            outcome = recover.session_outcome(actions, source_root is not None).first()["outcome"]
+            writers.recovery_audit(actions.select(F.lit(session).alias("session"), F.lit(at).alias("decidedAt"), "copy", "action"), f"{self.store.root}/_recovery_audit")
+            counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
+            if outcome == "paused":
+                return {"outcome": outcome, "actions": counts, "copied": 0, "failed": 0}
+            recover.quarantine_files(actions, root, session).write.parquet(f"{work}/moved")
+            copies, files = self.table("copied_files"), self.table("source_files")
+            todo = actions.filter("recopy").join(copies.select(F.col("id").alias("copy"), "source_file_id", "destination_path"), "copy").join(files.select(F.col("id").alias("source_file_id"), "relative_path"), "source_file_id")
+            todo = todo.select(F.col("copy").alias("file"), "relative_path", "destination_path")
+            writers.copy_files(todo, source_root or root, root, session).write.parquet(f"{work}/outcomes")
+            again = self.spark.read.parquet(f"{work}/outcomes")
+            self._record_recovery(session, actions, again, self.clock())
+            self._finish(session, files.filter(F.col("ingest_session_id") == session).first()["source_id"], root, at)
+            done = again.groupBy(F.col("outcome") == "completed").count().collect()
+            n = {bool(r[0]): r["count"] for r in done}
+            return {"outcome": "recovered" if not n.get(False) else "failed", "actions": counts, "copied": n.get(True, 0), "failed": n.get(False, 0)}
+
+    def _record_recovery(self, session: str, actions: DataFrame, again: DataFrame, at: str) -> None:
+        """Copies as the recovery left them, and their files' status after them."""
+        copies, files = self.table("copied_files"), self.table("source_files")
+        inputs = recover.recovery_inputs(copies, files).select(F.col("copy").alias("id"), "expected_checksum")
+        found = actions.filter(F.col("action").isin("mark-verified", "promote")).select(F.col("copy").alias("id"), F.lit("completed").alias("outcome"), F.lit(None).cast("string").alias("sum"), F.lit(None).cast("string").alias("code"))
+        made = again.select(F.col("file").alias("id"), "outcome", F.col("checksum").alias("sum"), F.col("error_code").alias("code"))
+        r = copies.join(found.unionByName(made), "id", "left").join(inputs, "id", "left")
+        touched, ok = F.col("outcome").isNotNull(), F.col("outcome") == "completed"
+        text = lambda v: F.lit(v).cast("string")
+        values = {
+            "status": F.when(ok, "verified").otherwise("failed"), "copied_bytes": F.when(ok, F.col("expected_bytes")).otherwise(F.col("copied_bytes")), "checksum": F.when(ok, F.coalesce("sum", "expected_checksum")), "started_at": F.coalesce("started_at", text(at)), "recovery_started_at": text(at),
+            "verified_at": F.when(ok, text(at)), "failed_at": F.when(~ok, text(at)), "error_code": F.when(~ok, F.coalesce("code", F.lit("COPY_FAILED"))), "error_message": F.when(~ok, media.safe_error("code")["message"]), "updated_at": text(at),
+        }
+        new = r.select(*[F.when(touched, values[c]).otherwise(copies[c]).alias(c) if c in values else copies[c] for c in copies.columns])
+        self.store.replace("copied_files", new)
+        state = self.table("copied_files").filter(F.col("ingest_session_id") == session).groupBy(F.col("source_file_id").alias("_file")).agg(F.max(F.col("status") == "verified").alias("_ok"))
+        f = files.join(state, files["id"] == F.col("_file"), "left")
+        good, bad = F.col("_ok") & (F.col("status") != "skipped"), ~F.col("_ok")
+        values = {
+            "status": F.when(good, "completed").when(bad, "failed").otherwise(F.col("status")), "error_code": F.when(good, None).when(bad, F.coalesce("error_code", F.lit("COPY_FAILED"))).otherwise(F.col("error_code")),
+            "error_message": F.when(good, None).when(bad, F.coalesce("error_message", F.lit(media.MESSAGES["COPY_FAILED"]))).otherwise(F.col("error_message")), "updated_at": F.when(good | bad, text(at)).otherwise(F.col("updated_at")),
+        }
+        self.store.replace("source_files", f.select(*[values[c].alias(c) if c in values else files[c] for c in files.columns]))
+
+    def cancel(self, session: str) -> None:
+        """A session that isn't over ends as cancelled; its verified copies stay."""
+        at = self.clock()
+        live = (F.col("id") == session) & ~F.col("status").isin(*schemas.TERMINAL)
+        values = {"status": "cancelled", "completed_at": at, "updated_at": at, "error_code": "INGEST_CANCELLED", "error_message": media.MESSAGES["INGEST_CANCELLED"]}
+        self.store.replace("ingest_sessions", maintenance.update(self.table("ingest_sessions"), live, {k: F.lit(v).cast("string") for k, v in values.items()}))
+
     # thumbnails
 
     def thumbnails_wanted(self, now_ms: int, n: int = 8) -> DataFrame:
         return catalog.thumbnails_wanted(self.table("copied_files"), self.table("thumbnails"), now_ms, n)
 
-    def evict_thumbnails(self) -> DataFrame:
-        """Cache keys to drop under the settings' limit; the table loses them."""
-        gone = maintenance.evict(self.table("thumbnail_artifacts"), self.settings()["thumbnail"]["cacheLimitBytes"]).persist()
-        self.store.replace("thumbnail_artifacts", maintenance.delete(self.table("thumbnail_artifacts"), gone, ["cache_key"]))
+    def evict_thumbnails(self, copy: str | None = None) -> DataFrame:
+        """Cache keys to drop under the settings' policy: the oldest beyond the limit, or, where only a session is kept, what
+        no thumbnail of the session of `copy` shows. The artifacts go, and the thumbnails that refer to them."""
+        t, artifacts, thumbnails = self.settings()["thumbnail"], self.table("thumbnail_artifacts"), self.table("thumbnails")
+        if t["cachePolicy"] == "session":
+            gone = maintenance.evict_other_sessions(artifacts, thumbnails, self.table("copied_files"), copy or "")
+        else:
+            gone = maintenance.evict(artifacts, t["cacheLimitBytes"])
+        gone = gone.persist()
+        gone.count()
+        self.store.replace("thumbnails", maintenance.delete(thumbnails, gone.select(F.col("cache_key").alias("artifact_cache_key")), ["artifact_cache_key"]))
+        self.store.replace("thumbnail_artifacts", maintenance.delete(artifacts, gone, ["cache_key"]))
         return gone

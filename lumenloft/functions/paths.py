@@ -22,7 +22,9 @@ TOKENS = ("YYYY", "YYYY-MM-DD", "sourceLabelOrCamera", "nickname", "originalFile
 DEFAULT_TEMPLATE = "{YYYY}/{YYYY-MM-DD}/{sourceLabelOrCamera}/{originalFilename}"
 MAX_OUTPUT, MAX_SEGMENT = 1024, 255
 TOKEN = re.compile(r"\{([^{}]+)\}")
-RESERVED = r"(?i)^((?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\.|\z))"
+#: Device names that no file may have; ports have a number from 1 to 9.
+DEVICES, PORTS = ("con", "prn", "aux", "nul"), ("com", "lpt")
+RESERVED = "(?i)^((?:" + "|".join([*DEVICES, *[p + "[1-9]" for p in PORTS]]) + r")(?:\.|\z))"
 
 
 @F.pandas_udf(T.StringType())
@@ -146,28 +148,45 @@ def normalize_exclusion(value) -> Column:
 # templates are parameters, so they are checked and compiled on the driver
 
 
+def parse_template(template: str) -> list[list[tuple[str, str]]]:
+    """A template's segments, each a list of (kind, text): `token`, `text`, or `stray` for a brace that makes no token."""
+    out: list[list[tuple[str, str]]] = [[]]
+    at = 0
+    while at < len(template):
+        if template[at] == "/":
+            out.append([])
+            at += 1
+        elif m := TOKEN.match(template, at):
+            out[-1].append(("token", m[1]))
+            at = m.end()
+        elif template[at] in "{}":
+            out[-1].append(("stray", template[at]))
+            at += 1
+        else:
+            end = next((i for i in range(at, len(template)) if template[i] in "/{}"), len(template))
+            out[-1].append(("text", template[at:end]))
+            at = end
+    return out
+
+
+#: What may be wrong: of a whole template (its text and its segments), of one of its segments, of one of their parts.
+WHOLE = {
+    "empty template": lambda text, parsed: not text.strip(),
+    "template is absolute": lambda text, parsed: text[:1] in ("/", "\\") or text[:1].isalpha() and text[1:3] in (":/", ":\\"),
+    "template needs originalFilename exactly once": lambda text, parsed: sum(p == ("token", "originalFilename") for part in parsed for p in part) != 1,
+}
+SEGMENT = {"empty path segment": lambda part: all(kind == "text" and not text.strip() for kind, text in part), "traversal segment": lambda part: part in ([("text", ".")], [("text", "..")])}
+PART = {"template uses backslashes": lambda kind, text: "\\" in text, "unknown token {}": lambda kind, text: kind == "token" and text not in TOKENS, "broken token expression": lambda kind, text: kind == "stray"}
+
+
 def validate_template(template: str) -> list[str]:
     """Problems of a template, each once; none if it is valid."""
-    names = TOKEN.findall(template)
-    rest = TOKEN.sub("", template)
-    out = []
-    if not template.strip():
-        out.append("empty template")
-    if re.match(r"[\\/]|[A-Za-z]:[\\/]", template):
-        out.append("template is absolute")
-    if "\\" in template:
-        out.append("template uses backslashes")
-    if names.count("originalFilename") != 1:
-        out.append("template needs originalFilename exactly once")
-    out += [f"unknown token {n}" for n in names if n not in TOKENS]
-    if "{" in rest or "}" in rest:
-        out.append("broken token expression")
-    for part in template.split("/"):
-        if not part.strip():
-            out.append("empty path segment")
-        if part in (".", ".."):
-            out.append("traversal segment")
-    return list(dict.fromkeys(out))
+    parsed = parse_template(template)
+    found = [name for name, wrong in WHOLE.items() if wrong(template, parsed)]
+    for part in parsed:
+        found += [name for name, wrong in SEGMENT.items() if wrong(part)]
+        found += [name.format(text) for kind, text in part for name, wrong in PART.items() if wrong(kind, text)]
+    return list(dict.fromkeys(found))
 
 
 def compile_template(template: str, capture_day, label, filename, nickname=None, platform: str = "win32", unicode: bool = True) -> Column:
@@ -178,12 +197,8 @@ def compile_template(template: str, capture_day, label, filename, nickname=None,
     day = col(capture_day)
     values = {"YYYY": F.substring(day, 1, 4), "YYYY-MM-DD": day, "sourceLabelOrCamera": col(label), "nickname": F.coalesce(col(nickname), col(label)) if nickname is not None else col(label), "originalFilename": col(filename)}
     parts = []
-    for part in template.split("/"):
-        bits, at = [], 0
-        for m in TOKEN.finditer(part):
-            bits += [F.lit(part[at : m.start()]), values[m[1]]]
-            at = m.end()
-        parts.append(sanitize_segment(F.concat(*bits, F.lit(part[at:])), platform, unicode))
+    for part in parse_template(template):
+        parts.append(sanitize_segment(F.concat(*[values[text] if kind == "token" else F.lit(text) for kind, text in part]), platform, unicode))
     out = F.concat_ws("/", *parts)
     units = F.length(out) + F.length(F.regexp_replace(out, r"[\x{0}-\x{FFFF}]+", ""))
     ok = F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False)) & (units <= MAX_OUTPUT)

@@ -132,19 +132,19 @@ def sources_without_strong_id(sources: DataFrame, observations: DataFrame) -> Da
 
 
 def session_snapshot(sessions: DataFrame, files: DataFrame, copies: DataFrame) -> DataFrame:
-    """Counters, bytes and errors of each session; the session's own error comes first, then those of its files in order
-    of path and id."""
+    """Counters, bytes and errors (code, message, filename) of each session; the session's own error comes first, then those
+    of its files in order of path and id. Errors without a code or message get the usual ones."""
     c = latest_copies(copies, True).select(F.col("source_file_id").alias("file"), F.col("ingest_session_id").alias("session"), "copied_bytes")
     f = files.select(F.col("id").alias("file"), F.col("ingest_session_id").alias("session"), "relative_path", "size_bytes", F.col("status").alias("s"), F.col("error_code").alias("code"), F.col("error_message").alias("message"))
     f = f.join(c, ["file", "session"], "left")
-    error = F.when(F.col("s") == "failed", F.struct("relative_path", "file", F.coalesce("code", F.lit("FILE_FAILED")).alias("code"), "message"))
+    error = F.when(F.col("s") == "failed", F.struct("relative_path", "file", F.coalesce("code", F.lit("FILE_FAILED")).alias("code"), F.coalesce("message", F.lit("The file could not be copied.")).alias("message")))
     by = f.groupBy("session").agg(
         F.count(F.lit(1)).alias("total_files"), F.count_if(F.col("s") == "completed").alias("completed_files"), F.count_if(F.col("s") == "skipped").alias("skipped_files"), F.count_if(F.col("s") == "failed").alias("failed_files"),
         F.count_if(F.col("s") != "skipped").alias("new_files"), F.sum("size_bytes").alias("total_bytes"), F.sum(F.coalesce("copied_bytes", F.lit(0))).alias("completed_bytes"), F.array_sort(F.collect_list(error)).alias("errors"),
     )
     out = sessions.join(by, sessions["id"] == by["session"], "left")
-    own = F.when(F.col("error_code").isNotNull(), F.array(F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>"))
-    theirs = F.transform(F.coalesce("errors", F.array().cast(by.schema["errors"].dataType)), lambda e: F.struct(e["code"].alias("code"), e["message"].alias("message")))
+    own = F.when(F.col("error_code").isNotNull(), F.array(F.struct(F.col("error_code").alias("code"), F.coalesce("error_message", F.lit(media.OTHER_MESSAGE)).alias("message"), F.lit(None).cast("string").alias("filename")))).otherwise(F.array().cast("array<struct<code:string,message:string,filename:string>>"))
+    theirs = F.transform(F.coalesce("errors", F.array().cast(by.schema["errors"].dataType)), lambda e: F.struct(e["code"].alias("code"), e["message"].alias("message"), F.element_at(F.split(e["relative_path"], "/"), -1).alias("filename")))
     zero = lambda n: F.coalesce(n, F.lit(0).cast("long")).alias(n)
     return out.select(
         sessions["id"], "status", media.phase_label("status").alias("phase"), *[zero(n) for n in ("total_files", "completed_files", "skipped_files", "failed_files", "new_files", "total_bytes", "completed_bytes")],

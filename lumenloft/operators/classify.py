@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenloft.operators import catalog
 from lumenloft.operators.core import locale_order
 
 
@@ -80,6 +81,11 @@ def review(classified: DataFrame, files: DataFrame, scan_errors: DataFrame) -> D
     return counts.select("total", "new", "known", "ambiguous", (F.col("r") + errors.scalar()).alias("recoverable"), "estimated_bytes")
 
 
+def review_days(files: DataFrame) -> DataFrame:
+    """Photos, videos, other files and bytes of what was scanned, by day of modification and in order of it."""
+    return catalog.card_media(files).filter("is_total = 0").select("day", "photos", "videos", "other", "bytes")
+
+
 def run_counters(outcomes: DataFrame) -> DataFrame:
     """Completed, failed, skipped and collided files of a run; a collision counts as failed too."""
     n = lambda *o: F.count_if(F.col("outcome").isin(*o))

@@ -88,6 +88,15 @@ def evict(artifacts: DataFrame, limit_bytes: int, in_use: DataFrame | None = Non
     return out if in_use is None else out.join(in_use, "cache_key", "left_anti")
 
 
+def evict_other_sessions(artifacts: DataFrame, thumbnails: DataFrame, copies: DataFrame, copy: str) -> DataFrame:
+    """Artifacts that no thumbnail of the session of `copy` shows; none where the copy isn't known."""
+    session = copies.filter(F.col("id") == copy).select(F.col("ingest_session_id").alias("_session"))
+    mine = copies.join(session, copies["ingest_session_id"] == F.col("_session")).select(F.col("id").alias("copied_file_id"))
+    shown = thumbnails.join(mine, "copied_file_id").select(F.col("artifact_cache_key").alias("cache_key")).distinct()
+    known = session.agg(F.count(F.lit(1)).alias("n"))
+    return artifacts.join(shown, "cache_key", "left_anti").filter(known.scalar() > 0).select("cache_key", "size_bytes", "updated_at")
+
+
 def running_stats(samples: DataFrame, by: str = "source_id", value: str = "bytes_per_second", order: str = "at") -> DataFrame:
     """Count, mean and last value of each source's samples."""
     return samples.groupBy(by).agg(F.count(F.lit(1)).alias("sample_count"), F.avg(value).alias("average_bytes_per_second"), F.max_by(value, order).alias("last_bytes_per_second"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloft.functions import paths
 from lumenloft.functions.core import col
+from lumenloft.sinks.writers import quarantine
 
 
 def recovery_actions(copies: DataFrame, disk: DataFrame) -> DataFrame:
@@ -32,6 +34,23 @@ def recovery_actions(copies: DataFrame, disk: DataFrame) -> DataFrame:
     return r.select("copy", "action", where.alias("quarantine_path"), col("action").isin("quarantine-final", "quarantine-provisional", "recopy").alias("recopy"))
 
 
+def quarantine_files(actions: DataFrame, root: str, session: str) -> DataFrame:
+    """copy, moved_to: files that don't match are moved aside in the tasks. A task that runs again finds the file gone and
+    reports nothing moved, which is what a file that vanished gives as well."""
+
+    def run(batches):
+        for b in batches:
+            moved = []
+            for path in b["quarantine_path"].to_pylist():
+                try:
+                    moved.append(quarantine(root, path, session))
+                except FileNotFoundError:
+                    moved.append(None)
+            yield pa.RecordBatch.from_arrays([b["copy"], pa.array(moved, pa.string())], ["copy", "moved_to"])
+
+    return actions.filter("quarantine_path is not null").select("copy", "quarantine_path").mapInArrow(run, "copy string, moved_to string")
+
+
 def session_outcome(actions: DataFrame, source_present: bool) -> DataFrame:
     """paused where something must be copied again and the source is absent, else scheduled or clean."""
     n = F.count_if("recopy")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenloft import schemas
 from lumenloft.functions import core, dates, hashing, media, paths
 from lumenloft.operators import catalog, classify, constraints, identity, maintenance, plan, recover
-from lumenloft.operators.core import any_of, last_n, same
+from lumenloft.operators.core import any_of, by_key, last_n, range_of, same
 from lumenloft.plans.adapters import Views, oracle
 from lumenloft.sinks import writers
 from lumenloft.sources import listing, records, volumes
@@ -349,11 +348,7 @@ def quick_fingerprint(v):
 def plan_by_window(v):
     f = v.sql("SELECT cast(p_partkey AS string) AS file, lpad(cast(p_partkey AS string), 9, '0') AS relative_path, p_partkey, '2021-02-' || lpad(cast(p_size % 28 + 1 AS string), 2, '0') AS day, p_brand AS label, replace(p_name, ' ', '_') || '.jpg' AS name FROM {part}")
     f = f.withColumn("checksum", F.sha2((F.col("p_partkey") % 7).cast("string"), 256)).withColumn("dest", paths.compile_template(paths.DEFAULT_TEMPLATE, "day", "label", "name", unicode=False))
-    one = F.row_number().over(W.partitionBy("dest").orderBy("relative_path")) - 1
-    short = hashing.short_checksum("checksum")
-    suffix = F.when(one == 1, short).when(one > 1, F.concat(short, F.lit("-"), one.cast("string")))
-    name = F.when(one == 0, paths.basename("dest")).otherwise(paths.suffix_filename(paths.basename("dest"), suffix))
-    return f.select("file", F.lit("new").alias("kind"), F.concat(paths.dirname("dest"), F.lit("/"), name).alias("destination_path"))
+    return plan.plan_by_window(f.select("file", "relative_path", "checksum", "dest")).drop("checksum")
 
 
 @query()
@@ -759,12 +754,13 @@ def last_errors(v):
 
 @query("SELECT id, size_bytes FROM files WHERE id = '42'")
 def point_lookup(v):
-    return v.files.filter("id = '42'").select("id", "size_bytes")
+    return by_key(v.files, "id", "42").select("id", "size_bytes")
 
 
-@query("SELECT id, started_at FROM sessions WHERE source_id = '9'")
+@query("SELECT id, started_at, cast(row_number() OVER (ORDER BY started_at DESC, id DESC) AS int) AS place FROM sessions WHERE source_id = '9'")
 def sessions_of_source(v):
-    return v.sessions.filter("source_id = '9'").orderBy(F.desc("started_at"), F.desc("id")).select("id", "started_at")
+    # ids of rows in one partition count up in its order, which makes the order a value
+    return range_of(v.sessions, "source_id", "9", F.desc("started_at"), F.desc("id")).coalesce(1).select("id", "started_at", (F.monotonically_increasing_id() + 1).cast("int").alias("place"))
 
 
 # volumes: trees of disks built from rows, one for each supplier

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenloft.engine import Engine
 
@@ -22,7 +23,7 @@ def test_ingest_twice(spark, tmp_path):
         e.update_settings(copyConcurrency=9)
     e.update_settings(allowedExtensions=[".jpg", ".mov"])
     r = e.review(str(card))
-    assert (r["total"], r["new"], r["known"], r["reconciliation"]) == (3, 3, 0, "new-source") and sum(r["by_day"].values()) == 3
+    assert (r["total"], r["new"], r["known"], r["reconciliation"]) == (3, 3, 0, "new-source") and [(d["day"], d["photos"], d["videos"], d["other"], d["bytes"]) for d in r["by_day"]] == [("2020-09-13", 2, 0, 0, 21), ("2020-09-14", 0, 1, 0, 12)]
     s = e.ingest(str(card), str(archive))
     snap = e.session(s)
     assert (snap["status"], snap["completed_files"], snap["failed_files"], snap["completed_bytes"]) == ("completed", 3, 0, 10 + 11 + 12)
@@ -52,3 +53,42 @@ def test_ingest_twice(spark, tmp_path):
     assert sorted(a["action"] for a in e.recovery_plan(s).collect()) == ["keep", "keep", "quarantine-final"]
     assert e.thumbnails_wanted(0).count() == 3 and e.evict_thumbnails().isEmpty()
     assert e.count_media(str(card)).filter("is_total = 1").first()["photos"] == 2
+
+
+def test_recover_and_evict(spark, tmp_path):
+    """An interrupted session: one copy is right, one is on disk but not on record, one is broken, one is missing."""
+    from lumenloft import schemas
+
+    card, archive = tmp_path / "CARD", tmp_path / "archive"
+    for i, n in enumerate("abcd"):
+        (card / "DCIM").mkdir(parents=True, exist_ok=True)
+        (card / "DCIM" / f"{n}.jpg").write_bytes(bytes([i]) * 20)
+    e = Engine(spark, str(tmp_path / "catalog"))
+    s = e.ingest(str(card), str(archive))
+    rows = {r.destination_path[-5]: r for r in e.table("copied_files").collect()}
+    where = {k: archive / r.destination_path for k, r in rows.items()}
+    undone = {"status": "started", "verified_at": None, "copied_bytes": 5}
+    new = [r.asDict() | (undone if k in "bd" else {}) for k, r in rows.items()]
+    e.store.replace("copied_files", spark.createDataFrame([tuple(r[c] for c in schemas.COPIES.names) for r in new], schemas.COPIES))
+    e.store.replace("ingest_sessions", e.table("ingest_sessions").withColumn("status", F.lit("copying")).withColumn("completed_at", F.lit(None).cast("string")))
+    where["c"].write_bytes(b"broken")
+    where["d"].unlink()
+    assert e.recover(s)["outcome"] == "paused" and e.session(s)["status"] == "copying"
+    done = e.recover(s, str(card))
+    assert done == {"outcome": "recovered", "actions": {"keep": 1, "promote": 1, "quarantine-final": 1, "recopy": 1}, "copied": 2, "failed": 0}
+    assert all(where[n].read_bytes() == bytes([i]) * 20 for i, n in enumerate("abcd")) and any(p.name.endswith(f".quarantine-{s}") for p in archive.rglob("*"))
+    assert {r.status for r in e.table("copied_files").collect()} == {"verified"} and e.session(s)["status"] == "completed" and e.session(s)["failed_files"] == 0
+    assert {a["action"] for a in e.recovery_plan(s).collect()} == {"keep"}
+    assert spark.read.json(str(tmp_path / "catalog" / "_recovery_audit")).count() == 8
+    # what is cached for other sessions goes, with the thumbnails that show it
+    copies = [r.id for r in e.table("copied_files").orderBy("id").collect()]
+    art = [(k, "p", "image/webp", 1, 1, 10, "a", "a") for k in ("k1", "k2")]
+    thumbs = [(f"t{k}", c, "f", "grid", "ready", k, None, None, 1, 5, None, "a", "a") for k, c in (("k1", copies[0]), ("k2", "elsewhere"))]
+    e.store.replace("thumbnail_artifacts", spark.createDataFrame(art, schemas.ARTIFACTS))
+    e.store.replace("thumbnails", spark.createDataFrame(thumbs, schemas.THUMBNAILS))
+    e.update_settings(thumbnail=e.settings()["thumbnail"] | {"cachePolicy": "session"})
+    assert e.evict_thumbnails("unknown").isEmpty() and [r.cache_key for r in e.evict_thumbnails(copies[0]).collect()] == ["k2"]
+    assert [r.artifact_cache_key for r in e.table("thumbnails").collect()] == ["k1"] and [r.cache_key for r in e.table("thumbnail_artifacts").collect()] == ["k1"]
+    e.store.replace("ingest_sessions", e.table("ingest_sessions").withColumn("status", F.lit("copying")))
+    e.cancel(s)
+    assert e.session(s)["status"] == "cancelled" and e.session(s)["errors"][0]["code"] == "INGEST_CANCELLED"
