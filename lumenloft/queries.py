@@ -139,15 +139,15 @@ def sources_without_strong_id(v):
 SNAPSHOT_SQL = """WITH lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id, ingest_session_id ORDER BY created_at DESC, id DESC) AS r FROM copies) WHERE r = 1),
     ff AS (SELECT f.ingest_session_id AS session, count(*) AS total_files, count(*) FILTER (WHERE f.status = 'completed') AS completed_files, count(*) FILTER (WHERE f.status = 'skipped') AS skipped_files, count(*) FILTER (WHERE f.status = 'failed') AS failed_files,
     count(*) FILTER (WHERE f.status <> 'skipped') AS new_files, cast(sum(f.size_bytes) AS bigint) AS total_bytes, cast(sum(coalesce(lc.copied_bytes, 0)) AS bigint) AS completed_bytes,
-    string_agg(coalesce(f.error_code, 'FILE_FAILED'), ',' ORDER BY f.relative_path, f.id) FILTER (WHERE f.status = 'failed') AS codes FROM files f LEFT JOIN lc ON lc.source_file_id = f.id AND lc.ingest_session_id = f.ingest_session_id GROUP BY 1)
+    string_agg(coalesce(f.error_code, 'FILE_FAILED') || ':' || coalesce(f.error_message, 'The file could not be copied.') || ':' || regexp_extract(f.relative_path, '[^/]*$'), ',' ORDER BY f.relative_path, f.id) FILTER (WHERE f.status = 'failed') AS codes FROM files f LEFT JOIN lc ON lc.source_file_id = f.id AND lc.ingest_session_id = f.ingest_session_id GROUP BY 1)
     SELECT s.id, s.status, upper(substr(s.status, 1, 1)) || substr(s.status, 2) AS phase, coalesce(total_files, 0) AS total_files, coalesce(completed_files, 0) AS completed_files, coalesce(skipped_files, 0) AS skipped_files, coalesce(failed_files, 0) AS failed_files, coalesce(new_files, 0) AS new_files,
-    coalesce(total_bytes, 0) AS total_bytes, coalesce(completed_bytes, 0) AS completed_bytes, concat_ws(',', s.error_code, ff.codes) AS error_codes, coalesce(s.completed_at, s.started_at) AS updated_at FROM sessions s LEFT JOIN ff ON ff.session = s.id"""
+    coalesce(total_bytes, 0) AS total_bytes, coalesce(completed_bytes, 0) AS completed_bytes, concat_ws(',', s.error_code || ':' || coalesce(s.error_message, 'The ingest could not be completed.') || ':', ff.codes) AS error_codes, coalesce(s.completed_at, s.started_at) AS updated_at FROM sessions s LEFT JOIN ff ON ff.session = s.id"""
 
 
 @query(SNAPSHOT_SQL)
 def session_snapshot(v):
     out = catalog.session_snapshot(v.sessions, v.files, v.copies)
-    return out.withColumn("error_codes", F.array_join(F.transform("errors", lambda e: e["code"]), ",")).drop("errors", "throughput")
+    return out.withColumn("error_codes", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["code"], e["message"], F.coalesce(e["filename"], F.lit("")))), ",")).drop("errors", "throughput")
 
 
 @query("SELECT id, status, started_at FROM sessions WHERE status NOT IN ('completed', 'cancelled', 'failed')")
@@ -241,7 +241,11 @@ def identity_edge_samples(v):
     return identity.edge_samples(v.contents)
 
 
-@query()
+@query("""WITH d AS (SELECT DISTINCT source_id, relative_path, canonical_path_key, size_bytes FROM contents),
+    e AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY lower(canonical_path_key), canonical_path_key, relative_path, size_bytes) AS a, row_number() OVER (PARTITION BY source_id ORDER BY lower(canonical_path_key) DESC, canonical_path_key DESC, relative_path DESC, size_bytes DESC) AS b FROM d),
+    s AS (SELECT source_id, string_agg('{"relativePath":"' || relative_path || '","canonicalPathKey":"' || canonical_path_key || '","sizeBytes":' || size_bytes || '}', ',' ORDER BY lower(canonical_path_key), canonical_path_key, relative_path, size_bytes) AS t FROM e WHERE a <= 8 OR b <= 8 GROUP BY 1),
+    f AS (SELECT source_id, cast(sum(size_bytes) AS double) AS c FROM contents GROUP BY 1)
+    SELECT source_id, 'source-fallback-v1:' || sha256('{"version":1,"label":"' || lower(source_id) || '","capacityBucketBytes":' || CASE WHEN c > 0 THEN cast(cast(pow(2, floor(log2(c) + 0.5)) AS bigint) AS string) ELSE 'null' END || ',"filesystem":"exfat","samples":[' || t || ']}') AS fingerprint FROM f JOIN s USING (source_id)""")
 def identity_fallback_fingerprint(v):
     facts = v.contents.groupBy("source_id").agg(F.min("source_id").alias("label"), F.sum("size_bytes").alias("capacity_bytes"), F.lit("exfat").alias("filesystem"))
     return identity.fallback_identity(facts, v.contents)
@@ -330,6 +334,11 @@ def review_counts(v):
     return classify.review(classify.classify(now, prior), now, v.table("nation"))
 
 
+@query("SELECT substr(modified_at, 1, 10) AS day, count(*) FILTER (WHERE extension IN ('.jpg', '.nef', '.webp')) AS photos, count(*) FILTER (WHERE extension IN ('.mov', '.insv')) AS videos, count(*) FILTER (WHERE extension = '.txt') AS other, cast(sum(size_bytes) AS bigint) AS bytes FROM files GROUP BY 1")
+def review_days(v):
+    return classify.review_days(v.files)
+
+
 @query("SELECT sha256(text) AS sha256, cast(strlen(text) AS bigint) AS size_bytes, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
 def checksum_duplicates(v):
     d = v.table("documents").select("doc_id", hashing.content_facts("text").alias("f"))
@@ -459,9 +468,9 @@ def delete_unreferenced(v):
     return maintenance.delete_unreferenced(c, c.filter("c_custkey % 2 = 0"), "c_custkey", v.table("orders"), "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
 def delete_rows(v):
-    return maintenance.delete(v.table("customer").select("c_custkey"), v.table("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return maintenance.delete(v.table("customer").select("c_custkey"), v.table("orders").filter("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT user_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -541,6 +550,31 @@ def invalid_transitions(v):
     return constraints.bad_moves(v.table("events").withColumnRenamed("event_type", "status"), ["user_id"], ["event_id"], moves).select("user_id", "event_id", "before", "status")
 
 
+MOVES_SQL = """WITH e AS (SELECT user_id, event_id, ([{states}])[event_id * 7 % {n} + 1] AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+    SELECT user_id, event_id, before, status FROM b WHERE before IS NOT NULL AND before || '>' || status NOT IN ({allowed})"""
+SESSION_PATH = "'discovering', 'analyzing', 'ready', 'copying', 'verifying'"
+
+
+def _states(v, names):
+    at = (F.col("event_id") * 7 % len(names) + 1).cast("int")
+    return v.table("events").select("user_id", "event_id", F.element_at(F.array(*[F.lit(n) for n in names]), at).alias("status"))
+
+
+@query(MOVES_SQL.format(states="'planned', 'started', 'failed', 'verified'", n=4, allowed="'planned>started', 'started>verified', 'started>failed', 'failed>started'"))
+def copy_moves(v):
+    return constraints.bad_moves(_states(v, schemas.COPY_STATUSES), ["user_id"], ["event_id"], schemas.COPY_MOVES).select("user_id", "event_id", "before", "status")
+
+
+@query(MOVES_SQL.format(states=SESSION_PATH + ", 'completed', 'cancelled', 'failed'", n=8, allowed="'discovering>analyzing', 'analyzing>ready', 'ready>copying', 'copying>verifying', 'verifying>completed', " + ", ".join(f"{s.strip()[:-1]}>{e}'" for s in SESSION_PATH.split(",") for e in ("cancelled", "failed"))))
+def session_moves(v):
+    return constraints.bad_moves(_states(v, schemas.SESSION_STATUSES), ["user_id"], ["event_id"], schemas.SESSION_MOVES).select("user_id", "event_id", "before", "status")
+
+
+@query("WITH e AS (SELECT user_id, event_id, (['planned', 'started', 'failed', 'verified'])[event_id * 7 % 4 + 1] AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e) SELECT user_id, max_by(status, event_id) AS status, count(*) FILTER (WHERE before IS NOT NULL AND before || '>' || status NOT IN ('planned>started', 'started>verified', 'started>failed', 'failed>started')) = 0 AS valid FROM b GROUP BY 1")
+def copy_state_fold(v):
+    return feeds.copy_states(_states(v, schemas.COPY_STATUSES), "user_id", "event_id")
+
+
 @query("WITH e AS (SELECT *, floor(value / 10) AS m, lag(floor(value / 10)) OVER w AS p, lead(event_id) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id FROM e WHERE p IS NULL OR m > p OR n IS NULL")
 def throttled_progress(v):
     return feeds.throttle_progress(v.table("events"), "user_id", "value", "event_id", 10).select("user_id", "event_id")
@@ -732,17 +766,78 @@ def listing_filters(v):
     return listing.filter_listing(v.files, excluded=["brand#1"]).select("id")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'never' ELSE strftime(o_orderdate, '%b %-d, %Y, 10:05 AM') END AS time, CASE WHEN o_orderkey % 3 = 0 THEN '2021-02-30' ELSE strftime(o_orderdate, '%b %-d') END AS day FROM orders")
+def display_times(v):
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'10:05:00'Z'")
+    return v.table("orders").select("o_orderkey", dates.display_time(F.when(F.col("o_orderkey") % 4 == 0, "never").otherwise(iso)).alias("time"), dates.display_day(F.when(F.col("o_orderkey") % 3 == 0, "2021-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("day"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '2020-05-06T07:08:09.000Z' ELSE '2021-01-02T03:04:05.000Z' END AS at, CASE WHEN p_size % 3 = 0 THEN 'session-start' ELSE 'filesystem-modifiedAt' END AS source, 'unknown' AS media_type, cast(0 AS int) AS minutes FROM part")
+def fallback_metadata(v):
+    m = dates.fallback_metadata(F.when(F.col("p_size") % 3 == 0, "bad").otherwise("2021-01-02T03:04:05Z"), F.lit("2020-05-06T07:08:09Z"))
+    return v.table("part").select("p_partkey", m.alias("m")).select("p_partkey", F.col("m.capture.capture_at").alias("at"), F.col("m.capture.capture_at_source").alias("source"), "m.media_type", F.col("m.capture.capture_offset_minutes").alias("minutes"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 9007199254740991 END AS capacity, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS fact, CASE WHEN p_size % 2 = 0 THEN 'a b' END AS text, cast(floor(p_retailprice - 1000 + 0.5) AS bigint) AS rounded, strftime(timestamp '2021-01-01' + to_seconds(p_partkey), '%Y-%m-%dT%H:%M:%S.000Z') AS at FROM part")
+def small_values(v):
+    k = F.col("p_size") % 4
+    digits = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, "12x").when(k == 2, "9007199254740992").otherwise("9007199254740991")
+    at = F.date_format(F.timestamp_seconds(F.col("p_partkey") + 1609459200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return v.table("part").select(
+        "p_partkey", core.safe_capacity(digits).alias("capacity"), core.boolean_fact(F.when(k == 0, "1").when(k == 1, "false").when(k == 2, "true").otherwise("yes")).alias("fact"), core.non_empty(F.when(F.col("p_size") % 2 == 0, " a b ").otherwise("  ")).alias("text"),
+        core.js_round(F.col("p_retailprice") - 1000).cast("long").alias("rounded"), core.iso(core.instant(at)).alias("at"),
+    )
+
+
+@query("SELECT n_nationkey, format('{:,}', n_nationkey * 1000 + 2) || ' items' AS items, '2021-02-03: ' || n_nationkey || CASE WHEN n_nationkey = 1 THEN ' item' ELSE ' items' END AS label FROM nation")
+def count_labels(v):
+    n = F.col("n_nationkey")
+    return v.table("nation").select("n_nationkey", media.count_label(n * 1000 + 2).alias("items"), media.day_label(F.lit("2021-02-03"), n).alias("label"))
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false ELSE true END AS due FROM part")
+def thumbnails_due(v):
+    k = F.col("p_size") % 5
+    state = F.when(k == 0, None).when(k == 3, "ready").otherwise("failed")
+    attempts = F.when(k == 2, 5).otherwise(2)
+    return v.table("part").select("p_partkey", F.coalesce(media.retry_due(state, attempts, F.lit(5), F.when(k == 4, 10), F.lit(10)), F.lit(False)).alias("due"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'confirmed-strong-or-fingerprint' WHEN 1 THEN 'confirmed-strong-or-fingerprint' WHEN 2 THEN 'user-confirmed-mismatch' ELSE 'rejected-mismatch' END AS decision, p_size % 3 <> 1 AS same FROM part")
+def reacquired_sources(v):
+    k, f = F.col("p_size") % 4, F.col("p_size") % 3
+    d = media.reacquired_decision(F.when(k == 0, "v").when(k > 1, "v"), F.when(k == 0, "v").when(k > 1, "w"), F.lit("p"), F.lit("p"), k == 2)
+    return v.table("part").select("p_partkey", d.alias("decision"), media.same_facts(F.lit(1), F.lit("t"), F.when(f == 0, "x").when(f == 1, "y"), F.lit(1), F.lit("t"), F.when(f != 2, "x")).alias("same"))
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'a/b' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'x' END AS exclusion, p_size % 5 IN (0, 4) AS inside FROM part")
+def path_rules(v):
+    k = F.col("p_size") % 5
+    value = F.when(k == 0, " a/b ").when(k == 1, "/abs").when(k == 2, "a/../b").when(k == 3, " ").otherwise("x")
+    path = F.when(k == 0, "/card/a/b").when(k == 1, "/cards/a").when(k == 2, "/card/../x").when(k == 3, "/other").otherwise("/card")
+    return v.table("part").select("p_partkey", paths.normalize_exclusion(value).alias("exclusion"), paths.under_root(path, F.lit("/card/")).alias("inside"))
+
+
+@query("SELECT count(*) = 7 AS ok FROM part")
+def plan_total(v):
+    return plan.plan_total_matches(7, v.table("part"))
+
+
 # constraints
 
 
 @query("""SELECT 'lifecycle' AS rule, count(*) AS violations FROM copies WHERE status = 'failed' AND error_message IS NULL UNION ALL SELECT 'destination', cast(coalesce(sum(1), 0) AS bigint) FROM (SELECT destination_path FROM copies GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'source of session', count(*) FROM sessions s WHERE s.source_id NOT IN (SELECT id FROM sources WHERE kind = 'folder') UNION ALL SELECT 'session kind', count(*) FROM sessions WHERE status NOT IN ('completed', 'failed') UNION ALL SELECT 'paths', count(*) FROM files WHERE false
-    UNION ALL SELECT 'thumbnail owner', count(*) FROM thumbnails t WHERE t.copied_file_id NOT IN (SELECT id FROM copies WHERE status = 'verified') UNION ALL SELECT 'terminal', count(*) FROM sessions WHERE false""")
+    UNION ALL SELECT 'source of session', count(*) FROM sessions s WHERE s.source_id NOT IN (SELECT id FROM sources WHERE kind = 'folder') UNION ALL SELECT 'session kind', count(*) FROM sessions WHERE status NOT IN ('completed', 'failed') UNION ALL SELECT 'paths', count(*) FROM files WHERE cast(id AS bigint) % 7 < 2
+    UNION ALL SELECT 'thumbnail owner', count(*) FROM thumbnails t WHERE t.copied_file_id NOT IN (SELECT id FROM copies WHERE status = 'verified') UNION ALL SELECT 'terminal', count(*) FROM sessions WHERE (status = 'failed' AND cast(id AS bigint) % 4 = 0) OR (status = 'copying' AND cast(id AS bigint) % 5 = 0) OR (status = 'completed' AND cast(id AS bigint) % 3 = 0)""")
 def constraint_report(v):
-    folders = v.sources.filter("kind = 'folder'")
+    folders, id = v.sources.filter("kind = 'folder'"), F.col("id").cast("long")
+    # rows that break the rules on paths and on sessions that are over
+    paths_ = v.files.withColumn("relative_path", F.when(id % 7 == 0, F.concat(F.lit("../"), "relative_path")).when(id % 7 == 1, F.concat(F.lit("/"), "relative_path")).otherwise(F.col("relative_path")))
+    over = v.sessions.withColumn("error_message", F.when((F.col("status") == "failed") & (id % 4 == 0), None).otherwise(F.col("error_message")))
+    over = over.withColumn("completed_at", F.when((F.col("status") == "copying") & (id % 5 == 0), F.col("started_at")).when((F.col("status") == "completed") & (id % 3 == 0), None).otherwise(F.col("completed_at")))
     return constraints.report({
         "lifecycle": constraints.lifecycle(v.copies), "destination": constraints.duplicates(v.copies, ["destination_path"]), "source of session": constraints.orphans(v.sessions, ["source_id"], folders, ["id"]), "session kind": constraints.not_in(v.sessions, "status", ["completed", "failed"]),
-        "paths": constraints.unsafe_paths(v.files), "thumbnail owner": constraints.thumbnails_without_copy(v.thumbnails, v.copies), "terminal": constraints.terminal_fields(v.sessions),
+        "paths": constraints.unsafe_paths(paths_), "thumbnail owner": constraints.thumbnails_without_copy(v.thumbnails, v.copies), "terminal": constraints.terminal_fields(over),
     })
 
 
