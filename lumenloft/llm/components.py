@@ -1,21 +1,28 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table: by alternating large and small stars, or, where the edges are few enough for
+one task, by that task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+FEW = 1_000_000  # edges that one task holds: 16 MB, and some hundred MB of Python integers
+
 
 def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
     """edges(a, b) of longs -> (node, component): the smallest node reachable, for every node with an edge.
 
-    Each round is a few joins and aggregations by node; a node with many edges is pre-aggregated, and its rows of the
+    Beyond FEW edges each round is a few joins and aggregations by node; a node with many edges is pre-aggregated, and its rows of the
     join can be split. The rounds go on until every edge leads from a leaf to the
     centre of its star, which takes about the logarithm of the longest path."""
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-edges")
+    if e.count() <= FEW:
+        return e.coalesce(1).mapInArrow(in_one_task, "node long, component long")
     for _ in range(most_rounds):
         if stars(e):
             break
@@ -32,6 +39,27 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def in_one_task(batches):
+    """Union by the smaller root, over distinct edges (u, v) with u > v."""
+    root: dict[int, int] = {}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
+            root.setdefault(u, u), root.setdefault(v, v)
+            a, c = top(u), top(v)
+            root[max(a, c)] = min(a, c)
+    node = np.array(list(root), np.int64)
+    component = np.array([top(x) for x in root], np.int64)
+    for i in range(0, len(node), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 10_000]), pa.array(component[i : i + 10_000])], ["node", "component"])
+
+
 def stars(e: DataFrame) -> bool:
     """Whether every node has one edge to a smaller one, which has none, or has none itself."""
     ends = e.select(F.col("u").alias("node"), F.lit(1).alias("leaf")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("leaf")))

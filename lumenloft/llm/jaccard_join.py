@@ -462,7 +462,6 @@ def block_pairs(batches, budget: int):
 
 def across(lists: DataFrame, members: DataFrame, joined: DataFrame, failed: DataFrame, budget: int) -> DataFrame:
     """key, band, a, b: pairs of sets in one list, in different components, that may link and didn't fail yet."""
-    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lists.join(joined, "node", "left").select("key", "band", "node", "n", "lead", F.coalesce("component", "node").alias("component"))
     mark = lambda seed: F.bit_xor(F.xxhash64("node", "lead", F.lit(seed)))
     by = rows.groupBy("key", "band").agg(
@@ -480,7 +479,7 @@ def across(lists: DataFrame, members: DataFrame, joined: DataFrame, failed: Data
     columns = ["key", "band", "node", "n", "lead", "component", "bits"]
     asks = rows.filter("asks").select(*columns, "failed", F.lit(True).alias("asks"), own(0, "parts").alias("i"), every("of").alias("j"))
     others = rows.select(*columns, F.lit(None).cast("array<long>").alias("failed"), F.lit(False).alias("asks"), own(1, "of").alias("j"), every("parts").alias("i"))
-    blocks = asks.unionByName(others).repartition(n, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    blocks = asks.unionByName(others).repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
     return blocks.mapInArrow(lambda it: block_pairs(it, budget), "key long, band int, a long, b long")
 
 
@@ -491,17 +490,19 @@ def heavy_links(docs: DataFrame, classes: DataFrame, total: int, b: int) -> Data
     pairs = materialize(may_link(head_pairs(lists), members), "jaccard-pairs")
     links = materialize(verify(pairs, members), "jaccard-links")
     failed = materialize(pairs.join(links, ["a", "b"], "left_anti"), "jaccard-failed", instead_of=[pairs])
+    joined = materialize(components(links, "jaccard-joined"), "jaccard-joined")
     budget, active = 1, lists
     while True:
-        joined = materialize(components(links, "jaccard-joined").select("node", "component"), "jaccard-joined")
         found = materialize(across(active, members, joined, failed, budget), "jaccard-found", instead_of=[active] if active is not lists else [])
         if found.isEmpty():
             break
         new = found.select("a", "b").distinct()
         more = materialize(verify(new, members), "jaccard-more")
         failed = materialize(failed.unionByName(new.join(more, ["a", "b"], "left_anti")), "jaccard-failed", instead_of=[failed])
-        links = materialize(links.unionByName(more), "jaccard-links", instead_of=[links, more])
-        active = materialize(lists.join(found.select("key", "band").distinct(), ["key", "band"]), "jaccard-active", instead_of=[found, joined])
+        active = materialize(lists.join(found.select("key", "band").distinct(), ["key", "band"]), "jaccard-active", instead_of=[found])
+        if not more.isEmpty():
+            links = materialize(links.unionByName(more), "jaccard-links", instead_of=[links, more])
+            joined = materialize(components(links, "jaccard-joined"), "jaccard-joined", instead_of=[joined])
         budget *= MORE
     for old in (lists, members, failed, joined, found):
         forget(old)

@@ -311,7 +311,7 @@ def test_keep_one_loses_no_text(spark):
         assert sorted(map(tuple, jaccard_join.keep_one(df.repartition(parts)).collect()), key=str) == want
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)]
     parent = {x: x for e in edges for x in e}
@@ -325,8 +325,10 @@ def test_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
-    got = dict(components.components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
-    assert got == {x: find(x) for x in parent if x not in alone}
+    for few in (components.FEW, 0):  # by one task, and by rounds
+        monkeypatch.setattr(components, "FEW", few)
+        got = dict(components.components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
+        assert got == {x: find(x) for x in parent if x not in alone}
 
 
 def test_shingle_sets_match():
