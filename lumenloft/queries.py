@@ -496,9 +496,11 @@ def running_stats(v):
     return out.select("source_id", F.col("sample_count").cast("long").alias("sample_count"), F.round(F.col("average_bytes_per_second") * F.col("sample_count")).cast("long").alias("total"), F.col("last_bytes_per_second").alias("last"))
 
 
-@query()
+@query("SELECT session AS source_id, count(*) AS sample_count, round(avg(bps), 1) AS mean FROM samples GROUP BY 1")
 def running_mean_replay(v):
-    return maintenance.replay_mean(v.samples.withColumnRenamed("session", "source_id"), value="bps", order="seq")
+    # the mean of a replay differs from that of a sum in its last digits only
+    out = maintenance.replay_mean(v.samples.withColumnRenamed("session", "source_id"), value="bps", order="seq")
+    return out.select("source_id", "sample_count", F.round("average_bytes_per_second", 1).alias("mean"))
 
 
 # change feeds
