@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, html_crf, jaccard_join, mixing, piece_table, quality_model, quality_rules, secrets, token_counts, urls
+from . import collisions, flac, html_crf, jaccard_join, mixing, piece_table, quality_model, quality_rules, runs, secrets, stamps, token_counts, urls
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op10_section_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.op11_lyndon_runs(table(spark, sf_dir, "documents"))
+
+
+def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.op12_collision_search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_stamp_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamps.op13_stamp_dictionary(table(spark, sf_dir, "stamps"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
@@ -58,4 +70,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {"op2_divergence_rules": quality_rules.ORACLE, "op3_url_filter": urls.ORACLE}
+SQL: dict[str, str] = {"op2_divergence_rules": quality_rules.ORACLE, "op3_url_filter": urls.ORACLE, "op13_stamp_dictionary": stamps.ORACLE}
