@@ -78,7 +78,7 @@ class Engine:
         if problems := paths.validate_template(new["destinationTemplate"]):
             raise ValueError(", ".join(problems))
         row = self.spark.createDataFrame([("appSettings", json.dumps(new), self.clock())], schemas.SETTINGS)
-        self.store.replace("settings", maintenance.upsert(self.table("settings"), row, ["key"]))
+        self.store.merge("settings", row)
         return new
 
     def reset_destination(self) -> dict:
@@ -93,11 +93,12 @@ class Engine:
     def set_nickname(self, source_id: str, nickname: str | None) -> None:
         if nickname is not None and not self.spark.range(1).select(media.is_nickname(F.lit(nickname))).first()[0]:
             raise ValueError("a nickname is in kebab case, 1 to 63 characters")
-        self.store.replace("sources", maintenance.update(self.table("sources"), F.col("id") == source_id, {"nickname": F.lit(nickname).cast("string"), "updated_at": F.lit(self.clock())}))
+        values = {"nickname": F.lit(nickname).cast("string"), "updated_at": F.lit(self.clock())}
+        self.store.update("sources", lambda t: maintenance.changed(t, F.col("id") == source_id, values))
 
     def scan(self, root: str) -> DataFrame:
         s = self.settings()
-        return listing.scan_media(self.spark, root, extensions=s["allowedExtensions"], excluded=[*listing.EXCLUDED, *s["excludedPathPatterns"]]).persist()
+        return listing.scan_media(self.spark, root, extensions=s["allowedExtensions"], excluded=[*listing.EXCLUDED, *s["excludedPathPatterns"]], ordered=False).persist()
 
     def count_media(self, root: str) -> DataFrame:
         return catalog.card_media(listing.files_of(self.scan(root)))
@@ -152,7 +153,7 @@ class Engine:
         self._record_source(sid, root, who, strong_id, session, started)
         self.store.append("ingest_sessions", self.spark.createDataFrame([(session, sid, "copying", started, None, None, None, started, started)], schemas.SESSIONS))
         recovery = self.spark.createDataFrame([(session, destination, strong_id, who["fingerprint"], "1", started)], schemas.RECOVERY)
-        self.store.replace("session_recovery_context", maintenance.upsert(self.table("session_recovery_context"), recovery, ["session_id"]))
+        self.store.merge("session_recovery_context", recovery)
         nick = self.table("sources").filter(F.col("id") == sid).first()["nickname"] if s["groupByNicknameInDestination"] else None
         todo = rows.filter("decision <> 'known'").select("file", "relative_path", F.col("capture.capture_day").alias("capture_day"), F.lit(label or os.path.basename(root.rstrip("/")) or "card").alias("label"), F.lit(nick).cast("string").alias("nickname"), F.col("name").alias("original_filename"), F.col("quick_fingerprint").alias("checksum"))
         taken = self.table("copied_files").select("destination_path", F.lit(None).cast("string").alias("verified_checksum"))
@@ -168,10 +169,10 @@ class Engine:
     def _record_source(self, sid: str, root: str, who: dict, strong_id: str | None, session: str, at: str) -> None:
         name = os.path.basename(root.rstrip("/")) or root
         row = self.spark.createDataFrame([(sid, "removable-volume" if strong_id else "folder", name, None, at, at, at, at)], schemas.SOURCES)
-        self.store.replace("sources", maintenance.upsert(self.table("sources"), row, ["id"], keep=["kind", "display_name", "nickname", "first_seen_at", "created_at"]))
+        self.store.update("sources", lambda t: maintenance.upserted(t, row, ["id"], keep=["kind", "display_name", "nickname", "first_seen_at", "created_at"]))
         o = self.spark.createDataFrame([(uuid.uuid4().hex, sid, 1, who["fingerprint"], "{}", who["confidence"], strong_id, at)], schemas.OBSERVATIONS)
         self.store.append("source_identity_observations", o)
-        self.store.replace("source_identity_aliases", identity.aliases(self.table("source_identity_observations")))
+        self.store.merge("source_identity_aliases", identity.aliases(self.table("source_identity_observations").filter(F.col("source_id") == sid)))
         kind = "auto-strong" if who["confidence"] == "exact" else "created-new"
         self.store.append("source_reconciliation_audit", self.spark.createDataFrame([(uuid.uuid4().hex, sid, session, strong_id or who["fingerprint"], kind, json.dumps(who["reasons"]), at)], schemas.AUDIT))
 
@@ -200,13 +201,13 @@ class Engine:
         done = self.clock()
         wrong = not self.table("source_files").filter((F.col("ingest_session_id") == session) & (F.col("status") == "failed")).isEmpty()
         values = {"status": "failed" if wrong else "completed", "completed_at": done, "updated_at": done, "error_code": "FILES_FAILED" if wrong else None, "error_message": "Some files could not be copied." if wrong else None}
-        self.store.replace("ingest_sessions", maintenance.update(self.table("ingest_sessions"), F.col("id") == session, {k: F.lit(v).cast("string") for k, v in values.items()}))
+        values = {k: F.lit(v).cast("string") for k, v in values.items()}
+        self.store.update("ingest_sessions", lambda t: maintenance.changed(t, F.col("id") == session, values))
         seconds = max(0.001, (datetime.datetime.fromisoformat(done) - datetime.datetime.fromisoformat(started)).total_seconds())
         moved = self.table("copied_files").filter((F.col("ingest_session_id") == session) & (F.col("status") == "verified")).agg(F.sum("copied_bytes")).first()[0]
         if moved:
-            stats = self.table("source_throughput_stats")
             one = self.spark.createDataFrame([(sid, float(moved / seconds), done)], "source_id string, bytes_per_second double, at string")
-            self.store.replace("source_throughput_stats", maintenance.add_samples(stats, one).withColumn("updated_at", F.lit(done)))
+            self.store.update("source_throughput_stats", lambda t: maintenance.add_samples(t.filter(F.col("source_id") == sid), one).withColumn("updated_at", F.lit(done)))
         self.write_manifest(session, destination)
 
     def write_manifest(self, session: str, destination: str) -> str | None:
@@ -221,74 +222,140 @@ class Engine:
     # recovery
 
     def recovery_plan(self, session: str) -> DataFrame:
-        """Actions for the copies of an interrupted session, from its records and what is on disk."""
+        """Actions for the copies of an interrupted session, from its records and what is on disk at their own paths.
+
+        Only those paths are looked at, in tasks, so neither the size of the archive nor a file's extension matters. Files are
+        hashed where the record alone can't tell. A path that leaves the archive or isn't a regular file has the action
+        `refused`."""
         context = self.table("session_recovery_context").filter(F.col("session_id") == session).first()
         mine = F.col("ingest_session_id") == session
         inputs = recover.recovery_inputs(self.table("copied_files").filter(mine), self.table("source_files").filter(mine))
-        root = context["destination_root"]
-        there = listing.files_of(listing.scan_media(self.spark, root, hidden="true"))
-        wanted = there.join(inputs.select(F.col("final_path").alias("relative_path")), "relative_path", "left_semi")
-        disk = listing.hash_files(self.spark, root, wanted).select(F.col("relative_path").alias("path"), "size_bytes", F.col("sha256").alias("checksum"))
+        sound = F.coalesce((F.col("status") == "verified") & (F.col("stored_checksum") == F.col("expected_checksum")), F.lit(False))
+        wanted = inputs.groupBy(F.col("final_path").alias("relative_path")).agg(F.max(F.when(~sound, F.col("expected_bytes"))).alias("hash_if_size"))
+        found = listing.lookup_files(self.spark, context["destination_root"], wanted)
+        disk = found.filter("state <> 'missing'").select(F.col("relative_path").alias("path"), "size_bytes", F.col("sha256").alias("checksum"), (F.col("state") == "refused").alias("refused"))
         return recover.recovery_actions(inputs, disk)
 
-    def recover(self, session: str, source_root: str | None = None) -> dict:
+    def recover(self, session: str, source_root: str | None = None, cancelled: Callable[[], bool] = lambda: False) -> dict:
         """Finish an interrupted session: what is on disk and right is kept or taken as verified, what is wrong is moved aside,
-        and what is missing is copied again from `source_root`. Without it such a session stays as it is (`paused`).
-        Every decision goes to the audit log beside the catalog. One recovery of a session runs at a time."""
-        with self.lock(session):
-            context = self.table("session_recovery_context").filter(F.col("session_id") == session).first()
-            if context is None:
-                raise KeyError(session)
-            root, work, at = context["destination_root"], f"{self.store.root}/_work/{session}-{uuid.uuid4().hex}", self.clock()
+        and what is missing is copied again from `source_root`.
+
+        The disk is put right first. If copies are missing and the source isn't there, the session stays as it is (`paused`)
+        and can be recovered again. One recovery of a session runs at a time, and who asks for it meanwhile gets its result. A
+        run that fails or that `cancelled` stops marks the session. Each decision and each end goes to the logs beside the
+        catalog."""
+        return self.lock.run(session, "resume", lambda: self._recover(session, source_root, cancelled))
+
+    def _recover(self, session: str, source_root: str | None, cancelled: Callable[[], bool]) -> dict:
+        context = self.table("session_recovery_context").filter(F.col("session_id") == session).first()
+        if context is None:
+            raise KeyError(session)
+        root, work, at = context["destination_root"], f"{self.store.root}/_work/{session}-{uuid.uuid4().hex}", self.clock()
+
+        def told(outcome: str, detail: str | None = None) -> None:
+            row = self.spark.createDataFrame([(session, at, "resume", outcome, detail)], "session string, at string, action string, outcome string, detail string")
+            writers.recovery_audit(row, f"{self.store.root}/_recovery_events")
+
+        def go_on() -> None:
+            if cancelled():
+                raise InterruptedError(session)
+
+        try:
+            go_on()
             self.recovery_plan(session).write.parquet(f"{work}/actions")
             actions = self.spark.read.parquet(f"{work}/actions")
-            outcome = recover.session_outcome(actions, source_root is not None).first()["outcome"]
+            if bad := actions.filter("action = 'refused'").first():
+                raise PermissionError(f"copy {bad['copy']} isn't a regular file inside the archive")
             writers.recovery_audit(actions.select(F.lit(session).alias("session"), F.lit(at).alias("decidedAt"), "copy", "action"), f"{self.store.root}/_recovery_audit")
             counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
-            if outcome == "paused":
-                return {"outcome": outcome, "actions": counts, "copied": 0, "failed": 0}
             recover.quarantine_files(actions, root, session).write.parquet(f"{work}/moved")
+            self._record_recovery(session, actions, None, self.clock())
+            there = source_root is not None and os.path.isdir(source_root)
+            if recover.session_outcome(actions, there).first()["outcome"] == "paused":
+                self.write_manifest(session, root)
+                told("paused", "source-unavailable")
+                return {"outcome": "paused", "actions": counts, "copied": 0, "failed": 0}
+            go_on()
             copies, files = self.table("copied_files"), self.table("source_files")
             todo = actions.filter("recopy").join(copies.select(F.col("id").alias("copy"), "source_file_id", "destination_path"), "copy").join(files.select(F.col("id").alias("source_file_id"), "relative_path"), "source_file_id")
-            todo = todo.select(F.col("copy").alias("file"), "relative_path", "destination_path")
+            todo = todo.select(F.col("copy").alias("file"), "source_file_id", "relative_path", "destination_path")
+            writers.remove_owned_temps(todo, root, session).write.parquet(f"{work}/temps")
             writers.copy_files(todo, source_root or root, root, session).write.parquet(f"{work}/outcomes")
             again = self.spark.read.parquet(f"{work}/outcomes")
             self._record_recovery(session, actions, again, self.clock())
+            go_on()
             self._finish(session, files.filter(F.col("ingest_session_id") == session).first()["source_id"], root, at)
-            done = again.groupBy(F.col("outcome") == "completed").count().collect()
-            n = {bool(r[0]): r["count"] for r in done}
+            n = {bool(r[0]): r["count"] for r in again.groupBy(F.col("outcome") == "completed").count().collect()}
+            told("completed")
             return {"outcome": "recovered" if not n.get(False) else "failed", "actions": counts, "copied": n.get(True, 0), "failed": n.get(False, 0)}
+        except Exception as e:
+            ended = "cancelled" if isinstance(e, InterruptedError) else "failed"
+            self._end(session, ended, "INGEST_CANCELLED" if ended == "cancelled" else "RECOVERY_FAILED")
+            self.write_manifest(session, root)
+            told(ended, None if ended == "cancelled" else str(e)[:500])
+            raise
+
+    def _end(self, session: str, status: str, code: str) -> None:
+        at = self.clock()
+        values = {"status": status, "completed_at": at, "updated_at": at, "error_code": code, "error_message": media.MESSAGES.get(code, "The recovery could not be finished.")}
+        values = {k: F.lit(v).cast("string") for k, v in values.items()}
+        self.store.update("ingest_sessions", lambda t: maintenance.changed(t, F.col("id") == session, values))
 
-    def _record_recovery(self, session: str, actions: DataFrame, again: DataFrame, at: str) -> None:
-        """Copies as the recovery left them, and their files' status after them."""
-        copies, files = self.table("copied_files"), self.table("source_files")
-        inputs = recover.recovery_inputs(copies, files).select(F.col("copy").alias("id"), "expected_checksum")
-        found = actions.filter(F.col("action").isin("mark-verified", "promote")).select(F.col("copy").alias("id"), F.lit("completed").alias("outcome"), F.lit(None).cast("string").alias("sum"), F.lit(None).cast("string").alias("code"))
-        made = again.select(F.col("file").alias("id"), "outcome", F.col("checksum").alias("sum"), F.col("error_code").alias("code"))
-        r = copies.join(found.unionByName(made), "id", "left").join(inputs, "id", "left")
-        touched, ok = F.col("outcome").isNotNull(), F.col("outcome") == "completed"
-        text = lambda v: F.lit(v).cast("string")
-        values = {
-            "status": F.when(ok, "verified").otherwise("failed"), "copied_bytes": F.when(ok, F.col("expected_bytes")).otherwise(F.col("copied_bytes")), "checksum": F.when(ok, F.coalesce("sum", "expected_checksum")), "started_at": F.coalesce("started_at", text(at)), "recovery_started_at": text(at),
-            "verified_at": F.when(ok, text(at)), "failed_at": F.when(~ok, text(at)), "error_code": F.when(~ok, F.coalesce("code", F.lit("COPY_FAILED"))), "error_message": F.when(~ok, media.safe_error("code")["message"]), "updated_at": text(at),
-        }
-        new = r.select(*[F.when(touched, values[c]).otherwise(copies[c]).alias(c) if c in values else copies[c] for c in copies.columns])
-        self.store.replace("copied_files", new)
-        state = self.table("copied_files").filter(F.col("ingest_session_id") == session).groupBy(F.col("source_file_id").alias("_file")).agg(F.max(F.col("status") == "verified").alias("_ok"))
-        f = files.join(state, files["id"] == F.col("_file"), "left")
-        good, bad = F.col("_ok") & (F.col("status") != "skipped"), ~F.col("_ok")
-        values = {
-            "status": F.when(good, "completed").when(bad, "failed").otherwise(F.col("status")), "error_code": F.when(good, None).when(bad, F.coalesce("error_code", F.lit("COPY_FAILED"))).otherwise(F.col("error_code")),
-            "error_message": F.when(good, None).when(bad, F.coalesce("error_message", F.lit(media.MESSAGES["COPY_FAILED"]))).otherwise(F.col("error_message")), "updated_at": F.when(good | bad, text(at)).otherwise(F.col("updated_at")),
-        }
-        self.store.replace("source_files", f.select(*[values[c].alias(c) if c in values else files[c] for c in files.columns]))
+    def cleanup(self, session: str) -> int:
+        """Remove the temporary files that an interrupted session left behind, by their exact names; how many there were."""
+
+        def work() -> int:
+            context = self.table("session_recovery_context").filter(F.col("session_id") == session).first()
+            if context is None:
+                return 0
+            rows = self.table("copied_files").filter(F.col("ingest_session_id") == session).select(F.col("id").alias("file"), "source_file_id", "destination_path")
+            removed = writers.remove_owned_temps(rows, context["destination_root"], session).agg(F.sum("removed")).first()[0] or 0
+            writers.recovery_audit(self.spark.createDataFrame([(session, self.clock(), "cleanup", "completed")], "session string, at string, action string, outcome string"), f"{self.store.root}/_recovery_events")
+            return removed
+
+        return self.lock.run(session, "cleanup", work)
+
+    def _record_recovery(self, session: str, actions: DataFrame, again: DataFrame | None, at: str) -> None:
+        """Merge the session's copies as the recovery left them, and then its files' status. again: the outcomes of copies that
+        were made anew, once there are any."""
+        mine, text = F.col("ingest_session_id") == session, lambda v: F.lit(v).cast("string")
+        found = actions.filter(F.col("action").isin("mark-verified", "promote")).select(F.col("copy").alias("_id"), F.lit("completed").alias("outcome"), text(None).alias("sum"), text(None).alias("code"))
+        if again is not None:
+            found = again.select(F.col("file").alias("_id"), "outcome", F.col("checksum").alias("sum"), F.col("error_code").alias("code"))
+        files = self.table("source_files").filter(mine)
+
+        def copies_after(copies: DataFrame) -> DataFrame:
+            copies = copies.filter(mine)
+            inputs = recover.recovery_inputs(copies, files).select(F.col("copy").alias("_copy"), "expected_checksum")
+            r = copies.join(found, copies["id"] == F.col("_id")).join(inputs, copies["id"] == F.col("_copy"), "left")
+            ok = F.col("outcome") == "completed"
+            values = {
+                "status": F.when(ok, "verified").otherwise("failed"), "copied_bytes": F.when(ok, F.col("expected_bytes")).otherwise(F.col("copied_bytes")), "checksum": F.when(ok, F.coalesce("sum", "expected_checksum")), "started_at": F.coalesce("started_at", text(at)), "recovery_started_at": text(at),
+                "verified_at": F.when(ok, text(at)), "failed_at": F.when(~ok, text(at)), "error_code": F.when(~ok, F.coalesce("code", F.lit("COPY_FAILED"))), "error_message": F.when(~ok, media.safe_error("code")["message"]), "updated_at": text(at),
+            }
+            return r.select(*[values[c].alias(c) if c in values else copies[c] for c in copies.columns])
+
+        self.store.update("copied_files", copies_after)
+        touched = self.table("copied_files").filter(mine).join(found.select(F.col("_id").alias("id")), "id", "left_semi").select("source_file_id").distinct()
+        states = self.table("copied_files").filter(mine).join(touched, "source_file_id", "left_semi").groupBy(F.col("source_file_id").alias("_file")).agg(F.max(F.col("status") == "verified").alias("_ok"))
+
+        def files_after(table: DataFrame) -> DataFrame:
+            f = table.filter(mine).filter("status <> 'skipped'").join(states, F.col("id") == F.col("_file"))
+            ok = F.col("_ok")
+            values = {
+                "status": F.when(ok, "completed").otherwise("failed"), "error_code": F.when(~ok, F.coalesce("error_code", F.lit("COPY_FAILED"))), "error_message": F.when(~ok, F.coalesce("error_message", F.lit(media.MESSAGES["COPY_FAILED"]))), "updated_at": text(at),
+            }
+            return f.select(*[values[c].alias(c) if c in values else F.col(c) for c in table.columns])
+
+        self.store.update("source_files", files_after)
 
     def cancel(self, session: str) -> None:
         """A session that isn't over ends as cancelled; its verified copies stay."""
         at = self.clock()
         live = (F.col("id") == session) & ~F.col("status").isin(*schemas.TERMINAL)
         values = {"status": "cancelled", "completed_at": at, "updated_at": at, "error_code": "INGEST_CANCELLED", "error_message": media.MESSAGES["INGEST_CANCELLED"]}
-        self.store.replace("ingest_sessions", maintenance.update(self.table("ingest_sessions"), live, {k: F.lit(v).cast("string") for k, v in values.items()}))
+        values = {k: F.lit(v).cast("string") for k, v in values.items()}
+        self.store.update("ingest_sessions", lambda t: maintenance.changed(t, live, values))
 
     # thumbnails
 
@@ -305,6 +372,6 @@ class Engine:
             gone = maintenance.evict(artifacts, t["cacheLimitBytes"])
         gone = gone.persist()
         gone.count()
-        self.store.replace("thumbnails", maintenance.delete(thumbnails, gone.select(F.col("cache_key").alias("artifact_cache_key")), ["artifact_cache_key"]))
-        self.store.replace("thumbnail_artifacts", maintenance.delete(artifacts, gone, ["cache_key"]))
+        self.store.update("thumbnails", lambda t: maintenance.removed(t, gone.select(F.col("cache_key").alias("artifact_cache_key")), ["artifact_cache_key"]))
+        self.store.update("thumbnail_artifacts", lambda t: maintenance.removed(t, gone, ["cache_key"]))
         return gone

@@ -51,6 +51,26 @@ def update(table: DataFrame, condition: Column, values: dict[str, Column]) -> Da
     return table.select(*[F.when(condition, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
 
 
+def changed(table: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """The rows that an update changes, as they are after it: what a keyed table has to merge."""
+    return update(table.filter(condition), F.lit(True), values)
+
+
+def upserted(table: DataFrame, rows: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The rows that an upsert writes, and no others."""
+    same = None
+    named = rows.select(*[F.col(k).alias(f"_u_{k}") for k in keys])
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_u_{k}"))
+        same = c if same is None else same & c
+    return upsert(table.join(named, same, "left_semi"), rows, keys, keep)
+
+
+def removed(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows that a deletion takes away, marked for a keyed table."""
+    return table.join(keys.select(*on).distinct(), list(on), "left_semi").select(*table.columns, F.lit(True).alias("_deleted"))
+
+
 def delete_unreferenced(table: DataFrame, candidates: DataFrame, key: str, children: DataFrame, child_key: str) -> DataFrame:
     """The table without candidates that no child refers to."""
     gone = candidates.select(key).join(children.select(F.col(child_key).alias(key)), key, "left_anti")

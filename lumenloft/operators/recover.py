@@ -15,9 +15,10 @@ def recovery_actions(copies: DataFrame, disk: DataFrame) -> DataFrame:
     """copies(copy, status, final_path, provisional_path, expected_bytes, expected_checksum, stored_checksum) and
     disk(path, size_bytes, checksum) -> copy, action, quarantine_path, recopy.
 
-    keep, mark-verified, promote, recopy; a file that doesn't match is quarantined before its copy is made anew."""
-    d = disk.select("path", F.col("size_bytes").alias("size"), F.col("checksum").alias("sum"))
-    f = d.select(F.col("path").alias("final_path"), F.col("size").alias("f_size"), F.col("sum").alias("f_sum"), F.lit(True).alias("f"))
+    keep, mark-verified, promote, recopy; a file that doesn't match is quarantined before its copy is made anew. Where disk
+    has a column `refused`, copies whose path it marks have the action refused and nothing is done to them."""
+    d = disk.select("path", F.col("size_bytes").alias("size"), F.col("checksum").alias("sum"), F.col("refused") if "refused" in disk.columns else F.lit(False).alias("refused"))
+    f = d.select(F.col("path").alias("final_path"), F.col("size").alias("f_size"), F.col("sum").alias("f_sum"), "refused", F.lit(True).alias("f"))
     p = d.select(F.col("path").alias("provisional_path"), F.col("size").alias("p_size"), F.col("sum").alias("p_sum"), F.lit(True).alias("p"))
     r = copies.join(f, "final_path", "left").join(p, "provisional_path", "left")
     no = F.lit(False)
@@ -27,7 +28,7 @@ def recovery_actions(copies: DataFrame, disk: DataFrame) -> DataFrame:
     stored = F.coalesce(col("stored_checksum") == col("expected_checksum"), no)
     p_good = F.coalesce((col("p_size") == col("expected_bytes")) & (col("p_sum") == col("expected_checksum")), no)
     action = (
-        F.when(verified & final & f_size & stored, "keep").when(verified & final & f_size & f_hash, "mark-verified").when(verified & final, "quarantine-final").when(provisional & p_good, "promote").when(provisional, "quarantine-provisional").otherwise("recopy")
+        F.when(F.coalesce("refused", no), "refused").when(verified & final & f_size & stored, "keep").when(verified & final & f_size & f_hash, "mark-verified").when(verified & final, "quarantine-final").when(provisional & p_good, "promote").when(provisional, "quarantine-provisional").otherwise("recopy")
     )
     r = r.select("copy", action.alias("action"), "final_path", "provisional_path")
     where = F.when(col("action") == "quarantine-final", col("final_path")).when(col("action") == "quarantine-provisional", col("provisional_path"))

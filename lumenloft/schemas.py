@@ -46,6 +46,10 @@ TABLES = {
     "sources": SOURCES, "source_identity_observations": OBSERVATIONS, "ingest_sessions": SESSIONS, "source_files": FILES, "copied_files": COPIES, "thumbnail_artifacts": ARTIFACTS, "thumbnails": THUMBNAILS,
     "source_identity_aliases": ALIASES, "source_reconciliation_audit": AUDIT, "session_recovery_context": RECOVERY, "source_throughput_stats": THROUGHPUT, "settings": SETTINGS, "schema_migrations": MIGRATIONS,
 }
+#: What tells a table's rows apart.
+KEYS = {t: ["id"] for t in TABLES} | {
+    "thumbnail_artifacts": ["cache_key"], "source_identity_aliases": ["source_id", "algorithm_version", "fingerprint"], "session_recovery_context": ["session_id"], "source_throughput_stats": ["source_id"], "settings": ["key"], "schema_migrations": ["version"],
+}
 
 SCAN_FILE = _parse("relative_path string, canonical_path_key string, name string, extension string, size_bytes long, modified_at string, file_id string")
 SCAN_ERROR = _parse("code string, relative_path string, message string")

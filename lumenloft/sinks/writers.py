@@ -183,6 +183,34 @@ def remove_owned_temp(root: str, relative: str, name_prefix: str) -> bool:
     return True
 
 
+def remove_owned_temps(copies: DataFrame, root: str, session: str) -> DataFrame:
+    """copies(file, destination_path) -> file, removed: the temporary files that copy_files leaves when it is torn down, by
+    their exact names and below the root only. copies may carry source_file_id, whose name an ingest used."""
+    from lumenloft.sources.listing import owned_file
+
+    top = os.path.realpath(root)
+    owners = ["file", "source_file_id"] if "source_file_id" in copies.columns else ["file"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for dst, *ids in zip(*[b[c].to_pylist() for c in ("destination_path", *owners)], strict=True):
+                folder, _, name = dst.rpartition("/")
+                n = 0
+                for owner in set(ids):
+                    temp = f"{folder}/" * bool(folder) + f".{name}.{session}.{owner}.tmp"
+                    if owned_file(top, temp)[0] == "file":
+                        with contextlib.suppress(FileNotFoundError):
+                            os.unlink(os.path.join(top, *temp.split("/")))
+                            n += 1
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([b["file"], pa.array(out, pa.int64())], ["file", "removed"])
+
+    return copies.select(F.col("file").cast("string"), "destination_path", *owners[1:]).mapInArrow(run, "file string, removed long")
+
+
 def make_thumbnails(requests: DataFrame, root: str, generate: Callable[[bytes], bytes]) -> DataFrame:
     """requests(cache_key, relative_path) -> cache_key, content, error: one generation for each key; the generator (an image
     library) is the caller's."""

@@ -182,15 +182,34 @@ def write_all(stream: DataFrame, sinks: list[Callable[[DataFrame], None]], check
 
 
 class SessionLock:
-    """One resume or clean-up at a time for each session, on the driver."""
+    """One resume or clean-up at a time for each session, on the driver. Who asks for an action that runs already gets its
+    result; other actions of the session wait for their turn."""
 
     def __init__(self):
         import threading
 
-        self._guard, self._locks = threading.Lock(), {}
+        self._guard, self._locks, self._running = threading.Lock(), {}, {}
 
     def __call__(self, session: str):
         import threading
 
         with self._guard:
             return self._locks.setdefault(session, threading.Lock())
+
+    def run(self, session: str, action: str, operation: Callable[[], object]):
+        from concurrent.futures import Future
+
+        with self._guard:
+            mine = (session, action) not in self._running
+            future = self._running.setdefault((session, action), Future())
+        if not mine:
+            return future.result()
+        try:
+            with self(session):
+                future.set_result(operation())
+        except BaseException as e:
+            future.set_exception(e)
+        finally:
+            with self._guard:
+                del self._running[session, action]
+        return future.result()

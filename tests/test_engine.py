@@ -73,13 +73,20 @@ def test_recover_and_evict(spark, tmp_path):
     e.store.replace("ingest_sessions", e.table("ingest_sessions").withColumn("status", F.lit("copying")).withColumn("completed_at", F.lit(None).cast("string")))
     where["c"].write_bytes(b"broken")
     where["d"].unlink()
-    assert e.recover(s)["outcome"] == "paused" and e.session(s)["status"] == "copying"
+    temp = where["d"].parent / f".{where['d'].name}.{s}.{rows['d'].source_file_id}.tmp"
+    temp.write_bytes(b"half")
+    # without the card the disk is put right all the same: b is verified, c moved aside, and what is missing waits
+    paused = e.recover(s)
+    assert paused == {"outcome": "paused", "actions": {"keep": 1, "promote": 1, "quarantine-final": 1, "recopy": 1}, "copied": 0, "failed": 0} and e.session(s)["status"] == "copying"
+    assert e.store.get("copied_files", rows["b"].id).first().status == "verified" and not where["c"].exists() and any(p.name.endswith(f".quarantine-{s}") for p in archive.rglob("*")) and temp.exists()
+    assert e.recover(s, str(tmp_path / "no-card"))["outcome"] == "paused"
     done = e.recover(s, str(card))
-    assert done == {"outcome": "recovered", "actions": {"keep": 1, "promote": 1, "quarantine-final": 1, "recopy": 1}, "copied": 2, "failed": 0}
-    assert all(where[n].read_bytes() == bytes([i]) * 20 for i, n in enumerate("abcd")) and any(p.name.endswith(f".quarantine-{s}") for p in archive.rglob("*"))
+    assert done == {"outcome": "recovered", "actions": {"keep": 2, "recopy": 2}, "copied": 2, "failed": 0} and not temp.exists()
+    assert all(where[n].read_bytes() == bytes([i]) * 20 for i, n in enumerate("abcd"))
     assert {r.status for r in e.table("copied_files").collect()} == {"verified"} and e.session(s)["status"] == "completed" and e.session(s)["failed_files"] == 0
+    assert sorted(r.outcome for r in spark.read.json(str(tmp_path / "catalog" / "_recovery_events")).collect()) == ["completed", "paused", "paused"]
     assert {a["action"] for a in e.recovery_plan(s).collect()} == {"keep"}
-    assert spark.read.json(str(tmp_path / "catalog" / "_recovery_audit")).count() == 8
+    assert spark.read.json(str(tmp_path / "catalog" / "_recovery_audit")).count() == 12
     # what is cached for other sessions goes, with the thumbnails that show it
     copies = [r.id for r in e.table("copied_files").orderBy("id").collect()]
     art = [(k, "p", "image/webp", 1, 1, 10, "a", "a") for k in ("k1", "k2")]
@@ -92,3 +99,86 @@ def test_recover_and_evict(spark, tmp_path):
     e.store.replace("ingest_sessions", e.table("ingest_sessions").withColumn("status", F.lit("copying")))
     e.cancel(s)
     assert e.session(s)["status"] == "cancelled" and e.session(s)["errors"][0]["code"] == "INGEST_CANCELLED"
+
+
+def interrupted(spark, tmp_path, names, **settings):
+    """A finished session, as if its end had been lost."""
+    card, archive = tmp_path / "CARD", tmp_path / "archive"
+    (card / "DCIM").mkdir(parents=True)
+    for i, n in enumerate(names):
+        (card / "DCIM" / n).write_bytes(bytes([i]) * 20)
+    e = Engine(spark, str(tmp_path / "catalog"))
+    if settings:
+        e.update_settings(**settings)
+    s = e.ingest(str(card), str(archive))
+    e.store.update("ingest_sessions", lambda t: t.withColumn("status", F.lit("copying")).withColumn("completed_at", F.lit(None).cast("string")))
+    return e, s, card, archive
+
+
+def test_recovery_looks_at_its_own_paths(spark, tmp_path, monkeypatch):
+    """Neither other files of the archive nor odd extensions, hidden or excluded folders make sound copies be made anew."""
+    from lumenloft.sources import listing
+
+    e, s, _, archive = interrupted(spark, tmp_path, ["a.xyz", "b.jpg"], allowedExtensions=[".xyz", ".jpg"])
+    for i in range(300):
+        (archive / f"other{i}.jpg").touch()
+    monkeypatch.setattr(listing, "MAX_ENTRIES", 10)
+    monkeypatch.setattr(listing, "walk", None)
+    monkeypatch.setattr(listing, "list_media", None)
+    assert {a["action"] for a in e.recovery_plan(s).collect()} == {"keep"}
+    assert e.recover(s) == {"outcome": "recovered", "actions": {"keep": 2}, "copied": 0, "failed": 0} and e.session(s)["status"] == "completed"
+
+
+def test_recovery_that_fails_or_is_cancelled(spark, tmp_path):
+    e, s, card, archive = interrupted(spark, tmp_path, ["a.jpg", "b.jpg"])
+    with pytest.raises(InterruptedError):
+        e.recover(s, str(card), cancelled=lambda: True)
+    assert e.session(s)["status"] == "cancelled"
+    # a link in the place of a copy, or of a folder above it, is neither hashed nor moved
+    path = archive / e.table("copied_files").orderBy("id").first().destination_path
+    outside = tmp_path / "outside.jpg"
+    outside.write_bytes(b"mine")
+    path.unlink()
+    path.symlink_to(outside)
+    with pytest.raises(PermissionError):
+        e.recover(s, str(card))
+    assert e.session(s)["status"] == "failed" and outside.read_bytes() == b"mine" and path.is_symlink()
+    events = spark.read.json(str(tmp_path / "catalog" / "_recovery_events")).collect()
+    assert sorted(r.outcome for r in events) == ["cancelled", "failed"]
+    temp = path.parent / f".{path.name}.{s}.{e.table('copied_files').orderBy('id').first().id}.tmp"
+    temp.write_bytes(b"")
+    other = path.parent / f".{path.name}.other.x.tmp"
+    other.write_bytes(b"")
+    assert (e.cleanup(s), e.cleanup(s), e.cleanup("none")) == (1, 0, 0) and other.exists()
+    with pytest.raises(KeyError):
+        e.recover("none")
+
+
+def test_who_asks_twice_gets_one_run():
+    import threading
+
+    from lumenloft.streaming.feeds import SessionLock
+
+    lock, go, ran, got = SessionLock(), threading.Event(), [], []
+
+    def work():
+        go.wait(10)
+        ran.append(1)
+        return len(ran)
+
+    threads = [threading.Thread(target=lambda: got.append(lock.run("s", "resume", work))) for _ in range(3)]
+    for t in threads:
+        t.start()
+    other = threading.Thread(target=lambda: got.append(lock.run("s", "cleanup", lambda: "clean")))
+    other.start()
+    go.set()
+    for t in [*threads, other]:
+        t.join(10)
+    assert sorted(map(str, got)) == ["1", "1", "1", "clean"] and ran == [1]
+
+    def fail():
+        raise ValueError("no")
+
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            lock.run("s", "resume", fail)
