@@ -1,67 +1,101 @@
-"""Connected components of an edge table: by alternating large and small stars, or, where the edges are few enough for
-one task, by that task."""
+"""Connected components of an edge table, by forests: tasks reduce the edges that they hold to spanning stars, and edges meet
+at their ends until nothing moves. The same steps run at every size.
+
+  1. Each task unites what its own edges join and hands on one edge for each node, to the smallest node that it saw.
+  2. In each round an edge goes to the tasks of both its ends, so that all edges of a node meet in one task, which unites
+     them again. A row that a task didn't have before is `moved`; a round without one has found the components: then every
+     node has one edge, to a node that has none.
+
+A round cuts the edges to the nodes that tasks see, at most two a node, and is one shuffle. Paths shorten like by pointer
+jumping, so rounds grow with the logarithm of the longest path; a group of near copies takes two or three.
+
+Tasks get about LOT edges. Where that can't hold for a node by itself (at least one in SHARE of all edges lead to it; there
+are at most SHARE such nodes, whose ids alone are broadcast), its edges are dealt over SALTS tasks, and its own few edges to
+smaller nodes are copied to each of these."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-FEW = 1_000_000  # edges that one task holds: 16 MB, and some hundred MB of Python integers
+LOT, LEAST_TASKS = 500_000, 8
+SHARE, SALTS = 1024, 64
+AT_ONCE = 50_000  # rows of a batch that is handed on
 
 
-def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
-    """edges(a, b) of longs -> (node, component): the smallest node reachable, for every node with an edge.
+def unite(edges: dict[tuple[int, int], None] | Iterator[tuple[int, int]]) -> dict[int, int]:
+    """The smallest node that each node reaches."""
+    root: dict[int, int] = {}
 
-    Beyond FEW edges each round is a few joins and aggregations by node; a node with many edges is pre-aggregated, and its rows of the
-    join can be split. The rounds go on until every edge leads from a leaf to the
-    centre of its star, which takes about the logarithm of the longest path."""
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-edges")
-    if e.count() <= FEW:
-        return e.coalesce(1).mapInArrow(in_one_task, "node long, component long")
-    for _ in range(most_rounds):
-        if stars(e):
-            break
-        # written, so that both sides of the join are plain exchanges and the rows of a frequent node can be split
-        up = materialize(e.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-up")
-        # every larger end moves from its smaller end to the smallest neighbour of that
-        far = e.join(up.select(F.col("u").alias("v"), F.col("m").alias("w")).hint("merge"), "v", "left").select("u", F.coalesce("w", "v").alias("v"))
-        # and what a node is tied to is tied to the smallest of it; a node has few edges to smaller ones
-        low = far.unionByName(up.select("u", F.col("m").alias("v"))).select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
-        pairs = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        e = materialize(low.select(pairs).select("e.u", "e.v").filter("u <> v").distinct(), f"{tag}-edges", instead_of=[e, up])
-    else:
-        raise RuntimeError("the components didn't settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
 
+    for u, v in edges:
+        a, b = top(u), top(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return {x: top(x) for x in root}
 
-def in_one_task(batches):
-    """Union by the smaller root, over distinct edges (u, v) with u > v."""
-    root: dict[int, int] = {}
 
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def handed(seen: dict[tuple[int, int], None]) -> Iterator[pa.RecordBatch]:
+    out = [(x, y, (x, y) not in seen) for x, y in unite(seen).items() if x != y]
+    for i in range(0, len(out), AT_ONCE):
+        u, v, moved = zip(*out[i : i + AT_ONCE], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(moved)], ["u", "v", "moved"])
+
 
+FOREST = "u long, v long, moved boolean"
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a task's edges, in lots: for edges that no one has dealt out yet."""
+    seen: dict[tuple[int, int], None] = {}
     for b in batches:
-        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
-            root.setdefault(u, u), root.setdefault(v, v)
-            a, c = top(u), top(v)
-            root[max(a, c)] = min(a, c)
-    node = np.array(list(root), np.int64)
-    component = np.array([top(x) for x in root], np.int64)
-    for i in range(0, len(node), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 10_000]), pa.array(component[i : i + 10_000])], ["node", "component"])
-
-
-def stars(e: DataFrame) -> bool:
-    """Whether every node has one edge to a smaller one, which has none, or has none itself."""
-    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("leaf")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("leaf")))
-    by = ends.groupBy("node").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("centre"))
-    return by.filter("up > 1 or (up > 0 and centre = 0)").isEmpty()
+        seen.update(dict.fromkeys(zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)))
+        if len(seen) >= LOT:
+            yield from handed(seen)
+            seen = {}
+    yield from handed(seen)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of all edges of a task, which has every edge of some nodes."""
+    seen: dict[tuple[int, int], None] = {}
+    for b in batches:
+        seen.update(dict.fromkeys(zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)))
+    yield from handed(seen)
+
+
+def dealt(e: DataFrame, n: int) -> DataFrame:
+    """Each edge for the tasks of both its ends."""
+    tasks = max(LEAST_TASKS, -(-2 * n // LOT))
+    ends = F.array(F.struct(F.col("u").alias("at"), F.lit(0).alias("salt")), F.struct(F.col("v").alias("at"), F.lit(0).alias("salt")))
+    if 2 * n > LOT:  # else no node has more edges than a task may get
+        hot = e.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * SHARE >= n).select("v")
+        up, down = F.broadcast(hot.select(F.col("v").alias("hot_u"))), F.broadcast(hot.select(F.col("v").alias("hot_v")))
+        e = e.join(up, F.col("u") == F.col("hot_u"), "left").join(down, F.col("v") == F.col("hot_v"), "left")
+        salts = F.when(F.col("hot_u").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        own = F.when(F.col("hot_v").isNotNull(), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0)
+        ends = F.concat(F.transform(salts, lambda s: F.struct(F.col("u").alias("at"), s.alias("salt"))), F.array(F.struct(F.col("v").alias("at"), own.alias("salt"))))
+    return e.select("u", "v", F.explode(ends).alias("t")).repartition(tasks, "t.at", "t.salt").select("u", "v")
+
+
+def components(edges: DataFrame, tag: str, most_rounds: int = 100) -> DataFrame:
+    """edges(a, b) of longs -> (node, component): the smallest node reachable, for every node with an edge to another."""
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = materialize(e.mapInArrow(forests, FOREST), f"{tag}-edges")
+    for _ in range(most_rounds):
+        e = materialize(dealt(e.select("u", "v"), e.count()).mapInArrow(met, FOREST), f"{tag}-edges", instead_of=[e])
+        if e.filter("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError("the components didn't settle")
+    found = e.select("u", "v").distinct()
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -325,10 +325,29 @@ def test_components(spark, monkeypatch):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
-    for few in (components.FEW, 0):  # by one task, and by rounds
-        monkeypatch.setattr(components, "FEW", few)
-        got = dict(components.components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
-        assert got == {x: find(x) for x in parent if x not in alone}
+    rows = spark.createDataFrame(edges, "a long, b long")
+    # as shipped; with one task; with lots so small that nodes are hot, salted, and met in many tasks
+    for lot, tasks, share, salts in ((components.LOT, components.LEAST_TASKS, 1024, 64), (10**9, 1, 1024, 64), (20, 3, 1024, 4), (6, 7, 10, 3)):
+        for name, value in (("LOT", lot), ("LEAST_TASKS", tasks), ("SHARE", share), ("SALTS", salts)):
+            monkeypatch.setattr(components, name, value)
+        got = components.components(rows.repartition(5), "t").collect()
+        assert dict(got) == {x: find(x) for x in parent if x not in alone} and len(got) == len(dict(got))
+    assert components.components(rows.limit(0), "t").collect() == []
+
+
+def test_components_of_stars_and_paths(spark, monkeypatch):
+    """Large stars around the smallest, a middle and the largest node, a long path, and a random forest."""
+    rnd = random.Random(2)
+    star = lambda centre, lo, hi: [(centre, x) for x in range(lo, hi)]
+    path = list(range(20_000, 20_700))
+    rnd.shuffle(path)
+    edges = star(0, 1, 800) + star(1500, 1000, 2000) + star(5000, 4000, 5000) + list(zip(path, path[1:], strict=False)) + [(30_000 + rnd.randrange(i), 30_000 + i) for i in range(1, 900)]
+    want = {x: lo for lo, hi in ((0, 800), (1000, 2000), (4000, 5001), (20_000, 20_700), (30_000, 30_900)) for x in range(lo, hi)}
+    rnd.shuffle(edges)
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for lot in (components.LOT, 500):
+        monkeypatch.setattr(components, "LOT", lot)
+        assert dict(components.components(rows, "t").collect()) == want
 
 
 def test_shingle_sets_match():
