@@ -360,11 +360,35 @@ def plan_by_window(v):
     return plan.plan_by_window(f.select("file", "relative_path", "checksum", "dest")).drop("checksum")
 
 
-@query()
+#: Destinations one after another, a directory's taken names in two lists: f(file, rel, k, checksum, dir, stem) and old(dir, name, v).
+WALK_SQL = """WITH RECURSIVE %s, q AS (SELECT *, substr(checksum, 1, 8) AS short, row_number() OVER (PARTITION BY dir ORDER BY rel, file) AS r FROM f),
+    held AS (SELECT dir, list(name) AS names, list(coalesce(v, '')) AS sums FROM old GROUP BY dir),
+    walk AS (SELECT d.dir, cast(0 AS bigint) AS r, coalesce(h.names, cast([] AS varchar[])) AS names, coalesce(h.sums, cast([] AS varchar[])) AS sums, cast(NULL AS varchar) AS file, cast(NULL AS varchar) AS checksum, cast(NULL AS varchar) AS at_name, false AS again FROM (SELECT DISTINCT dir FROM q) d LEFT JOIN held h ON h.dir = d.dir
+        UNION ALL SELECT dir, r, CASE WHEN again THEN names ELSE list_append(names, at_name) END, CASE WHEN again THEN sums ELSE list_append(sums, checksum) END, file, checksum, at_name, again FROM (SELECT *, list_contains(names, at_name) AS again FROM (
+            SELECT w.dir, q.r, w.names, w.sums, q.file, q.checksum, list_filter(list_concat([q.stem || '.jpg', q.stem || '-' || q.short || '.jpg'], list_transform(range(2, len(w.names) + 3), lambda n: q.stem || '-' || q.short || '-' || n || '.jpg')), lambda c: NOT list_contains(w.names, c) OR w.sums[list_position(w.names, c)] = q.checksum)[1] AS at_name
+            FROM walk w JOIN q ON q.dir = w.dir AND q.r = w.r + 1)))
+    SELECT file, CASE WHEN again THEN 'reuse' ELSE 'new' END AS kind, dir || '/' || at_name AS destination_path, checksum FROM walk WHERE r > 0"""
+
+
+@query(WALK_SQL.replace("%s", """f AS (SELECT cast(p_partkey AS string) AS file, lpad(cast(p_partkey AS string), 9, '0') AS rel, p_partkey AS k, sha256(cast(p_partkey %% 7 AS string)) AS checksum, '2021/2021-02-' || lpad(cast(p_size %% 28 + 1 AS string), 2, '0') || '/' || p_brand AS dir, replace(p_name, ' ', '_') AS stem FROM part),
+    old AS (SELECT dir, stem || '.jpg' AS name, max(CASE WHEN k %% 20 = 0 THEN checksum END) AS v FROM f WHERE k %% 10 = 0 GROUP BY 1, 2)""".replace("%%", "%")))
 def plan_destinations(v):
     f = v.sql("SELECT cast(p_partkey AS string) AS file, lpad(cast(p_partkey AS string), 9, '0') AS relative_path, p_partkey, '2021-02-' || lpad(cast(p_size % 28 + 1 AS string), 2, '0') AS capture_day, p_brand AS label, cast(null AS string) AS nickname, replace(p_name, ' ', '_') || '.jpg' AS original_filename FROM {part}")
     f = f.withColumn("checksum", F.sha2((F.col("p_partkey") % 7).cast("string"), 256))
-    old = f.filter("p_partkey % 10 = 0").select(paths.compile_template(paths.DEFAULT_TEMPLATE, "capture_day", "label", "original_filename", unicode=False).alias("destination_path"), F.when(F.col("p_partkey") % 20 == 0, F.col("checksum")).alias("verified_checksum")).dropDuplicates(["destination_path"])
+    old = f.filter("p_partkey % 10 = 0").select(paths.compile_template(paths.DEFAULT_TEMPLATE, "capture_day", "label", "original_filename", unicode=False).alias("destination_path"), F.when(F.col("p_partkey") % 20 == 0, F.col("checksum")).alias("verified_checksum"))
+    return plan.plan_destinations(f, old, unicode=False)
+
+
+@query(WALK_SQL.replace("%s", """f AS (SELECT *, 'IMG' || CASE WHEN k %% 5 = 1 THEN '-' || substr(sha256(cast((k + 3) %% 23 AS string)), 1, 8) WHEN k %% 5 = 2 THEN '-' || substr(checksum, 1, 8) || '-2' WHEN k %% 5 = 3 THEN cast(k %% 11 AS string) ELSE '' END AS stem FROM (
+        SELECT cast(p_partkey AS string) AS file, lpad(cast(p_partkey AS string), 9, '0') AS rel, p_partkey AS k, sha256(cast(p_partkey %% 23 AS string)) AS checksum, '2021/2021-02-' || lpad(cast(p_size %% 28 + 1 AS string), 2, '0') || '/card' AS dir FROM part)),
+    old AS (SELECT dir, CASE WHEN k %% 4 = 0 THEN 'IMG-' || substr(checksum, 1, 8) ELSE stem END || '.jpg' AS name, max(CASE WHEN k %% 3 = 0 THEN checksum END) AS v FROM f WHERE k %% 10 = 0 GROUP BY 1, 2)""".replace("%%", "%")))
+def plan_destinations_clashing(v):
+    """Names that stand in other files' families, names that many files have, and records in the way."""
+    f = v.sql("SELECT cast(p_partkey AS string) AS file, lpad(cast(p_partkey AS string), 9, '0') AS relative_path, p_partkey AS k, sha2(cast(p_partkey % 23 AS string), 256) AS checksum, sha2(cast((p_partkey + 3) % 23 AS string), 256) AS other, '2021-02-' || lpad(cast(p_size % 28 + 1 AS string), 2, '0') AS capture_day, 'card' AS label, cast(null AS string) AS nickname FROM {part}")
+    more = F.when(F.col("k") % 5 == 1, F.concat(F.lit("-"), F.substring("other", 1, 8))).when(F.col("k") % 5 == 2, F.concat(F.lit("-"), F.substring("checksum", 1, 8), F.lit("-2"))).when(F.col("k") % 5 == 3, (F.col("k") % 11).cast("string")).otherwise("")
+    f = f.withColumn("original_filename", F.concat(F.lit("IMG"), more, F.lit(".jpg")))
+    name = F.when(F.col("k") % 4 == 0, F.concat(F.lit("IMG-"), F.substring("checksum", 1, 8), F.lit(".jpg"))).otherwise(F.col("original_filename"))
+    old = f.filter("k % 10 = 0").select(F.concat(F.lit("2021/"), "capture_day", F.lit("/card/"), name).alias("destination_path"), F.when(F.col("k") % 3 == 0, F.col("checksum")).alias("verified_checksum"))
     return plan.plan_destinations(f, old, unicode=False)
 
 
