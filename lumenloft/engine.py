@@ -145,9 +145,9 @@ class Engine:
 
     # ingest
 
-    def ingest(self, root: str, destination: str, days: list[str] = (), strong_id: str | None = None, source_id: str | None = None, read_tags: Callable[[str], dict] | None = None, label: str | None = None) -> str:
-        """Copy what is new and verify it; returns the session's id."""
-        started, session, s = self.clock(), uuid.uuid4().hex, self.settings()
+    def ingest(self, root: str, destination: str, days: list[str] = (), strong_id: str | None = None, source_id: str | None = None, read_tags: Callable[[str], dict] | None = None, label: str | None = None, session: str | None = None) -> str:
+        """Copy what is new and verify it; returns the session's id, a new one unless it is given."""
+        started, session, s = self.clock(), session or uuid.uuid4().hex, self.settings()
         who, rows, _ = self._prepare(root, list(days), strong_id, source_id, read_tags, started)
         sid = who["source_id"]
         self._record_source(sid, root, who, strong_id, session, started)
