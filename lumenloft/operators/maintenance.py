@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,17 +93,24 @@ def clear_session(files: DataFrame, deleted: DataFrame) -> DataFrame:
     return out.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == "ingest_session_id" else files[c] for c in files.columns])
 
 
-def evict(artifacts: DataFrame, limit_bytes: int, in_use: DataFrame | None = None, prefix: int = 13) -> DataFrame:
+def evict(artifacts: DataFrame, limit_bytes: int, in_use: DataFrame | None = None) -> DataFrame:
     """Artifacts to drop, oldest first, until the rest fits; those in use stay out of the list but count.
 
-    The running sum has two levels, so that no task sees all artifacts: sums of spans of time (the first `prefix` characters
-    of the time, an hour by default) are added up over the few spans, and each span's own running sum starts from there."""
-    a = artifacts.select("cache_key", "size_bytes", "updated_at", F.coalesce(F.substring("updated_at", 1, prefix), F.lit("")).alias("_span"))
-    spans = a.groupBy("_span").agg(F.sum("size_bytes").alias("_s"))
-    earlier = F.coalesce(F.sum("_s").over(W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.select("_span", earlier.alias("_e"), F.sum("_s").over(W.partitionBy()).alias("_t"))
-    own = F.coalesce(F.sum("size_bytes").over(W.partitionBy("_span").orderBy("updated_at", "cache_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = a.withColumn("_b", own).join(spans, "_span").filter(F.col("_t") - F.col("_e") - F.col("_b") > limit_bytes)
+    The running sum is taken level by level, so that no task sees all artifacts, nor all of an hour: hours, their seconds,
+    those' full times, and artifacts of one time by the first letters of their keys. Each level adds up the sums of few spans
+    inside one span of the level above, and only the artifacts of the last level are added up one by one."""
+    levels = ["_hour", "_second", "_time", "_keys", "_more"]
+    time = F.coalesce("updated_at", F.lit(""))
+    a = artifacts.select("cache_key", "size_bytes", "updated_at", F.substring(time, 1, 13).alias("_hour"), F.substring(time, 1, 19).alias("_second"), time.alias("_time"), F.substring("cache_key", 1, 3).alias("_keys"), F.substring("cache_key", 1, 6).alias("_more"))
+    before = lambda column, by, *order: F.coalesce(F.sum(column).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = [a.groupBy(*levels).agg(F.sum("size_bytes").alias("_s"))]
+    for n in range(len(levels) - 1, 0, -1):
+        spans.insert(0, spans[0].groupBy(*levels[:n]).agg(F.sum("_s").alias("_s")))
+    start = spans[0].select("_hour", before("_s", [], "_hour").alias("_e"), F.sum("_s").over(W.partitionBy()).alias("_t"))
+    for n in range(1, len(levels)):
+        inside = spans[n].select(*levels[: n + 1], before("_s", levels[:n], levels[n]).alias("_i"))
+        start = inside.join(start, levels[:n]).select(*levels[: n + 1], (F.col("_e") + F.col("_i")).alias("_e"), "_t")
+    out = a.withColumn("_b", before("size_bytes", levels, "updated_at", "cache_key")).join(start, levels).filter(F.col("_t") - F.col("_e") - F.col("_b") > limit_bytes)
     out = out.select("cache_key", "size_bytes", "updated_at")
     return out if in_use is None else out.join(in_use, "cache_key", "left_anti")
 
@@ -132,12 +139,50 @@ def add_samples(stats: DataFrame, samples: DataFrame, by: str = "source_id", val
     return out.select(by, (old + new).alias("sample_count"), mean.alias("average_bytes_per_second"), F.coalesce("l", "last_bytes_per_second").alias("last_bytes_per_second"))
 
 
+def fold_ordered(rows: DataFrame, by: str, order: list[str], value: str, start: Callable[[], object], step: Callable[[object, object], object], out: str, show: Callable[[object], tuple]) -> DataFrame:
+    """A fold of each key's values in order, without holding them: rows are sorted inside partitions and streamed through,
+    and a key's state is carried from batch to batch. A key's rows pass one task, as each step needs the one before."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in out.split(", ")]
+        key, state, open_ = None, None, False
+        for b in batches:
+            done = []
+            for k, v in zip(b["k"].to_pylist(), b["v"].to_pylist(), strict=True):
+                if not open_ or k != key:
+                    if open_:
+                        done.append((key, *show(state)))
+                    key, state, open_ = k, start(), True
+                state = step(state, v)
+            yield batch_of(pa, done, names)
+        yield batch_of(pa, [(key, *show(state))] if open_ else [], names)
+
+    def batch_of(pa, done, names):
+        cols = list(zip(*done, strict=True)) if done else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    import pyarrow as pa
+
+    types = [{"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in out.split(", ")]
+    ordered = rows.select(F.col(by).alias("k"), F.col(value).alias("v"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    ordered = ordered.repartition("k").sortWithinPartitions("k", *[f"o{i}" for i in range(len(order))], "v")
+    return ordered.select("k", "v").mapInArrow(run, out)
+
+
 def replay_mean(samples: DataFrame, by: str = "source_id", value: str = "bytes_per_second", order: str = "at") -> DataFrame:
-    """The running mean in exactly the order of the samples, for a bit-for-bit replay. Holds one source's samples."""
-    state = lambda n, m: F.struct(n.cast("long").alias("n"), m.cast("double").alias("m"))
-    rows = samples.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    fold = F.aggregate("s", state(F.lit(0), F.lit(0.0)), lambda a, x: state(a["n"] + 1, a["m"] + (x["v"] - a["m"]) / (a["n"] + 1)))
-    return rows.select(by, fold["n"].alias("sample_count"), fold["m"].alias("average_bytes_per_second"))
+    """The running mean in exactly the order of the samples, for a bit-for-bit replay."""
+    rows = samples.select(F.col(by).cast("string").alias(by), F.col(value).cast("double").alias(value), order)
+
+    def step(state, v):
+        n, m = state
+        if v is None:  # no sample
+            return state
+        return n + 1, m + (v - m) / (n + 1)
+
+    out = fold_ordered(rows, by, [order], value, lambda: (0, 0.0), step, f"{by} string, sample_count long, average_bytes_per_second double", lambda s: s)
+    return out.withColumn(by, F.col(by).cast(samples.schema[by].dataType))
 
 
 def may_adopt(sessions: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:

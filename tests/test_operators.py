@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,30 @@ def test_polls(spark):
     p = spark.createDataFrame([(1, "a", False), (2, "a", False), (2, "b", False), (3, None, True), (4, "b", False), (5, "a", False), (5, "b", False)], "poll int, id string, failed boolean")
     assert sorted(tuple(r) for r in feeds.polls_to_changes(p, ["id"]).collect()) == [(2, "arrived", "b"), (4, "removed", "a"), (5, "arrived", "a")]
     assert feeds.throttle_progress(spark.createDataFrame([("c", i, i * 3) for i in range(6)], "copy string, seq int, copied_bytes long"), step=5).select("seq").collect() and F is not None
+
+
+def test_evict_one_hour_in_many_tasks(spark):
+    """A bulk import of one moment: sums by the keys' letters, and ties of time in order of the key."""
+    rng = random.Random(1)
+    rows = [(f"{rng.randrange(16**12):012x}", rng.randrange(1, 50), rng.choice(["2024-01-01T00:00:00.000Z", "2024-01-01T00:00:00.001Z", "2024-01-01T00:59:00.000Z", "2024-01-01T01:00:00.000Z", None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "cache_key string, size_bytes long, updated_at string")
+    total, gone = sum(r[1] for r in rows), set()
+    for key, size, _ in sorted(rows, key=lambda r: (r[2] or "", r[0])):
+        if total <= 20_000:
+            break
+        gone.add(key)
+        total -= size
+    assert {r.cache_key for r in maintenance.evict(df, 20_000).collect()} == gone and 0 < len(gone) < 3000
+
+
+def test_replay_streams_a_source(spark):
+    """One source's samples in many batches: the state is carried on, and the mean is that of a loop, bit by bit."""
+    rng = random.Random(2)
+    rows = [("hot", i, rng.random() * 1e7) for i in range(25_000)] + [("b", 2, 1.0), ("b", 1, 4.0), ("c", 1, None), (None, 1, 2.0)]
+    mean = {}
+    for k, _, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        n, m = mean.get(k, (0, 0.0))
+        mean[k] = (n, m) if v is None else (n + 1, m + (v - m) / (n + 1))
+    rng.shuffle(rows)
+    got = maintenance.replay_mean(spark.createDataFrame(rows, "source_id string, at long, bytes_per_second double")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == mean
