@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, pieces, replayable
-from .components import components
+from .components import components, extended
 from .textvec import U, Words, mix
 
 WORDS = 5
@@ -501,8 +501,7 @@ def heavy_links(docs: DataFrame, classes: DataFrame, total: int, b: int) -> Data
         failed = materialize(failed.unionByName(new.join(more, ["a", "b"], "left_anti")), "jaccard-failed", instead_of=[failed])
         active = materialize(lists.join(found.select("key", "band").distinct(), ["key", "band"]), "jaccard-active", instead_of=[found])
         if not more.isEmpty():
-            known = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            joined = materialize(components(known.unionByName(more), "jaccard-joined"), "jaccard-joined", instead_of=[joined])
+            joined = materialize(extended(joined, more, "jaccard-joined"), "jaccard-joined", instead_of=[joined])
             links = materialize(links.unionByName(more), "jaccard-links", instead_of=[links, more])
         budget *= MORE
     for old in (lists, members, failed, joined, found):

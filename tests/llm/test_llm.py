@@ -348,6 +348,10 @@ def test_components_of_stars_and_paths(spark, monkeypatch):
     for lot in (components.LOT, 500):
         monkeypatch.setattr(components, "LOT", lot)
         assert dict(components.components(rows, "t").collect()) == want
+    # found in two steps, some nodes new in the second and some components joined by it
+    first, second = rows.filter("a % 3 > 0"), rows.filter("a % 3 = 0")
+    got = components.extended(components.components(first, "t"), second, "t").collect()
+    assert dict(got) == want and len(got) == len(want)
 
 
 def test_shingle_sets_match():
