@@ -12,9 +12,11 @@ from lumenloft.functions import core, dates, hashing, media, paths
 from lumenloft.operators import catalog, classify, constraints, identity, maintenance, plan, recover
 from lumenloft.operators.core import any_of, by_key, last_n, range_of, same
 from lumenloft.plans.adapters import Views, oracle
+from lumenloft.plans.scratch import new_folder
 from lumenloft.sinks import writers
 from lumenloft.sources import listing, records, volumes
-from lumenloft.streaming import feeds
+from lumenloft.store import Store
+from lumenloft.streaming import feeds, registry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -917,3 +919,95 @@ def source_markers(v):
     return records.read_markers(r).select("mount_path", "source_id")
 
 
+
+
+# the keyed store: every kind of commit over rows of a table, written and read back
+
+
+def _rows(v, condition: str, value: str):
+    return v.sql(f"SELECT cast(c_custkey AS string) AS key, {value} AS value_json, cast(c_nationkey AS string) AS updated_at FROM {{customer}} WHERE {condition}")
+
+
+@query("""SELECT cast(c_custkey AS string) AS key, CASE WHEN c_custkey % 11 = 0 AND c_custkey % 3 = 0 THEN 'back' WHEN c_custkey % 13 = 0 THEN c_name || '?!' WHEN c_custkey % 7 = 0 THEN c_mktsegment || '!' ELSE c_name || CASE WHEN c_custkey % 7 = 1 THEN '!' ELSE '' END END AS value_json,
+    cast(c_nationkey AS string) AS updated_at FROM customer WHERE c_custkey % 11 <> 0 OR c_custkey % 3 = 0""")
+def store_changes(v):
+    """Appends, merges, deletions, an update and a compaction between them."""
+    store = Store(v.spark, new_folder(v.spark, "store"))
+    store.append("settings", _rows(v, "c_custkey % 2 = 0", "c_name"))
+    store.append("settings", _rows(v, "c_custkey % 2 = 1", "c_name"))
+    store.merge("settings", _rows(v, "c_custkey % 7 = 0", "c_mktsegment"))
+    store.merge("settings", _rows(v, "c_custkey % 11 = 0", "c_name").withColumn("_deleted", F.lit(True)))
+    store.compact("settings")
+    store.merge("settings", _rows(v, "c_custkey % 13 = 0 AND c_custkey % 11 > 0", "c_name || '?'"))
+    store.update("settings", lambda t: maintenance.changed(t, (F.col("key") % 7 < 2) & (F.col("key") % 13 != 0), {"value_json": F.concat("value_json", F.lit("!"))}))
+    store.update("settings", lambda t: maintenance.changed(t, F.col("key") % 13 == 0, {"value_json": F.concat("value_json", F.lit("!"))}))
+    store.append("settings", _rows(v, "c_custkey % 11 = 0 AND c_custkey % 3 = 0", "'back'"))
+    return store.read("settings")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'removed' ELSE 'arrived' END AS change, CASE WHEN event_id % 4 = 0 THEN event_type END AS known FROM events), g AS (SELECT user_id, max(event_id) FILTER (WHERE change = 'removed') AS gone FROM e GROUP BY 1),
+    k AS (SELECT e.* FROM e JOIN g USING (user_id) WHERE change <> 'removed' AND (gone IS NULL OR event_id > gone)) SELECT cast(user_id % 16 AS string) AS host, cast(user_id AS string) AS key, max(event_id) AS last, max_by(known, event_id) FILTER (WHERE known IS NOT NULL) AS known_source_id FROM k GROUP BY 1, 2""")
+def registry_stream(v):
+    """The registry as keyed state of a stream over the events, in several micro-batches."""
+    spark, folder = v.spark, new_folder(v.spark, "registry")
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    changes = v.table("events").select(
+        (F.col("user_id") % 16).cast("string").alias("host"), F.col("event_id").alias("poll"), F.when(F.col("event_type") == "error", "removed").otherwise("arrived").alias("change"), F.col("user_id").cast("string").alias("strong_id"),
+        F.col("event_id").cast("string").alias("path"), F.lit("x").alias("label"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("known_source_id"),
+    )
+    changes.repartition(3, "poll").write.parquet(f"{folder}/changes")
+    feed = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    old = spark.conf.get(key)
+    spark.conf.set(key, rocks)
+    try:
+        out = registry.stream_registry(feed).writeStream.outputMode("update").foreachBatch(lambda df, epoch: df.withColumn("at", F.lit(epoch)).write.mode("append").parquet(f"{folder}/updates"))
+        out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    return registry.present(spark.read.parquet(f"{folder}/updates")).select("host", "key", F.col("path").cast("long").alias("last"), "known_source_id")
+
+
+def _file_tree(v) -> str:
+    """A folder for each nation with a file for each of its suppliers, written in tasks; returns the root."""
+    from urllib.parse import urlparse
+
+    root = urlparse(new_folder(v.spark, "tree")).path
+
+    def write(batches):
+        import os
+
+        for b in batches:
+            for path, size in zip(b["path"].to_pylist(), b["size"].to_pylist(), strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write(b"x" * size)
+            yield b.select(["path"])
+
+    v.sql(f"SELECT {TREE_PATH} AS path, cast(s_suppkey % 50 AS int) AS size FROM {{supplier}}").mapInArrow(write, "path string").count()
+    return root
+
+
+TREE_PATH = """CASE s_nationkey % 5 WHEN 0 THEN '.hidden' WHEN 1 THEN '$Recycle.Bin' ELSE 'n' || cast(s_nationkey AS string) END || '/' || CASE WHEN s_suppkey % 3 = 0 THEN 'deep/er/' ELSE '' END || CASE WHEN s_suppkey % 17 = 0 THEN '.' ELSE '' END
+    || 'f' || cast(s_suppkey AS string) || CASE s_suppkey % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.mov' WHEN 2 THEN '.txt' ELSE '.Nef' END"""
+TREE_FILES = f"t AS (SELECT {TREE_PATH} AS p, cast(s_suppkey % 50 AS bigint) AS size_bytes, s_suppkey, s_nationkey FROM supplier), f AS (SELECT p, regexp_extract(p, '[^/]*$') AS name, size_bytes, s_suppkey FROM t WHERE s_nationkey % 5 > 1 AND s_suppkey % 17 > 0 AND s_suppkey % 4 <> 2)"
+
+
+@query(f"WITH {TREE_FILES} SELECT p AS relative_path, name, lower(regexp_extract(name, '[.][^.]*$')) AS extension, size_bytes, row_number() OVER (ORDER BY lower(p), p) AS place FROM f")
+def listed_tree(v):
+    """A scan of files: extensions in any case, hidden and excluded names left out, in the order of the walk."""
+    from pyspark.sql import Window
+
+    files = listing.files_of(listing.scan_media(v.spark, _file_tree(v)))
+    return files.select("relative_path", "name", "extension", "size_bytes", F.row_number().over(Window.orderBy(F.lower("canonical_path_key"), "canonical_path_key", "relative_path")).cast("long").alias("place"))
+
+
+@query(f"WITH {TREE_FILES} SELECT p AS relative_path, size_bytes FROM f WHERE p LIKE 'n2/%' AND s_suppkey % 4 = 1 UNION ALL SELECT p, size_bytes FROM f WHERE s_suppkey % 9 = 1 AND p NOT LIKE 'n2/%'")
+def listed_by_filters(v):
+    """A listing below a prefix with one extension, and one of exact paths: filters that the source takes."""
+    root = _file_tree(v)
+    flat = listing.list_media(v.spark, root).select("relative_path", "extension", "size_bytes")
+    below = flat.filter(F.col("relative_path").startswith("n2/") & (F.col("extension") == ".mov")).drop("extension")
+    asked = v.sql(f"SELECT {TREE_PATH} AS p FROM {{supplier}} WHERE s_suppkey % 9 = 1 AND s_nationkey % 5 > 1 AND s_suppkey % 17 > 0 AND s_suppkey % 4 <> 2").filter("p not like 'n2/%'")
+    found = listing.lookup_files(v.spark, root, asked.select(F.col("p").alias("relative_path"), F.lit(None).cast("long").alias("hash_if_size")))
+    return below.unionByName(found.filter("state = 'file'").select("relative_path", "size_bytes"))
