@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloft.functions.core import col
+from lumenloft.sources.readers import Limits, read_all
 
 CHUNK = 256 * 1024
 OUTCOMES = "file string, outcome string, checksum string, copied_bytes long, error_code string"
@@ -211,23 +212,20 @@ def remove_owned_temps(copies: DataFrame, root: str, session: str) -> DataFrame:
     return copies.select(F.col("file").cast("string"), "destination_path", *owners[1:]).mapInArrow(run, "file string, removed long")
 
 
-def make_thumbnails(requests: DataFrame, root: str, generate: Callable[[bytes], bytes]) -> DataFrame:
+def make_thumbnails(requests: DataFrame, root: str, generate: Callable[[bytes], bytes], limits: Limits = Limits()) -> DataFrame:
     """requests(cache_key, relative_path) -> cache_key, content, error: one generation for each key; the generator (an image
-    library) is the caller's."""
+    library) is the caller's and runs in a bounded pool of processes."""
+
+    def picture(request: tuple[str, str]) -> bytes:
+        with open(os.path.join(root, *request[1].split("/")), "rb") as f:
+            return generate(f.read())
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for k, p in zip(b["cache_key"].to_pylist(), b["relative_path"].to_pylist(), strict=True):
-                try:
-                    with open(os.path.join(root, *p.split("/")), "rb") as f:
-                        out.append((k, generate(f.read()), None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((k, None, type(e).__name__))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.string())], ["cache_key", "content", "error"])
+        items = (x for b in batches for x in zip(b["cache_key"].to_pylist(), b["relative_path"].to_pylist(), strict=True))
+        for (key, _), content, error in read_all(items, picture, limits):  # a picture a batch, so that no more are held
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["cache_key", "content", "error"])
 
     return requests.dropDuplicates(["cache_key"]).select("cache_key", "relative_path").mapInArrow(run, "cache_key string, content binary, error string")
 

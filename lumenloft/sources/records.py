@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloft.functions import dates, media
+from lumenloft.sources.readers import Limits, read_all
 
 MARKER = "schemaVersion int, sourceId string, nickname string, createdAt string, updatedAt string"
 MAX_THUMBNAIL = 5 * 1024 * 1024
@@ -82,22 +83,29 @@ def read_settings(text: str | None) -> dict:
     return moved if not check_settings(moved) else dict(DEFAULTS)
 
 
-def read_tags(files: DataFrame, reader: Callable[[str], dict[str, str]], path: str = "path") -> DataFrame:
-    """path, tags (a map of texts), error: a reader runs in the tasks, and a file that it fails on is an error row. Which
-    library reads tags is the caller's choice."""
+def read_tags(files: DataFrame, reader: Callable[[str], dict[str, str]], path: str = "path", limits: Limits = Limits()) -> DataFrame:
+    """path, tags (a map of texts), error: a reader runs in the tasks, in a bounded pool of processes, and a file that it
+    fails, hangs or crashes on is an error row. Which library reads tags is the caller's choice."""
+
+    def texts(p: str) -> list[tuple[str, str | None]]:
+        return [(str(k), None if v is None else str(v)) for k, v in reader(p).items()]
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            rows = []
-            for p in b["path"].to_pylist():
-                try:
-                    rows.append((p, [(str(k), None if v is None else str(v)) for k, v in reader(p).items()], None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((p, None, type(e).__name__))
+        items = (p for b in batches for p in b["path"].to_pylist())
+        rows = []
+
+        def made():
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.map_(pa.string(), pa.string())), pa.array(cols[2], pa.string())], ["path", "tags", "error"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.map_(pa.string(), pa.string())), pa.array(cols[2], pa.string())], ["path", "tags", "error"])
+
+        for row in read_all(items, texts, limits):
+            rows.append(row)
+            if len(rows) >= 1000:
+                yield made()
+                rows.clear()
+        yield made()
 
     return files.select(F.col(path).alias("path")).mapInArrow(run, "path string, tags map<string,string>, error string")
 
