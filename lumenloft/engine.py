@@ -21,6 +21,7 @@ from lumenloft.operators.core import range_of
 from lumenloft.sinks import writers
 from lumenloft.sources import listing, records, volumes
 from lumenloft.store import Store
+from lumenloft.streaming import registry
 from lumenloft.streaming.feeds import SessionLock
 
 
@@ -96,6 +97,28 @@ class Engine:
         values = {"nickname": F.lit(nickname).cast("string"), "updated_at": F.lit(self.clock())}
         self.store.update("sources", lambda t: maintenance.changed(t, F.col("id") == source_id, values))
 
+    def register_source(self, root: str, nickname: str | None = None, strong_id: str | None = None) -> str:
+        """Put a folder or card on record without an ingest: its source, its identity, and the marker on the card itself."""
+        at = self.clock()
+        who = self.identify(root, listing.files_of(self.scan(root)), strong_id)
+        self._record_source(who["source_id"], root, who, strong_id, None, at)
+        if nickname is not None:
+            self.set_nickname(who["source_id"], nickname)
+        row = self.store.get("sources", who["source_id"]).first()
+        writers.write_marker(root, row["id"], row["nickname"], row["created_at"], at)
+        return row["id"]
+
+    @staticmethod
+    def detected_sources(updates: DataFrame) -> DataFrame:
+        """The cards that are present, from the updates that a registry stream has written."""
+        return registry.present(updates).orderBy("host", "key")
+
+    def claim_session(self, session: str, holder: str, ttl_ms: int = 60_000) -> int | None:
+        """A token for work on a session that isn't over, or None where it is, or another holds it. The store refuses commits
+        with the token (`fences`) once someone else has claimed the session."""
+        row = self.store.get("ingest_sessions", session).first()
+        return None if row is None or row["status"] in schemas.TERMINAL else self.store.acquire(f"session-{session}", holder, ttl_ms)
+
     def scan(self, root: str) -> DataFrame:
         s = self.settings()
         return listing.scan_media(self.spark, root, extensions=s["allowedExtensions"], excluded=[*listing.EXCLUDED, *s["excludedPathPatterns"]], ordered=False).persist()
@@ -166,7 +189,7 @@ class Engine:
         self._finish(session, sid, destination, started)
         return session
 
-    def _record_source(self, sid: str, root: str, who: dict, strong_id: str | None, session: str, at: str) -> None:
+    def _record_source(self, sid: str, root: str, who: dict, strong_id: str | None, session: str | None, at: str) -> None:
         name = os.path.basename(root.rstrip("/")) or root
         row = self.spark.createDataFrame([(sid, "removable-volume" if strong_id else "folder", name, None, at, at, at, at)], schemas.SOURCES)
         self.store.update("sources", lambda t: maintenance.upserted(t, row, ["id"], keep=["kind", "display_name", "nickname", "first_seen_at", "created_at"]))
@@ -362,6 +385,25 @@ class Engine:
     def thumbnails_wanted(self, now_ms: int, n: int = 8) -> DataFrame:
         return catalog.thumbnails_wanted(self.table("copied_files"), self.table("thumbnails"), now_ms, n)
 
+    def thumbnail(self, copy: str, folder: str) -> dict:
+        """A copy's grid thumbnail: its state, and its picture where it is ready and its file under `folder` as recorded."""
+        row = catalog.latest_thumbnails(self.table("thumbnails").filter(F.col("copied_file_id") == copy)).first()
+        if row is None:
+            return {"state": "missing", "content": None}
+        artifact = self.table("thumbnail_artifacts").filter(F.col("cache_key") == row["artifact_cache_key"])
+        found = records.thumbnail_bytes(self.spark, folder, artifact).first() if row["state"] == "ready" else None
+        return {"state": row["state"], "content": bytes(found["content"]) if found else None}
+
+    def retry_thumbnail(self, copy: str) -> bool:
+        """Make a failed thumbnail due at once. False where its copy isn't verified or its attempts are used up."""
+        held = self.store.get("copied_files", copy).first()
+        mine = (F.col("copied_file_id") == copy) & (F.col("variant") == "grid") & (F.col("state") == "failed") & (F.col("attempt_count") < F.col("max_attempts"))
+        if held is None or held["status"] != "verified" or held["checksum"] is None or self.table("thumbnails").filter(mine).isEmpty():
+            return False
+        at = F.lit(self.clock())
+        self.store.update("thumbnails", lambda t: maintenance.changed(t, mine, {"next_retry_at": at, "updated_at": at}))
+        return True
+
     def evict_thumbnails(self, copy: str | None = None) -> DataFrame:
         """Cache keys to drop under the settings' policy: the oldest beyond the limit, or, where only a session is kept, what
         no thumbnail of the session of `copy` shows. The artifacts go, and the thumbnails that refer to them."""

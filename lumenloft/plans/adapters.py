@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenloft.plans.scratch import sound_unions
+
 DAY = "replace(cast({0} as string), ' ', 'T') || 'Z'"
 _SHIP, _ORDER = DAY.format("l_shipdate"), DAY.format("o_orderdate")
 
@@ -50,7 +52,7 @@ class Views:
     """The catalog's tables over one folder: v.copies, v.table("orders")."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = sound_unions(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

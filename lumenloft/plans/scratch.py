@@ -1,4 +1,4 @@
-"""Folders for tables and files that a query writes and reads back."""
+"""What the session has to provide: folders for tables and files that a query writes and reads back, and sound unions."""
 
 from __future__ import annotations
 
@@ -22,3 +22,11 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def sound_unions(spark: SparkSession) -> SparkSession:
+    """Spark 4.1 takes a union of two tables dealt by one key for dealt by it and leaves out the exchange above; where a join
+    in one branch then becomes a broadcast at run time, or the branches' partitions are merged apart, rows of one key no
+    longer meet. Without that step the exchange stays."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloft import schemas
+from lumenloft.plans.scratch import sound_unions
 
 ROWS_OF_A_BUCKET, MOST_BUCKETS = 1_000_000, 4096
 
@@ -62,7 +63,7 @@ class State:
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, compact_after: int = 24):
-        self.spark, self.root, self.compact_after = spark, root.rstrip("/"), compact_after
+        self.spark, self.root, self.compact_after = sound_unions(spark), root.rstrip("/"), compact_after
         self._entries: dict[tuple[str, int], dict] = {}
 
     # files

@@ -182,3 +182,30 @@ def test_who_asks_twice_gets_one_run():
     for _ in range(2):
         with pytest.raises(ValueError):
             lock.run("s", "resume", fail)
+
+
+def test_register_claim_and_thumbnails(spark, tmp_path):
+    from lumenloft import schemas
+
+    card = tmp_path / "CARD"
+    (card / "DCIM").mkdir(parents=True)
+    (card / "DCIM" / "a.jpg").write_bytes(b"a")
+    e = Engine(spark, str(tmp_path / "catalog"))
+    sid = e.register_source(str(card), nickname="trip", strong_id="vol-1")
+    assert [(r.id, r.kind, r.nickname) for r in e.table("sources").collect()] == [(sid, "removable-volume", "trip")]
+    assert json.loads((card / ".lumenloft" / "card.json").read_text())["sourceId"] == sid
+    assert e.register_source(str(card), strong_id="vol-1") == sid and e.table("sources").count() == 1 and e.store.get("sources", sid).first().nickname == "trip"
+    s = [("s1", sid, "copying"), ("s2", sid, "completed")]
+    e.store.append("ingest_sessions", spark.createDataFrame(s, "id string, source_id string, status string"))
+    assert e.claim_session("s1", "driver-a") == 1 and e.claim_session("s1", "driver-b") is None and e.claim_session("s2", "driver-a") is None and e.claim_session("s3", "driver-a") is None
+    e.store.append("copied_files", spark.createDataFrame([("c1", "verified", "sum"), ("c2", "verified", "sum"), ("c3", "failed", None)], "id string, status string, checksum string"))
+    (tmp_path / "thumbs").mkdir()
+    (tmp_path / "thumbs" / "k1.webp").write_bytes(b"pic")
+    e.store.append("thumbnail_artifacts", spark.createDataFrame([("k1", "k1.webp", "image/webp", 1, 1, 3, "a", "a")], schemas.ARTIFACTS))
+    thumbs = [("t1", "c1", "f", "grid", "ready", "k1", None, None, 1, 5, None, "a", "a"), ("t2", "c2", "f", "grid", "failed", None, "DECODE", "m", 1, 5, "2999-01-01T00:00:00Z", "a", "a"), ("t3", "c3", "f", "grid", "failed", None, "DECODE", "m", 1, 5, "2999-01-01T00:00:00Z", "a", "a")]
+    e.store.append("thumbnails", spark.createDataFrame(thumbs, schemas.THUMBNAILS))
+    where = str(tmp_path / "thumbs")
+    assert e.thumbnail("c1", where) == {"state": "ready", "content": b"pic"} and e.thumbnail("c2", where) == {"state": "failed", "content": None} and e.thumbnail("c9", where)["state"] == "missing"
+    now = int(__import__("time").time() * 1000) + 5000
+    assert e.thumbnails_wanted(now).isEmpty() and not e.retry_thumbnail("c3") and not e.retry_thumbnail("c1")
+    assert e.retry_thumbnail("c2") and [r.id for r in e.thumbnails_wanted(now).collect()] == ["c2"]
