@@ -49,9 +49,11 @@ def parsed(keys: DataFrame) -> DataFrame:
 
     A wall time is in microseconds as if it were UTC. What is impossible is null."""
     whole = F.split(F.regexp_replace("stamp", FORM, "|".join(f"${i + 1}" for i in range(GROUPS))), r"\|")
-    df = keys.withColumn("p", F.when(F.col("stamp").rlike(FORM), whole))
+    # the generator keeps the parts from being parsed again in each expression over them
+    df = keys.select(F.inline(F.array(F.struct(*keys.columns, F.when(F.col("stamp").rlike(FORM), whole).alias("p")))))
     part = [F.col("p")[i] for i in range(GROUPS)]
-    number = [x.try_cast("int") for x in part]
+    # what a form leaves empty isn't cast: a failed cast costs more than all the rest
+    number = [F.when(x != "", x.cast("int")) for x in part]
 
     def first(*which: int) -> Column:
         return F.coalesce(*[number[i] for i in which])
@@ -73,7 +75,7 @@ def parsed(keys: DataFrame) -> DataFrame:
     good = (zulu == "") & (sign == "") | off.isNotNull()
     return df.select(
         *keys.columns,
-        F.when(F.col("stamp").rlike(EPOCH), F.col("stamp").try_cast("long") * F.when(F.length("stamp") == 10, 1_000_000).otherwise(1000)).alias("epoch_us"),
+        F.when(F.col("stamp").rlike(EPOCH), F.col("stamp").cast("long") * F.when(F.length("stamp") == 10, 1_000_000).otherwise(1000)).alias("epoch_us"),
         F.when(good, wall(year, month, day)).alias("wall_us"),
         F.when(good & slashed, wall(year, number[12], number[13])).alias("swapped_us"),
         (off.cast("long") * 60_000_000).alias("offset_us"),
