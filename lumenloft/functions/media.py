@@ -61,9 +61,19 @@ def progress_telemetry(total, completed, rate) -> Column:
     return F.struct(percent.alias("percent"), eta.alias("eta_seconds"), left.cast("long").alias("remaining_bytes"))
 
 
-def exact_bytes(size) -> Column:
-    b = col(size)
-    scaled = lambda p, unit: F.format_string(f"%.1f {unit}", b / float(1024**p))
+def exact_bytes(size, halves: str = "up") -> Column:
+    """A whole number of bytes in the unit that suits it, and in full. Tenths are rounded in whole numbers, so that only an
+    exact half is one; it goes `up`, or to the `even` tenth, as printf does."""
+    b = col(size).cast("long")
+
+    def scaled(p: int, unit: str) -> Column:
+        bits, whole = 10 * p, 1024**p
+        tenths = F.shiftright(b, bits) * 10 + F.shiftright(b.bitwiseAND(whole - 1) * 10, bits)
+        rest = (b.bitwiseAND(whole - 1) * 10).bitwiseAND(whole - 1) * 2
+        more = (rest > whole) | ((rest == whole) & (F.lit(True) if halves == "up" else tenths % 2 == 1))
+        tenths = tenths + more.cast("long")
+        return F.format_string(f"%d.%d {unit}", ((tenths - tenths % 10) / 10).cast("long"), tenths % 10)
+
     human = F.when(b < 1024, F.format_string("%d B", b)).when(b < 1024**2, scaled(1, "KiB")).when(b < 1024**3, scaled(2, "MiB")).otherwise(scaled(3, "GiB"))
     return F.concat(human, F.lit(" ("), F.format_number(b, 0), F.lit(" B)"))
 

@@ -693,7 +693,7 @@ def retry_backoff(v):
 @query("WITH e AS (SELECT c_custkey, cast(floor(abs(c_acctbal) * power(10, c_custkey % 8)) AS bigint) AS b FROM customer) SELECT c_custkey, CASE WHEN b < 1024 THEN format('{} B', b) WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::double) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0::double) ELSE printf('%.1f GiB', b / 1073741824.0::double) END || ' (' || format('{:,}', b) || ' B)' AS shown FROM e")
 def exact_byte_labels(v):
     b = F.floor(F.abs("c_acctbal") * F.pow(F.lit(10.0), F.col("c_custkey") % 8)).cast("long")
-    return v.table("customer").select("c_custkey", media.exact_bytes(b).alias("shown"))
+    return v.table("customer").select("c_custkey", media.exact_bytes(b, halves="even").alias("shown"))
 
 
 @query("SELECT l_orderkey, cast(pow(2, floor(log2(l_extendedprice) + 0.5)) AS bigint) AS bucket, least(4.0, greatest(0.0, l_quantity / 3)) AS poster FROM lineitem")

@@ -92,3 +92,18 @@ def test_media(spark):
     assert one(spark, [(1,), (3,), (20,)], "v int", media.retry_delay_ms("v")) == [30000, 120000, 3600000]
     assert texts(spark, ["12", "x", str(2**53)], core.safe_capacity("v")) == [12, None, None]
     assert one(spark, [(-2.5,), (2.5,)], "v double", core.js_round("v")) == [-2, 3]
+
+
+def test_byte_labels_at_halves(spark):
+    """Tenths against whole-number arithmetic: halves to the even tenth as printf has them, or up; sums up to 2^53 - 1."""
+
+    def label(b, halves):
+        p = 1 if b < 1024**2 else 2 if b < 1024**3 else 3
+        tenths, rest = divmod(b * 10, 1024**p)
+        tenths += 2 * rest > 1024**p or (2 * rest == 1024**p and (halves == "up" or tenths % 2 == 1))
+        return f"{tenths // 10}.{tenths % 10} {['', 'KiB', 'MiB', 'GiB'][p]} ({b:,} B)"
+
+    sizes = [47_360, 303_360, 1280, 1792, 1024, 1024**2 - 1, 5 * 2**18, 7 * 2**18, 7 * 2**28, 2**53 - 1, (2**23 - 1) * 2**30 + 161061274, *(k * 256 + 1024 for k in range(1, 60))]
+    for halves in ("up", "even"):
+        assert one(spark, [(b,) for b in sizes], "v long", media.exact_bytes("v", halves)) == [label(b, halves) for b in sizes]
+    assert label(47_360, "even").startswith("46.2 ") and label(47_360, "up").startswith("46.3 ")
