@@ -9,7 +9,10 @@ share a destination. The first claim on a name that is free owns it; every other
 family, name-<sum8>[-n], past the records in it. All of that is aggregation and joins, spread by name. Only where a new
 file's own name stands in the family of another's claim, or where two contents of one name share their sum8, does the order
 matter; such names have one root once all suffixes are taken off, and the files of such a root are read in order, a root in
-one task. Neither a directory nor a name has to fit into a task otherwise."""
+one task. Neither a directory nor a name has to fit into a task otherwise.
+
+Names are long expressions over short rows, and many branches read them. So the rows are dealt to all tasks before names are
+made of them (a table of short rows is scanned by few), and names, claims and clashing roots are written and read back."""
 
 from __future__ import annotations
 
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloft.functions import hashing, paths
+from lumenloft.plans.scratch import written
 
 SCHEMA = "file string, kind string, destination_path string, checksum string"
 
@@ -101,7 +105,8 @@ def plan_destinations(files: DataFrame, existing: DataFrame, template: str = pat
     fingerprint, which never equals a checksum, so it always takes a new name. Files whose destination can't be compiled
     or that have no checksum come out with kind `invalid`. Where records repeat a path, the largest checksum counts."""
     dest = paths.compile_template(template, "capture_day", "label", "original_filename", "nickname", unicode=unicode)
-    f = once(files.select("file", "relative_path", "checksum", hashing.short_checksum("checksum").alias("short"), dest.alias("dest")))
+    files = files.repartition("file", "relative_path")
+    f = written(files.select("file", "relative_path", "checksum", hashing.short_checksum("checksum").alias("short"), dest.alias("dest")), "destinations")
     bad = F.col("dest").isNull() | F.coalesce(F.col("checksum") == "", F.lit(True))
     invalid = f.filter(bad).select("file", F.lit("invalid").alias("kind"), F.lit(None).cast("string").alias("destination_path"), "checksum")
     fresh = f.filter(~bad).select(paths.dirname("dest").alias("directory"), paths.basename("dest").alias("name"), "file", "relative_path", "checksum", "short")
@@ -116,9 +121,9 @@ def plan_names(fresh: DataFrame, old: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     place = F.struct("relative_path", "file")
-    fresh, old = (once(df.withColumn("root", root_of(F.col("name")))) for df in (fresh, old))
-    claims = fresh.groupBy("directory", "root", "name", "checksum").agg(F.first("short").alias("short"), F.min(place).alias("first"))
-    roots = clashing_roots(claims)
+    fresh, old = (written(df.withColumn("root", root_of(F.col("name"))), tag) for df, tag in ((fresh, "fresh"), (old, "taken")))
+    claims = written(fresh.groupBy("directory", "root", "name", "checksum").agg(F.first("short").alias("short"), F.min(place).alias("first")), "claims")
+    roots = written(clashing_roots(claims), "roots")
 
     # names that depend on the order of others; dealt by a hash of their own, as Spark takes a union of two joins for dealt by
     # their keys, which it isn't once one of the joins has become a broadcast

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -24,6 +24,13 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as Parquet in a new folder, read back: what several branches read is computed once and not in each of them."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sound_unions(spark: SparkSession) -> SparkSession:
     """Spark 4.1 takes a union of two tables dealt by one key for dealt by it and leaves out the exchange above; where a join
     in one branch then becomes a broadcast at run time, or the branches' partitions are merged apart, rows of one key no

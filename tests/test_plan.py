@@ -65,3 +65,25 @@ def test_no_rows(spark):
     check(spark, [("d", "a.jpg", "f", "p", "0" * 8, "0" * 8)], [])
     empty = spark.createDataFrame([], FRESH)
     assert plan.plan_names(empty, spark.createDataFrame([("d", "a", None)], "directory string, name string, verified string")).collect() == []
+
+
+def test_files_are_read_once(spark):
+    """However many branches read the names, the files that they are made of are read once."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    files = spark.range(60).select(
+        F.col("id").cast("string").alias("file"), F.format_string("p%03d", "id").alias("relative_path"), F.lit("2021-02-03").alias("capture_day"), F.lit("card").alias("label"), F.lit(None).cast("string").alias("nickname"),
+        counted(F.concat(F.lit("a"), (F.col("id") % 7).cast("string"), F.lit(".jpg"))).alias("original_filename"), F.lpad((F.col("id") % 20).cast("string"), 8, "0").alias("checksum"),
+    )
+    old = spark.createDataFrame([("2021/2021-02-03/card/a1.jpg", "00000001")], "destination_path string, verified_checksum string")
+    got = plan.plan_destinations(files, old).collect()
+    assert seen.value == 60
+    fresh = [("2021/2021-02-03/card", f"a{i % 7}.jpg", str(i), f"p{i:03d}", f"{i % 20:08d}", f"{i % 20:08d}") for i in range(60)]
+    assert {r.file: (r.kind, r.destination_path, r.checksum) for r in got} == brute(fresh, [("2021/2021-02-03/card", "a1.jpg", "00000001")])
