@@ -955,8 +955,9 @@ def registry_stream(v):
         (F.col("user_id") % 16).cast("string").alias("host"), F.col("event_id").alias("poll"), F.when(F.col("event_type") == "error", "removed").otherwise("arrived").alias("change"), F.col("user_id").cast("string").alias("strong_id"),
         F.col("event_id").cast("string").alias("path"), F.lit("x").alias("label"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("known_source_id"),
     )
-    changes.repartition(3, "poll").write.parquet(f"{folder}/changes")
-    feed = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    files = spark.sparkContext.defaultParallelism  # of each of three micro-batches
+    changes.repartition(3 * files, "poll").write.parquet(f"{folder}/changes")
+    feed = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/changes")
     old = spark.conf.get(key)
     spark.conf.set(key, rocks)
     try:

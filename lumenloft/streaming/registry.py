@@ -1,6 +1,7 @@
 """Cards that are present, as keyed state of a stream, and what happens when one arrives.
 
-`stream_registry` keeps a map for each host: a card's strong id, else its path, to what is known of it. It gives the same
+`stream_registry` keeps maps for each host, in BUCKETS by card: a card's strong id, else its path, to what is known of it. A host's
+cards so don't meet in one task, and a chunk of changes is reduced to a row for each card before the state is asked. It gives the same
 registry as the batch fold `feeds.detected_registry`, whatever micro-batches the changes come in: a change counts by its
 poll, so that one that comes late neither revives a card that has left nor takes back newer facts. A timer drops cards
 that no poll has shown for `absent_ms`."""
@@ -19,10 +20,51 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 OUT = "host string, key string, path string, label string, known_source_id string, online boolean, poll long"
 ENTRY = "poll long, path string, label string, known string, known_poll long, gone long, seen_ms long"
 NEVER = -(1 << 62)
+BUCKETS = 16
+
+
+def news_of(changes: pd.DataFrame) -> Iterator[tuple]:
+    """What some changes say of each card, whatever was known before: card, the poll of its last departure, the last poll that
+    showed it while it wasn't gone, its last arrival after the departure (poll, path, label), and the last source known
+    since (known, known_poll). At one poll an arrival comes before a departure, as in the batch fold."""
+    texts = changes[["path", "label", "known_source_id"]].astype(object)
+    c = texts.where(texts.notna(), None).assign(card=changes["card"], poll=changes["poll"].astype("int64"), late=changes["change"] == "removed")
+    c = c.sort_values(["card", "poll", "late"], kind="stable")
+    left = c["poll"].where(c["late"], NEVER).groupby(c["card"])
+    gone = left.max()
+
+    def last(rows: pd.DataFrame, *columns: str) -> dict[str, tuple]:
+        rows = rows.drop_duplicates("card", keep="last")
+        return dict(zip(rows["card"].tolist(), zip(*(rows[x].tolist() for x in columns), strict=True), strict=True))
+
+    here = c[~c["late"] & (c["poll"] > left.cummax())]
+    shown = last(here, "poll")
+    here = here[here["poll"] > here["card"].map(gone)]
+    arrived, known = last(here, "poll", "path", "label"), last(here[here["known_source_id"].notna()], "known_source_id", "poll")
+    for card, poll in zip(gone.index.tolist(), gone.tolist(), strict=True):
+        yield card, poll, *shown.get(card, (NEVER,)), *arrived.get(card, (NEVER, None, None)), *known.get(card, (None, NEVER))
+
+
+def after(entry: tuple, news: tuple, now: int) -> tuple:
+    """A card's entry after what news_of tells of it."""
+    poll, path, label, known, known_poll, gone, seen = entry
+    left, shown, new_poll, new_path, new_label, new_known, new_known_poll = news
+    if shown > gone:
+        seen = now
+    gone = max(gone, left)
+    if poll <= gone:
+        poll, path, label = NEVER, None, None
+    if known_poll <= gone:
+        known, known_poll = None, NEVER
+    if new_poll > gone and new_poll >= poll:
+        poll, path, label = new_poll, new_path, new_label
+    if new_known_poll > gone and new_known_poll >= known_poll:
+        known, known_poll = new_known, new_known_poll
+    return poll, path, label, known, known_poll, gone, seen
 
 
 class CardRegistry(StatefulProcessor):
-    """The cards of one host. Departed ones leave the poll of their departure behind, for changes that come late."""
+    """Cards of one host, those of one bucket. Departed ones leave the poll of their departure behind, for changes that come late."""
 
     def __init__(self, absent_ms: int | None = None):
         self.absent_ms = absent_ms
@@ -32,32 +74,13 @@ class CardRegistry(StatefulProcessor):
         self.cards = handle.getMapState("cards", "key string", ENTRY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        changes = pd.concat(list(rows)).astype(object)
-        changes = changes.where(changes.notna(), None)
-        # at one poll an arrival comes before a departure, as in the batch fold
-        changes = changes.assign(late=changes["change"] == "removed").sort_values(["poll", "late"], kind="stable")
         now = timerValues.getCurrentProcessingTimeInMs() if self.absent_ms else 0
         touched: dict[str, tuple] = {}
-        for r in changes.itertuples():
-            card = (r.strong_id or "").strip(" ") or r.path
-            if card is None:
-                continue
-            if card not in touched:
-                touched[card] = self.cards.getValue((card,)) if self.cards.containsKey((card,)) else (NEVER, None, None, None, NEVER, NEVER, 0)
-            poll, path, label, known, known_poll, gone, seen = touched[card]
-            if r.change == "removed":
-                gone = max(gone, r.poll)
-                if poll <= gone:
-                    poll, path, label = NEVER, None, None
-                if known_poll <= gone:
-                    known, known_poll = None, NEVER
-            elif r.poll > gone:
-                if r.poll >= poll:
-                    poll, path, label = r.poll, r.path, r.label
-                if r.known_source_id is not None and r.poll >= known_poll:
-                    known, known_poll = r.known_source_id, r.poll
-                seen = now
-            touched[card] = (poll, path, label, known, known_poll, gone, seen)
+        for changes in rows:
+            for card, *news in news_of(changes):
+                if card not in touched:
+                    touched[card] = self.cards.getValue((card,)) if self.cards.containsKey((card,)) else (NEVER, None, None, None, NEVER, NEVER, 0)
+                touched[card] = after(touched[card], news, now)
         for card, entry in touched.items():
             self.cards.updateValue((card,), entry)
         if self.absent_ms and touched:
@@ -86,9 +109,12 @@ class CardRegistry(StatefulProcessor):
 
 def stream_registry(changes: DataFrame, absent_ms: int | None = None) -> DataFrame:
     """changes(host, poll, change, strong_id, path, label, known_source_id) -> a row for each card that a batch or a timer
-    changes. The session needs the RocksDB state store."""
+    changes. The session needs the RocksDB state store. Checkpoints of rounds 1 to 3 (a map for each host) can't be continued."""
     mode = "ProcessingTime" if absent_ms else "None"
-    return changes.groupBy("host").transformWithStateInPandas(CardRegistry(absent_ms), OUT, "Update", mode)
+    card = F.coalesce(F.nullif(F.trim("strong_id"), F.lit("")), "path")
+    changes = changes.select("host", "poll", "change", "path", "label", "known_source_id", card.alias("card")).filter("card is not null")
+    dealt = changes.withColumn("bucket", F.pmod(F.xxhash64("card"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("host", "bucket").transformWithStateInPandas(CardRegistry(absent_ms), OUT, "Update", mode)
 
 
 def present(updates: DataFrame, order: str = "at") -> DataFrame:

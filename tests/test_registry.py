@@ -98,3 +98,19 @@ def test_arrivals_are_ingested_once(spark, tmp_path):
     auto.enabled = lambda: False
     auto(rows, 8)
     assert e.table("ingest_sessions").count() == 1
+
+
+def test_one_host_is_spread(rocks, tmp_path):
+    """The cards of one host don't meet in one task, and the registry is still that of the batch fold."""
+    rows = [("a", poll, "removed" if poll % 7 == 3 else "arrived", f"v{poll % 40}", f"/m/{poll}", "l", f"s{poll}" if poll % 4 == 0 else None) for poll in range(400)]
+    rocks.createDataFrame(rows, CHANGES).coalesce(1).write.json(str(tmp_path / "in"))
+    changes = rocks.readStream.schema(CHANGES).json(str(tmp_path / "in"))
+    seen = []
+
+    def take(df, epoch):
+        seen.extend(df.withColumn("at", F.lit(epoch)).withColumn("task", F.spark_partition_id()).collect())
+
+    stream_registry(changes).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len({r.task for r in seen}) > 1
+    want = feeds.detected_registry(rocks.createDataFrame(rows, CHANGES)).collect()
+    assert sorted((r.key, r.path, r.label, r.known_source_id) for r in seen if r.online) == sorted(map(tuple, want)) and want
