@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine, through collision counting over query-centred windows.
 
-Unit vectors are dealt into blocks of about BLOCK rows. A block's index is one sorted array for each of `projections` random
-directions: the vectors' places on that line. A query meets a block at radius R: on each line its window reaches REACH * R
+Unit vectors are dealt into blocks of about BLOCK rows. A block's index is one array for each of `projections` random
+directions: the vectors' places on that line, in 256 steps. A query meets a block at radius R: on each line its window reaches REACH * R
 to both sides of its own place, and every vector inside collides with it once. A vector at distance R or nearer lies in a
 window with the chance P = 2 * Phi(REACH) - 1, whatever R is, so it collides at least `threshold` times but for a chance of
 MISSED, if lines were independent; as they are orthogonal in lots of the dimension, the numbers of collisions vary less and
@@ -12,6 +12,8 @@ is hashed again. A search ends once k verified vectors lie within R, or the wind
 The whole block takes part, every row is indexed, and no window, candidate list or bucket is capped. Each block gives a
 query's k best; the best k of all blocks are its answer. Queries are dealt to the blocks in chunks of QUERIES, so a task
 holds a block's vectors and lines and streams its queries; the work is queries times blocks, as a search of this kind is.
+Collisions of a query with a block are counted a line at a time in bytes: near the radius where noise is found, windows hold
+half of each line, and reading all codes costs a fraction of gathering those rows from sorted lists.
 
 Defined cases: null ids, null or zero vectors and vectors with null or non-finite components take no part, neither as
 queries nor as candidates; vectors meet those of their own length only; where an id has several rows, the smallest vector
@@ -61,57 +63,72 @@ class Index:
         self.ids, self.vectors = ids[order], vectors[order]
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
         places = self.lines @ (self.vectors / self.norms[:, None]).T
-        self.order = np.argsort(places, axis=1)
-        # one ascending array: places lie within the root of the dimension, and lines lie apart
-        self.apart = np.arange(projections) * (4 + 2 * math.sqrt(vectors.shape[1]))
-        self.sorted = (np.take_along_axis(places, self.order, 1) + self.apart[:, None]).ravel()
-        self.order = self.order.ravel()
+        self.base = places.min()
+        self.step = max(float(places.max() - self.base) / 255, 1e-12)
+        self.codes = self.code(places)
+        self.sums = np.uint8 if projections < 256 else np.uint16
         self.least = threshold(projections)
+        self.level = 0
+
+    def code(self, places: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((places - self.base) / self.step), 0, 255).astype(np.uint8)
+
+    def colliding(self, at: np.ndarray, radius: float) -> np.ndarray:
+        """Which vectors collide often enough. Windows end with the codes of their ends, so they are a little wide."""
+        low, high = self.code(at - REACH * radius), self.code(at + REACH * radius)
+        # codes below the window wrap around to large ones
+        inside = (self.codes - low[:, None]) <= (high - low)[:, None]
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=self.sums) >= self.least
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """ids and cosines of the k best verified vectors, best first, and how many were verified."""
         n = len(self.ids)
         norm = math.sqrt((query * query).sum())
-        at = self.lines @ (query / norm) + self.apart
-        counts = np.zeros(n, np.int64)
-        start = np.arange(len(at)) * n
-        low = np.clip(self.sorted.searchsorted(at), start, start + n)
-        high = low.copy()
+        at = self.lines @ (query / norm)
         scores = np.full(n, -np.inf)
-        own = self.ids == query_id
-        open_ = ~own
-        wanted = min(k, n - int(own.sum()))
-        radius, verified = FIRST, 0
+        open_ = self.ids != query_id
+        wanted = min(k, int(open_.sum()))
+        verified = 0
+        if wanted:
+            radius, colliding = self.first(at, open_, wanted)
         while wanted:
-            wide = REACH * radius
-            below = np.minimum(np.clip(self.sorted.searchsorted(at - wide, "left"), start, start + n), low)
-            above = np.maximum(np.clip(self.sorted.searchsorted(at + wide, "right"), start, start + n), high)
-            inside = above - below
-            # windows with too few collisions for k verified vectors are widened before they are counted
-            if int(inside.sum()) >= self.least * wanted:
-                ends = zip(below.tolist(), low.tolist(), high.tolist(), above.tolist(), strict=True)
-                counts += np.bincount(np.concatenate([self.order[x:y] for a, b, c, d in ends for x, y in ((a, b), (c, d))]), minlength=n)
-                low, high = below, above
-                new = np.flatnonzero((counts >= self.least) & open_)
-                # row by row, so that equal vectors have equal scores wherever they stand
-                scores[new] = (self.vectors[new] * query).sum(1) / (self.norms[new] * norm)
-                open_[new] = False
-                verified += len(new)
-            if verified >= wanted:
-                kth = np.partition(scores, n - wanted)[n - wanted]
-                # a little more than the distance, against rounding
-                need = math.sqrt(max(0.0, 2 - 2 * float(kth))) + 1e-9
-                if need <= radius:
-                    break
-                radius = min(need, radius * GROWTH)
-            elif int(inside.min()) == n:
+            new = np.flatnonzero(colliding & open_)
+            # row by row, so that equal vectors have equal scores wherever they stand
+            scores[new] = (self.vectors[new] * query).sum(1) / (self.norms[new] * norm)
+            open_[new] = False
+            verified += len(new)
+            kth = np.partition(scores, n - wanted)[n - wanted]
+            # a little more than the distance, against rounding
+            need = math.sqrt(max(0.0, 2 - 2 * float(kth))) + 1e-9
+            if need <= radius:
                 break
-            else:
-                radius *= GROWTH
+            radius = min(need, radius * GROWTH)
+            colliding = self.colliding(at, radius)
         known = np.flatnonzero(scores > -np.inf)
         best = known[np.lexsort((self.ids[known], -scores[known]))[:k]]
         return self.ids[best], scores[best], verified
 
+    def first(self, at: np.ndarray, open_: np.ndarray, wanted: int) -> tuple[float, np.ndarray]:
+        """The smallest radius FIRST * GROWTH ** level at which `wanted` vectors collide, and which do; in the end windows hold the
+        whole lines. The steps begin at the
+        level of the query before, which saves most of them and changes nothing in what is found."""
+
+        def enough(level: int) -> np.ndarray | None:
+            colliding = self.colliding(at, FIRST * GROWTH**level)
+            return colliding if np.count_nonzero(colliding & open_) >= wanted else None
+
+        level = self.level
+        found = enough(level)
+        if found is None:
+            while found is None:
+                level += 1
+                found = enough(level)
+        else:
+            while level and (smaller := enough(level - 1)) is not None:
+                level, found = level - 1, smaller
+        self.level = level
+        return FIRST * GROWTH**level, found
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector has components, none of them null, NaN or infinite, and not all of them 0."""
