@@ -1,6 +1,6 @@
 """Cards that are present, as keyed state of a stream, and what happens when one arrives.
 
-`stream_registry` keeps maps for each host, in BUCKETS by card: a card's strong id, else its path, to what is known of it. A host's
+`stream_registry` keeps lists for each host, in BUCKETS by card: a card's strong id, else its path, to what is known of it. A host's
 cards so don't meet in one task, and a chunk of changes is reduced to a row for each card before the state is asked. It gives the same
 registry as the batch fold `feeds.detected_registry`, whatever micro-batches the changes come in: a change counts by its
 poll, so that one that comes late neither revives a card that has left nor takes back newer facts. A timer drops cards
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "host string, key string, path string, label string, known_source_id string, online boolean, poll long"
-ENTRY = "poll long, path string, label string, known string, known_poll long, gone long, seen_ms long"
+ENTRY = "card string, poll long, path string, label string, known string, known_poll long, gone long, seen_ms long"
 NEVER = -(1 << 62)
 BUCKETS = 16
+NEW = (NEVER, None, None, None, NEVER, NEVER, 0)
 
 
 def news_of(changes: pd.DataFrame) -> Iterator[tuple]:
@@ -71,33 +72,35 @@ class CardRegistry(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cards = handle.getMapState("cards", "key string", ENTRY)
+        self.cards = handle.getListState("cards", ENTRY)  # read and written whole: a call for each card takes longer
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentProcessingTimeInMs() if self.absent_ms else 0
-        touched: dict[str, tuple] = {}
+        held, touched = self._held(), {}
         for changes in rows:
             for card, *news in news_of(changes):
-                if card not in touched:
-                    touched[card] = self.cards.getValue((card,)) if self.cards.containsKey((card,)) else (NEVER, None, None, None, NEVER, NEVER, 0)
-                touched[card] = after(touched[card], news, now)
-        for card, entry in touched.items():
-            self.cards.updateValue((card,), entry)
+                held[card] = touched[card] = after(held.get(card, NEW), news, now)
+        self._hold(held)
         if self.absent_ms and touched:
             self.handle.registerTimer(now + self.absent_ms)
         yield self._told(key[0], touched)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         limit = expiredTimerInfo.getExpiryTimeInMs() - self.absent_ms
-        left = {}
-        for (card,), entry in list(self.cards.iterator()):
-            poll, *_, gone, seen = entry
+        held, left = self._held(), {}
+        for card, (poll, *_, gone, seen) in held.items():
             if poll > gone and seen <= limit:
                 left[card] = (NEVER, None, None, None, NEVER, poll, seen)
-        for card, entry in left.items():
-            self.cards.updateValue((card,), entry)
+        self._hold(held | left)
         yield self._told(key[0], left)
 
+    def _held(self) -> dict[str, tuple]:
+        return {card: tuple(entry) for card, *entry in self.cards.get()} if self.cards.exists() else {}
+
+    def _hold(self, cards: dict[str, tuple]) -> None:
+        if cards:
+            self.cards.put([(card, *entry) for card, entry in cards.items()])
+
     @staticmethod
     def _told(host: str, cards: dict[str, tuple]) -> pd.DataFrame:
         rows = [(host, card, path, label, known, poll > gone, max(poll, gone)) for card, (poll, path, label, known, _, gone, _) in cards.items()]
